@@ -1,0 +1 @@
+"""Queries by name."""
