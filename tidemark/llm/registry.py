@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tidemark.llm.line_dedup import op8_line_dedup
+from tidemark.llm.mixing import OP9_SQL, op9_mixing
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import op3_quality
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_quality": op3_quality,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
