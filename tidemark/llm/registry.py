@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from tidemark.llm.line_dedup import op8_line_dedup
 from tidemark.llm.mixing import OP9_SQL, op9_mixing
+from tidemark.llm.packing import op4_packing
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import op3_quality
+from tidemark.llm.tokens import op10_token_counts
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
