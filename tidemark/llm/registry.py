@@ -7,10 +7,12 @@ from tidemark.llm.mixing import OP9_SQL, op9_mixing
 from tidemark.llm.packing import op4_packing
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import op3_quality
+from tidemark.llm.simhash import op2_simhash
 from tidemark.llm.tokens import op10_token_counts
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op8_line_dedup": op8_line_dedup,
