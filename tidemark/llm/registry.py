@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.licenses import op7_licenses
 from tidemark.llm.line_dedup import op8_line_dedup
 from tidemark.llm.mixing import OP9_SQL, op9_mixing
 from tidemark.llm.packing import op4_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op7_licenses": op7_licenses,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
