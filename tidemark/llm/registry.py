@@ -10,16 +10,18 @@ from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.simhash import op2_simhash
 from tidemark.llm.tokens import op10_token_counts
+from tidemark.llm.urls import OP6_SQL, op6_urls
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op6_urls": op6_urls,
     "op7_licenses": op7_licenses,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_urls": OP6_SQL, "op9_mixing": OP9_SQL}
