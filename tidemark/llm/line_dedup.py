@@ -1,6 +1,6 @@
 """Line deduplication: deletion-neighbourhood join, earliest line kept.
 
-A line counts from ``MIN_WORDS`` words, A-Z lower-cased and white space
+A line counts from ``MIN_WORDS`` words, lower-cased and with white space
 collapsed. It is dropped if an earlier line, by ``(doc_id, line number)``, is
 equal or one word edit away (a word replaced, inserted or deleted). "Earlier"
 does not ask whether that line is itself dropped, so the result is fixed by the
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import ascii_lower, let, running_sum
+from tidemark.functions.arrays import let, running_sum
 from tidemark.sources.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,13 +41,22 @@ BROADCAST_ROWS = 500_000
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(line), F.lit(WORD), F.lit(0))
+    """Lower-case words; text with no white space but spaces is split the fast way."""
+    low = F.lower(line)
+    other = F.lit(False)
+    for space in "\t\x0b\x0c\r":
+        other = other | low.contains(space)
+    return F.when(other, F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).otherwise(F.array_remove(F.split(low, " ", -1), ""))
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """``(doc_id, line_no, words)`` of the lines that count."""
-    each = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return each.select("doc_id", "line_no", _words(F.col("line")).alias("words")).filter(F.size("words") >= MIN_WORDS)
+    """``(doc_id, line_no, words)`` of the lines that count.
+
+    Words are made inside the generator: a filter on a projected column would
+    be pushed below it, and each line cut up twice.
+    """
+    cut = F.transform(F.split(text, "\n", -1), _words)
+    return docs.select("doc_id", F.posexplode(cut).alias("line_no", "words")).filter(F.size("words") >= MIN_WORDS)
 
 
 def _halves(words: Column) -> Column:
@@ -112,18 +121,19 @@ def _near_classes(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
     shared = materialize(keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"), "halves")
     chosen = materialize(keys.join(shared, "half", "left_semi").select("first").distinct(), "chosen")
     place = F.struct("doc_id", "line_no")
-    words = materialize(
-        _lines(docs, text).withColumn("first", place)
-        .join(_sized(chosen), "first", "left_semi")
-        .select("first", "words").dropDuplicates(["first"]), "words",
+    found = materialize(
+        _lines(docs, text).withColumn("first", place).join(_sized(chosen), "first", "left_semi").select("first", "words").dropDuplicates(["first"]),
+        "found",
     )
-    variants = words.select("first", F.inline(_variants(F.col("words"))))
-    earliest = lambda role: F.min(F.when(F.col("role") == role, F.col("first"))).alias(role)
+    # ids rise with the place, so that the earliest of a key is the least id
+    words = materialize(found.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "words")
+    variants = materialize(words.select("id", F.inline(_variants(F.col("words")))), "variants")
+    earliest = lambda role: F.min(F.when(F.col("role") == role, F.col("id"))).alias(role)
     met = variants.groupBy("key").agg(F.count("*").alias("n"), *(earliest(r) for r in "SWD")).filter("n > 1").drop("n")
     partner = F.when(F.col("role") == "S", F.col("S")).when(F.col("role") == "W", F.col("D")).otherwise(F.col("W"))
-    pairs = variants.join(met, "key").select("first", partner.alias("other")).filter("other < first").distinct()
-    a, b = words.withColumnRenamed("words", "a"), words.select(F.col("first").alias("other"), F.col("words").alias("b"))
-    return pairs.join(a, "first").join(b, "other").filter(_one_edit(F.col("a"), F.col("b"))).select("first").distinct()
+    pairs = variants.join(met, "key").select("id", partner.alias("other")).filter("other < id").distinct()
+    a, b = words.withColumnRenamed("words", "a"), words.select(F.col("id").alias("other"), F.col("words").alias("b"))
+    return pairs.join(a, "id").join(b, "other").filter(_one_edit(F.col("a"), F.col("b"))).select("first").distinct()
 
 
 def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:

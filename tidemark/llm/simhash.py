@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.components import connected_components
+from tidemark.shipping import ship_package
 from tidemark.sources.scratch import materialize
 
 BITS = 64
@@ -215,6 +216,7 @@ def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``."""
+    ship_package(docs.sparkSession)
     made = materialize(fingerprints(docs, text, width), "fingerprints")
     distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
     found = connected_components(linked(distinct.filter("doc is not null"), distance))

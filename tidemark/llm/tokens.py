@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.shipping import ship_package
+
 CACHE_ENTRIES = 300_000
 #: Characters of text that are split at a time.
 SLICE_CHARS = 1 << 20
@@ -150,6 +152,7 @@ def coder(shared) -> Coder:
 
 def share_tokenizer(spark, path: str):
     """The vocabulary, a file of fixed size, for all executors."""
+    ship_package(spark)
     return spark.sparkContext.broadcast(tokenizer_spec(path))
 
 

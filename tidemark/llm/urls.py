@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import ascii_lower
+from tidemark.shipping import ship_package
 from tidemark.sources.scratch import materialize
 
 #: Verdict, host, path.
@@ -147,6 +148,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """Adds ``host``, ``path``, ``rule``, ``verdict`` and ``listed``; ``listed(key)`` are the hosts on the list."""
     spark = pages.sparkSession
+    ship_package(spark)
     host, path = url_parts(F.col(url))
     parted = pages.drop("host", "path", "rule", "verdict", "listed", "_a", "_b").withColumns({"host": host, "path": path})
     on_list = listed.select(F.col("key").alias("host")).distinct().withColumn("listed", F.lit(True))
