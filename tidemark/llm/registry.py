@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.licenses import op7_licenses
 from tidemark.llm.line_dedup import op8_line_dedup
 from tidemark.llm.mixing import OP9_SQL, op9_mixing
+from tidemark.llm.neighbours import op5_neighbours
 from tidemark.llm.packing import op4_packing
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import op3_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_neighbours": op5_neighbours,
     "op6_urls": op6_urls,
     "op7_licenses": op7_licenses,
     "op8_line_dedup": op8_line_dedup,

@@ -226,6 +226,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = SHINGLE, d
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` names their group of near copies; of equal ones one stays."""
+    near = near_duplicates(docs, text, width, distance)
+    stay = materialize(near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct(), "stay")
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").dropDuplicates(["doc_id", text])
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """``doc_id``, ``fingerprint`` in 16 hexadecimal digits, and ``component_id``."""
     from tidemark.sources.tables import table
