@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tidemark.plans import companies, market
+
 FLAGSHIP = "signal_ic_by_date"
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = market.QUERIES | companies.QUERIES
+ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | companies.ORACLE_SQL
