@@ -34,19 +34,19 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import let, running_sum
 from tidemark.sources.scratch import materialize
 
-WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 5
 #: A table of at most so many rows of some 40 bytes is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
 
+def _cut(text: Column) -> Column:
+    """A text's lines, lower-cased, with spaces for all white space; one scan of the text instead of one per line."""
+    plain = F.when(text.rlike(r"[\t\x0B\f\r]"), F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
+    return F.split(F.lower(plain), "\n", -1)
+
+
 def _words(line: Column) -> Column:
-    """Lower-case words; text with no white space but spaces is split the fast way."""
-    low = F.lower(line)
-    other = F.lit(False)
-    for space in "\t\x0b\x0c\r":
-        other = other | low.contains(space)
-    return F.when(other, F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).otherwise(F.array_remove(F.split(low, " ", -1), ""))
+    return F.array_remove(F.split(line, " ", -1), "")
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -55,10 +55,19 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     Words are made inside the generator: a filter on a projected column would
     be pushed below it, and each line cut up twice.
     """
-    cut = F.transform(F.split(text, "\n", -1), _words)
+    cut = F.transform(_cut(F.col(text)), _words)
     return docs.select("doc_id", F.posexplode(cut).alias("line_no", "words")).filter(F.size("words") >= MIN_WORDS)
 
 
+def _chosen_lines(docs: DataFrame, text: str, chosen: DataFrame) -> DataFrame:
+    """``(first, words)`` of the lines at the places ``chosen(first)``; other lines are not cut into words."""
+    wanted = chosen.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_set("first.line_no").alias("_at"))
+    met = docs.join(_sized(materialize(wanted, "wanted")), docs["doc_id"].eqNullSafe(F.col("_doc")))
+    words = let(_cut(F.col(text)), lambda lines: F.transform("_at", lambda i: F.struct(i.alias("i"), _words(F.get(lines, i)).alias("words"))))
+    found = met.select("doc_id", F.inline(words))
+    return found.filter(F.size("words") >= MIN_WORDS).select(F.struct("doc_id", F.col("i").alias("line_no")).alias("first"), "words").dropDuplicates(["first"])
+
+
 def _halves(words: Column) -> Column:
     """Keys of the first and last half, for both ways to halve an even number of words."""
     n = F.size(words)
@@ -120,11 +129,7 @@ def _near_classes(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
     keys = classes.select("first", F.explode("halves").alias("half"))
     shared = materialize(keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"), "halves")
     chosen = materialize(keys.join(shared, "half", "left_semi").select("first").distinct(), "chosen")
-    place = F.struct("doc_id", "line_no")
-    found = materialize(
-        _lines(docs, text).withColumn("first", place).join(_sized(chosen), "first", "left_semi").select("first", "words").dropDuplicates(["first"]),
-        "found",
-    )
+    found = materialize(_chosen_lines(docs, text, chosen), "found")
     # ids rise with the place, so that the earliest of a key is the least id
     words = materialize(found.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "words")
     variants = materialize(words.select("id", F.inline(_variants(F.col("words")))), "variants")
