@@ -24,7 +24,9 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 5) ->
     pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = pairs.select(*by, x, y, average_rank(x, by).alias("_x"), average_rank(y, by).alias("_y"))
     varied = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & varied, F.corr("_x", "_y")).alias("ic"))
+    # corr() divides by zero under ANSI where a side does not vary
+    ratio = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & varied, ratio).alias("ic"))
 
 
 def tail_spread(rows: DataFrame, signal: str, result: str, by: list[str], key: str, parts: int = 5) -> DataFrame:

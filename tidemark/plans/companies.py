@@ -38,13 +38,13 @@ def amendments(spark, sf_dir: str) -> DataFrame:
 
 def fundamentals(spark, sf_dir: str) -> DataFrame:
     """A column per measure; null where an issuer reports none in the year."""
-    wide = facts(spark, sf_dir).groupBy("issuer", "fiscal_year").pivot("account", list(MEASURES)).agg(F.round(F.sum("amount"), 2))
+    wide = facts(spark, sf_dir).groupBy("issuer", "fiscal_year").pivot("account", list(MEASURES)).agg(F.sum("amount").cast("double"))
     return wide.withColumnsRenamed({m: m.lower() for m in MEASURES})
 
 
 def max_account(spark, sf_dir: str) -> DataFrame:
     """The account with the largest absolute amount of each issuer and year; ties to the first name."""
-    sums = facts(spark, sf_dir).groupBy("issuer", "fiscal_year", "account").agg(F.round(F.sum("amount"), 2).alias("amount"))
+    sums = facts(spark, sf_dir).groupBy("issuer", "fiscal_year", "account").agg(F.sum("amount").cast("double").alias("amount"))
     order = Window.partitionBy("issuer", "fiscal_year").orderBy(F.desc(F.abs("amount")), "account")
     return sums.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
@@ -61,9 +61,10 @@ def dcf(spark, sf_dir: str) -> DataFrame:
     The recurrence runs inside one expression: no rows are made for years.
     """
     base = fundamentals(spark, sf_dir).filter("revenue > 0").withColumns(
-        {"margin": F.greatest(F.lit(-0.2), F.least(F.lit(0.35), F.col("ebit") / F.col("revenue") / 4)), "debt": -F.coalesce("cash", F.lit(0.0))}
+        {"margin": F.when(F.col("ebit").isNotNull(), F.greatest(F.lit(-0.2), F.least(F.lit(0.35), F.col("ebit") / F.col("revenue") / 4))), "debt": -F.coalesce("cash", F.lit(0.0))}
     )
-    start = F.struct(F.col("revenue").alias("rev"), F.lit(0.0).cast("double").alias("pv"), F.lit(0.0).cast("double").alias("fcf"))
+    nothing = F.when(F.col("margin").isNotNull(), F.lit(0.0))  # null without a margin, and so is all that follows
+    start = F.struct(F.col("revenue").alias("rev"), nothing.alias("pv"), nothing.alias("fcf"))
 
     def year(acc, t):
         rev = acc["rev"] * (1 + GROWTH)
@@ -122,8 +123,8 @@ QUERIES = {
 }
 
 _WIDE = with_views("facts") + """,
-wide AS (SELECT issuer, fiscal_year, round(sum(amount) FILTER (WHERE account = 'REVENUE'), 2) AS revenue, round(sum(amount) FILTER (WHERE account = 'EBIT'), 2) AS ebit,
-  round(sum(amount) FILTER (WHERE account = 'CAPEX'), 2) AS capex, round(sum(amount) FILTER (WHERE account = 'CASH'), 2) AS cash FROM facts GROUP BY 1, 2)"""
+wide AS (SELECT issuer, fiscal_year, (sum(amount) FILTER (WHERE account = 'REVENUE'))::DOUBLE AS revenue, (sum(amount) FILTER (WHERE account = 'EBIT'))::DOUBLE AS ebit,
+  (sum(amount) FILTER (WHERE account = 'CAPEX'))::DOUBLE AS capex, (sum(amount) FILTER (WHERE account = 'CASH'))::DOUBLE AS cash FROM facts GROUP BY 1, 2)"""
 
 ORACLE_SQL = {
     "pit_latest_filing_version": with_views("filings") + """
@@ -138,7 +139,7 @@ SELECT issuer, period_end, count(*) AS n, round(arg_max(revenue, (available_at,
 FROM filings GROUP BY 1, 2 HAVING count(*) > 1""",
     "pivot_fundamentals": _WIDE + "\nSELECT * FROM wide",
     "max_abs_account": with_views("facts") + """,
-s AS (SELECT issuer, fiscal_year, account, round(sum(amount), 2) AS amount FROM facts GROUP BY 1, 2, 3)
+s AS (SELECT issuer, fiscal_year, account, sum(amount)::DOUBLE AS amount FROM facts GROUP BY 1, 2, 3)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY issuer, fiscal_year ORDER BY abs(amount) DESC, account) = 1""",
     "dcf_fcff": _WIDE + """,
 b AS (SELECT issuer, fiscal_year, revenue, CASE WHEN ebit IS NOT NULL THEN greatest(-0.2, least(0.35, ebit / revenue / 4)) END::DOUBLE AS margin, coalesce(cash, 0) AS cash FROM wide WHERE revenue > 0),

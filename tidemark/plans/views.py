@@ -21,7 +21,9 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = table(spark, sf_dir, "lineitem").groupBy(_ticker("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("price_date"))
-    return daily.agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
+    # sums of decimals are exact in any order
+    amount, quantity = (F.sum(F.col(c).cast("decimal(18,2)")).cast("double") for c in ("l_extendedprice", "l_quantity"))
+    return daily.agg((amount / quantity).alias("close"), amount.alias("amount"))
 
 
 def signal_dates(spark: SparkSession) -> DataFrame:
@@ -55,7 +57,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     code, account = F.concat("l_returnflag", "l_linestatus"), F.lit("OTHER")
     for k, v in ACCOUNTS.items():
         account = F.when(code == k, F.lit(v)).otherwise(account)
-    return line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("issuer"), F.year("o_orderdate").alias("fiscal_year"), account.alias("account"), F.col("l_extendedprice").alias("amount"))
+    return line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("issuer"), F.year("o_orderdate").alias("fiscal_year"), account.alias("account"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
 
 
 #: The same views for the SQL side.
@@ -63,14 +65,14 @@ SQL = {
     "securities": """securities AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS ticker, n_name AS sector, r_name AS market, (s_suppkey * 7919) % 1000 + 100 AS shares
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "prices": """prices AS (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS ticker, l_shipdate::DATE AS price_date,
-  round(sum(l_extendedprice) / sum(l_quantity), 4) AS close, round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1, 2)""",
+  sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / sum(l_quantity::DECIMAL(18,2))::DOUBLE AS close, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS amount FROM lineitem GROUP BY 1, 2)""",
     "dates": """dates AS (SELECT last_day((q + INTERVAL 2 MONTH)::DATE) AS signal_date FROM generate_series(DATE '1996-01-01', DATE '2001-10-01', INTERVAL 3 MONTH) AS g(q))""",
     "signals": """signals AS (SELECT signal_date, ticker, round(now / before - 1, 6) AS signal FROM (
   SELECT signal_date, ticker, sum(amount) FILTER (WHERE signal_date - price_date < 182) AS now, sum(amount) FILTER (WHERE signal_date - price_date >= 182) AS before
   FROM prices JOIN dates ON signal_date - price_date >= 0 AND signal_date - price_date < 364 GROUP BY 1, 2) WHERE now IS NOT NULL AND before > 0)""",
     "filings": """filings AS (SELECT o_custkey AS issuer, (date_trunc('quarter', o_orderdate)::DATE - 1) AS period_end, o_orderdate::DATE AS available_at, o_orderkey AS version, o_totalprice AS revenue FROM orders)""",
     "facts": """facts AS (SELECT o_custkey AS issuer, year(o_orderdate)::INTEGER AS fiscal_year, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'REVENUE' WHEN 'NF' THEN 'EBIT' WHEN 'NO' THEN 'CAPEX' WHEN 'RF' THEN 'CASH' ELSE 'OTHER' END AS account,
-  l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+  l_extendedprice::DECIMAL(18,2) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
 }
 
 
