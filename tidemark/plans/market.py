@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ranks import average_rank, spearman, tail_spread, winsorize
-from tidemark.plans.views import prices, securities, signals, with_views
+from tidemark.plans.views import changes, prices, securities, signals, with_views
 
 HOLD_DAYS, STALE_DAYS = 77, 10
 
@@ -61,19 +61,15 @@ def rank_percentiles(spark, sf_dir: str) -> DataFrame:
 
 def momentum(spark, sf_dir: str) -> DataFrame:
     """Compounded price change over days (t-365, t-30], with at least 20 prices."""
-    changed = prices(spark, sf_dir).withColumn("last", F.lag("close").over(Window.partitionBy("ticker").orderBy("price_date")))
-    capped = changed.filter("last is not null").withColumn("change", F.greatest(F.lit(-0.3), F.least(F.lit(0.3), F.col("close") / F.col("last") - 1)))
     back = F.datediff("signal_date", "price_date")
     dates = F.broadcast(signals(spark, sf_dir).select("signal_date").distinct())
-    sums = capped.join(dates, (back >= 30) & (back < 365)).groupBy("signal_date", "ticker").agg(F.count("*").alias("n"), F.sum(F.log1p("change")).alias("s"))
+    sums = changes(spark, sf_dir).join(dates, (back >= 30) & (back < 365)).groupBy("signal_date", "ticker").agg(F.count("*").alias("n"), F.sum(F.log1p("change")).alias("s"))
     return sums.filter("n >= 20").select("signal_date", "ticker", "n", F.round(F.exp("s") - 1, 6).alias("momentum"))
 
 
 def market_returns(spark, sf_dir: str) -> DataFrame:
     """Equally weighted daily change by market, each capped at 30 %."""
-    changed = prices(spark, sf_dir).withColumn("last", F.lag("close").over(Window.partitionBy("ticker").orderBy("price_date")))
-    capped = changed.filter("last is not null").withColumn("change", F.greatest(F.lit(-0.3), F.least(F.lit(0.3), F.col("close") / F.col("last") - 1)))
-    joined = capped.join(securities(spark, sf_dir), "ticker")
+    joined = changes(spark, sf_dir).join(securities(spark, sf_dir), "ticker")
     return joined.groupBy("market", "price_date").agg(F.count("*").alias("n"), F.round(F.avg("change"), 6).alias("change"))
 
 
@@ -106,16 +102,16 @@ QUERIES = {
     "drawdown_curve": drawdowns,
 }
 
-_RETURNS = with_views("securities", "prices", "dates", "signals") + """,
+RETURNS_SQL = with_views("securities", "prices", "dates", "signals") + """,
 e AS (SELECT s.*, p.close AS entry_close FROM signals s ASOF LEFT JOIN prices p ON s.ticker = p.ticker AND s.signal_date >= p.price_date
       WHERE s.signal_date - p.price_date <= 10 OR p.price_date IS NULL),
 x AS (SELECT s.signal_date, s.ticker, s.signal, e.entry_close, s.signal_date + 77 AS exit_at FROM signals s LEFT JOIN e USING (signal_date, ticker)),
 fr AS (SELECT x.signal_date, x.ticker, x.signal, CASE WHEN x.exit_at - p.price_date <= 10 THEN round(p.close / x.entry_close - 1, 6) END AS forward_return
       FROM x ASOF LEFT JOIN prices p ON x.ticker = p.ticker AND x.exit_at >= p.price_date)"""
-_PANEL = _RETURNS + """,
+_PANEL = RETURNS_SQL + """,
 q AS (SELECT signal_date, quantile_cont(forward_return, 0.01) AS lo, quantile_cont(forward_return, 0.99) AS hi FROM fr WHERE forward_return IS NOT NULL GROUP BY 1),
 panel AS (SELECT signal_date, ticker, signal, greatest(lo, least(hi, forward_return)) AS forward_return, sector FROM fr JOIN q USING (signal_date) JOIN securities USING (ticker) WHERE forward_return IS NOT NULL)"""
-_CHANGES = """changes AS (SELECT ticker, price_date, greatest(-0.3, least(0.3, close / last - 1)) AS change
+CHANGES_SQL = """changes AS (SELECT ticker, price_date, greatest(-0.3, least(0.3, close / last - 1)) AS change
   FROM (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY price_date) AS last FROM prices) WHERE last IS NOT NULL)"""
 
 ORACLE_SQL = {
@@ -125,7 +121,7 @@ FROM signals s ASOF LEFT JOIN prices p ON s.ticker = p.ticker AND s.signal_date
     "asof_price_forward": with_views("prices", "dates", "signals") + """
 SELECT s.ticker, s.signal_date, s.signal, CASE WHEN p.price_date - s.signal_date <= 10 THEN p.price_date END AS price_date, CASE WHEN p.price_date - s.signal_date <= 10 THEN p.close END AS close
 FROM signals s ASOF LEFT JOIN prices p ON s.ticker = p.ticker AND s.signal_date <= p.price_date""",
-    "forward_return_77d": _RETURNS + "\nSELECT signal_date, ticker, signal, forward_return FROM fr",
+    "forward_return_77d": RETURNS_SQL + "\nSELECT signal_date, ticker, signal, forward_return FROM fr",
     "winsorize_returns": _PANEL + "\nSELECT signal_date, ticker, round(forward_return, 6) AS forward_return FROM panel",
     "signal_ic_by_date": _PANEL + """,
 ntr AS (SELECT signal_date, ticker, signal, forward_return, round(signal - avg(signal) OVER w, 9) AS s, round(forward_return - avg(forward_return) OVER w, 9) AS f FROM panel WINDOW w AS (PARTITION BY signal_date, sector)),
@@ -142,11 +138,11 @@ FROM rk GROUP BY 1""",
     "avg_rank_percentile": with_views("prices", "dates", "signals") + """,
 r AS (SELECT signal_date, ticker, rank() OVER (PARTITION BY signal_date ORDER BY signal) + (count(*) OVER (PARTITION BY signal_date, signal) - 1) / 2 AS r, count(*) OVER (PARTITION BY signal_date) AS n FROM signals)
 SELECT signal_date, ticker, round(r / n, 6) AS share, round(CASE WHEN n > 1 THEN 100 * (r - 1) / (n - 1) ELSE 50.0 END, 6) AS percentile FROM r""",
-    "momentum_12_1": with_views("prices", "dates", "signals") + ",\n" + _CHANGES + """,
+    "momentum_12_1": with_views("prices", "dates", "signals") + ",\n" + CHANGES_SQL + """,
 d AS (SELECT DISTINCT signal_date FROM signals)
 SELECT signal_date, ticker, count(*) AS n, round(exp(sum(ln(1 + change))) - 1, 6) AS momentum
 FROM changes JOIN d ON signal_date - price_date >= 30 AND signal_date - price_date < 365 GROUP BY 1, 2 HAVING count(*) >= 20""",
-    "market_equal_weight_return": with_views("securities", "prices") + ",\n" + _CHANGES + """
+    "market_equal_weight_return": with_views("securities", "prices") + ",\n" + CHANGES_SQL + """
 SELECT market, price_date, count(*) AS n, round(avg(change), 6) AS change FROM changes JOIN securities USING (ticker) GROUP BY 1, 2""",
     "size_tercile": with_views("securities", "prices") + """,
 v AS (SELECT market, ticker, round(arg_max(close, price_date) * any_value(shares), 4) AS value FROM prices JOIN securities USING (ticker) GROUP BY 1, 2),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import companies, market
+from tidemark.plans import companies, market, panels
 
 FLAGSHIP = "signal_ic_by_date"
 
-QUERIES: dict = market.QUERIES | companies.QUERIES
-ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | companies.ORACLE_SQL
+QUERIES: dict = market.QUERIES | companies.QUERIES | panels.QUERIES
+ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | companies.ORACLE_SQL | panels.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import table
@@ -26,6 +26,22 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.agg((amount / quantity).alias("close"), amount.alias("amount"))
 
 
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each price's change from the one before, capped at 30 %."""
+    before = prices(spark, sf_dir).withColumn("last", F.lag("close").over(Window.partitionBy("ticker").orderBy("price_date"))).filter("last is not null")
+    return before.select("ticker", "price_date", F.greatest(F.lit(-0.3), F.least(F.lit(0.3), F.col("close") / F.col("last") - 1)).alias("change"))
+
+
+def sector_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two intervals a security, the second in the next nation's sector, each published 30 days into it."""
+    cut = F.to_date(F.lit("1998-01-01"))
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("sector")))
+    first = F.struct(F.col("s_nationkey").alias("k"), F.to_date(F.lit("1995-01-01")).alias("effective_from"), F.date_sub(cut, 1).alias("effective_to"))
+    second = F.struct(((F.col("s_nationkey") + 1) % 25).alias("k"), cut.alias("effective_from"), F.lit(None).cast("date").alias("effective_to"))
+    rows = table(spark, sf_dir, "supplier").select(_ticker("s_suppkey").alias("ticker"), F.inline(F.array(first, second)))
+    return rows.join(nation, F.col("k") == F.col("n_nationkey")).select("ticker", "sector", "effective_from", "effective_to", F.date_add("effective_from", 30).alias("published"))
+
+
 def signal_dates(spark: SparkSession) -> DataFrame:
     first = F.sequence(F.to_date(F.lit("1996-01-01")), F.to_date(F.lit("2001-10-01")), F.expr("interval 3 months"))
     return spark.range(1).select(F.explode(first).alias("q")).select(F.last_day(F.add_months("q", 2)).alias("signal_date"))
@@ -70,6 +86,8 @@ SQL = {
     "signals": """signals AS (SELECT signal_date, ticker, round(now / before - 1, 6) AS signal FROM (
   SELECT signal_date, ticker, sum(amount) FILTER (WHERE signal_date - price_date < 182) AS now, sum(amount) FILTER (WHERE signal_date - price_date >= 182) AS before
   FROM prices JOIN dates ON signal_date - price_date >= 0 AND signal_date - price_date < 364 GROUP BY 1, 2) WHERE now IS NOT NULL AND before > 0)""",
+    "sector_intervals": """sector_intervals AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS ticker, n_name AS sector, f AS effective_from, t AS effective_to, f + 30 AS published FROM (
+  SELECT s_suppkey, s_nationkey AS k, DATE '1995-01-01' AS f, DATE '1997-12-31' AS t FROM supplier UNION ALL SELECT s_suppkey, (s_nationkey + 1) % 25, DATE '1998-01-01', NULL FROM supplier) JOIN nation ON k = n_nationkey)""",
     "filings": """filings AS (SELECT o_custkey AS issuer, (date_trunc('quarter', o_orderdate)::DATE - 1) AS period_end, o_orderdate::DATE AS available_at, o_orderkey AS version, o_totalprice AS revenue FROM orders)""",
     "facts": """facts AS (SELECT o_custkey AS issuer, year(o_orderdate)::INTEGER AS fiscal_year, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'REVENUE' WHEN 'NF' THEN 'EBIT' WHEN 'NO' THEN 'CAPEX' WHEN 'RF' THEN 'CASH' ELSE 'OTHER' END AS account,
   l_extendedprice::DECIMAL(18,2) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
