@@ -122,7 +122,7 @@ QUERIES = {
     "exact_dedup": exact_copies,
 }
 
-_WIDE = with_views("facts") + """,
+WIDE_SQL = with_views("facts") + """,
 wide AS (SELECT issuer, fiscal_year, (sum(amount) FILTER (WHERE account = 'REVENUE'))::DOUBLE AS revenue, (sum(amount) FILTER (WHERE account = 'EBIT'))::DOUBLE AS ebit,
   (sum(amount) FILTER (WHERE account = 'CAPEX'))::DOUBLE AS capex, (sum(amount) FILTER (WHERE account = 'CASH'))::DOUBLE AS cash FROM facts GROUP BY 1, 2)"""
 
@@ -137,11 +137,11 @@ SELECT issuer, prior_end, period_end, round(revenue / prior_revenue - 1, 6) AS g
     "amendment_effect": with_views("filings") + """
 SELECT issuer, period_end, count(*) AS n, round(arg_max(revenue, (available_at, version)) - arg_min(revenue, (available_at, version)), 2) AS effect
 FROM filings GROUP BY 1, 2 HAVING count(*) > 1""",
-    "pivot_fundamentals": _WIDE + "\nSELECT * FROM wide",
+    "pivot_fundamentals": WIDE_SQL + "\nSELECT * FROM wide",
     "max_abs_account": with_views("facts") + """,
 s AS (SELECT issuer, fiscal_year, account, sum(amount)::DOUBLE AS amount FROM facts GROUP BY 1, 2, 3)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY issuer, fiscal_year ORDER BY abs(amount) DESC, account) = 1""",
-    "dcf_fcff": _WIDE + """,
+    "dcf_fcff": WIDE_SQL + """,
 b AS (SELECT issuer, fiscal_year, revenue, CASE WHEN ebit IS NOT NULL THEN greatest(-0.2, least(0.35, ebit / revenue / 4)) END::DOUBLE AS margin, coalesce(cash, 0) AS cash FROM wide WHERE revenue > 0),
 y AS (SELECT *, t, revenue * pow(1.02, t) * (margin * 0.76 + 0.03 - 0.04) - (revenue * pow(1.02, t) - revenue * pow(1.02, t - 1)) * 0.10 AS fcf FROM b, range(1, 6) AS g(t)),
 v AS (SELECT issuer, fiscal_year, any_value(margin) AS margin, any_value(cash) AS cash, sum(fcf / pow(1.105, t)) AS pv, max(fcf) FILTER (WHERE t = 5) AS last FROM y GROUP BY 1, 2),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import companies, market, panels
+from tidemark.plans import companies, market, panels, texts, valuation
 
 FLAGSHIP = "signal_ic_by_date"
 
-QUERIES: dict = market.QUERIES | companies.QUERIES | panels.QUERIES
-ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | companies.ORACLE_SQL | panels.ORACLE_SQL
+QUERIES: dict = market.QUERIES | companies.QUERIES | panels.QUERIES | valuation.QUERIES | texts.QUERIES
+ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | companies.ORACLE_SQL | panels.ORACLE_SQL | valuation.ORACLE_SQL | texts.ORACLE_SQL

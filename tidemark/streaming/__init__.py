@@ -1,0 +1 @@
+"""Windowed aggregations that read a table or a stream."""
