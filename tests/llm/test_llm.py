@@ -11,14 +11,14 @@ import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from tidemark.llm import registry
+from tidemark.llm import registry, simhash
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import match_runs, pack_documents
 from tidemark.llm.pii import find_pii
 from tidemark.llm.quality import fit_rules, judge_quality
-from tidemark.llm.simhash import near_duplicates, one_of_each
+from tidemark.llm.simhash import linked, near_duplicates, one_of_each
 from tidemark.llm.tokens import count_tokens, word_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,30 @@ def test_simhash(spark, docs):
     assert got == {i: (f"{fp[i]:016x}", name[i]) for i in fp}
 
 
+@pytest.mark.parametrize("distance", [2, 4, 7])
+def test_links_of_crowded_keys_connect_the_same(spark, monkeypatch, distance):
+    """Some groups of near fingerprints, some far ones and a chain, with tiles so small that keys hold several."""
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng = np.random.default_rng(5)
+    seeds = [int(x) for x in rng.integers(0, 2**63, 6)]
+    near = {s ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)) for s in seeds for _ in range(60)}
+    chain = {(1 << k) - 1 for k in range(0, 60, 2)}
+    far = {int(x) for x in rng.integers(0, 2**63, 100)}
+    fps = sorted(x - 2**64 if x >= 2**63 else x for x in near | chain | far)
+    got = linked(spark.createDataFrame(list(zip(fps, range(len(fps)), strict=True)), "fp long, doc long"), distance).collect()
+
+    def components(links):
+        name = list(range(len(fps)))
+        for a, b in links:
+            low, high = sorted((name[a], name[b]))
+            name = [low if x == high else x for x in name]
+        return name
+
+    apart = lambda a, b: ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count()
+    want = [(a, b) for a in range(len(fps)) for b in range(a) if apart(a, b) <= distance]
+    assert components(got) == components(want)
+
+
 def test_simhash_many_near_fingerprints(spark):
     """Groups beyond the pair limit: every text of one word differs, all repeat a long common part."""
     body = " ".join(f"w{i}" for i in range(400))

@@ -22,13 +22,14 @@ an id count once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.grouped import by_key, spans
 from tidemark.shipping import ship_package
 from tidemark.sources.scratch import materialize
 
@@ -64,43 +65,6 @@ def _codes(batch: pa.RecordBatch, code: str = "code", scale: str = "scale") -> n
     return x.astype(np.float32) * batch.column(scale).to_numpy(zero_copy_only=False)[:, None].astype(np.float32)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut between keys, of rows sorted by key."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        if sum(x.num_rows for x in held) < rows:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        keys = whole.column(key).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield whole.slice(0, cut)
-            held = [whole.slice(cut)]
-        else:
-            held = [whole]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(keys)) + 1
-    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True)
-
-
-def _by_key(df: DataFrame, key: str, work: Callable[[pa.RecordBatch], list], schema: str) -> DataFrame:
-    """``work`` on whole groups of ``key``, many at a time; it returns columns."""
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, key):
-            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in work(b)], names=names)
-
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
-
-
 def _best_pairs(x: np.ndarray, ids: np.ndarray, least: np.ndarray, fresh: np.ndarray | None, most: int) -> tuple[np.ndarray, ...]:
     """For each of a few vectors its ``most`` nearest others beyond ``least``; at least one of a pair must be fresh."""
     sims = x @ x.T
@@ -158,7 +122,7 @@ def _top_links(edges: DataFrame) -> DataFrame:
         keep = rank < LINKS
         return [u[keep], v[keep], sim[keep], new[keep]]
 
-    return _by_key(edges, "u", best, "u long, v long, sim float, new boolean")
+    return by_key(edges, "u", best, "u long, v long, sim float, new boolean")
 
 
 def _first_links(coded: DataFrame, n: int) -> DataFrame:
@@ -183,12 +147,12 @@ def _first_links(coded: DataFrame, n: int) -> DataFrame:
 
     def compare(b: pa.RecordBatch) -> list:
         x, ids, out = _codes(b), b.column("id").to_numpy(zero_copy_only=False), []
-        for s, e in _groups(b.column("block").to_numpy(zero_copy_only=False)):
+        for s, e in spans(b.column("block").to_numpy(zero_copy_only=False)):
             out.append(_best_pairs(x[s:e], ids[s:e], np.full(e - s, -2.0), None, LINKS))
         u, v, sim = _joined(out)
         return [u, v, sim, np.ones(len(u), dtype=bool)]
 
-    return _top_links(_by_key(split, "block", compare, "u long, v long, sim float, new boolean"))
+    return _top_links(by_key(split, "block", compare, "u long, v long, sim float, new boolean"))
 
 
 def _messages(links: DataFrame, coded: DataFrame) -> DataFrame:
@@ -205,7 +169,7 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
     def meet(b: pa.RecordBatch) -> list:
         x, out = _codes(b), []
         ids, least, new = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "least", "new"))
-        for s, e in _groups(b.column("center").to_numpy(zero_copy_only=False)):
+        for s, e in spans(b.column("center").to_numpy(zero_copy_only=False)):
             order = np.arange(s, e) if e - s <= MEETING else s + np.random.default_rng(e - s).permutation(e - s)
             for at in range(0, len(order), MEETING):
                 part = order[at : at + MEETING]
@@ -217,7 +181,7 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
     for _ in range(ROUNDS):
         worst = links.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= LINKS, F.min("sim")).otherwise(-2.0).cast("float").alias("least"))
         sent = _messages(links, coded.join(worst, "id", "left").fillna(-2.0, ["least"]))
-        better = _by_key(sent, "center", meet, "u long, v long, sim float, new boolean")
+        better = by_key(sent, "center", meet, "u long, v long, sim float, new boolean")
         links = materialize(_top_links(links.withColumn("new", F.lit(False)).unionByName(better)), "links")
         if links.filter("new").count() <= CHANGED * n * LINKS:
             break
@@ -282,13 +246,13 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
 
     def gather(b: pa.RecordBatch) -> list:
         centers, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("center", "id"))
-        scales, codes, rows = b.column("scale").to_numpy(zero_copy_only=False), b.column("code").to_pylist(), list(_groups(centers))
+        scales, codes, rows = b.column("scale").to_numpy(zero_copy_only=False), b.column("code").to_pylist(), list(spans(centers))
         return [
             centers[[s for s, _ in rows]], pa.array([ids[s:e] for s, e in rows], pa.list_(pa.int64())),
             pa.array([scales[s:e] for s, e in rows], pa.list_(pa.float32())), pa.array([b"".join(codes[s:e]) for s, e in rows], pa.binary()),
         ]
 
-    graph = materialize(_by_key(_messages(links, coded), "center", gather, "node long, ids array<long>, scales array<float>, codes binary"), "graph")
+    graph = materialize(by_key(_messages(links, coded), "center", gather, "node long, ids array<long>, scales array<float>, codes binary"), "graph")
     asking = named.filter(is_query)
     wanted = asking.select(F.col("node").alias("query")).distinct()
     queries = materialize(wanted.join(coded, F.col("query") == F.col("id")).select("query", F.col("scale").alias("q_scale"), F.col("code").alias("q_code")), "queries")

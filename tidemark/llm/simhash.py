@@ -10,10 +10,16 @@ the least keys and candidates, estimated from counts over all fingerprints.
 
 Candidates share a key: a partition's bits with as many masked as its threshold
 says. A key with few members gives pairs to verify. A key with many gives none:
-its members meet at the values one bit away from them instead. Two values are
-within two bits if and only if both are within one bit of a third, and at most
-65 distinct fingerprints are within one bit of any value, so this is exact and
-linear for any group.
+
+* At distance two its members meet at the values one bit away from them. Two
+  values are within two bits if and only if both are within one bit of a third,
+  and at most 65 distinct fingerprints are within one bit of any value, so this
+  is exact and linear for any group.
+* At other distances its distinct fingerprints are dealt into tiles of bounded
+  size such that each pair shares one, and a tile returns links that join the
+  same fingerprints as all its pairs would, at most one a member. This is exact;
+  the comparisons grow with the square of the fingerprints to a key, spread over
+  the tiles.
 
 Defined results: a null text is an empty one; a text without words has
 fingerprint zero; rows that repeat a ``doc_id`` are fingerprinted each and
@@ -34,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.grouped import by_key, spans
 from tidemark.operators.components import connected_components
 from tidemark.shipping import ship_package
 from tidemark.sources.scratch import materialize
@@ -45,6 +52,10 @@ DISTANCE = 2
 PARTITIONS = (2, 3, 4)
 #: A key with more members than this meets at neighbouring values, not in pairs.
 PAIR_LIMIT = 24
+#: Fingerprints to a chunk; a tile holds two.
+TILE = 2048
+#: Fingerprints compared with a tile at once.
+STRIP = 256
 #: What one key costs against one candidate pair.
 KEY_COST = 2.0
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -193,10 +204,41 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _forest(x: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(seed, others)`` of each group of ``x`` joined by steps of at most ``distance`` bits."""
+    left = np.arange(len(x))
+    while len(left):
+        seed, left, edge, found = int(left[0]), left[1:], left[:1], []
+        while len(edge) and len(left):
+            strip, edge = edge[:STRIP], edge[STRIP:]
+            near = (np.bitwise_count(x[strip][:, None] ^ x[left][None, :]) <= distance).any(axis=0)
+            found.append(left[near])
+            edge, left = np.concatenate([edge, left[near]]), left[~near]
+        if found and sum(map(len, found)):
+            yield seed, np.concatenate(found)
+
+
+def _tiled(shared: DataFrame, distance: int) -> DataFrame:
+    """``(u, v)`` that connect the members of each key within ``distance``, of ``(key, fp, doc, n)``."""
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = shared.select("key", "fp", "doc", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("c"))
+    tile = lambda k: F.xxhash64("key", F.least("c", k), F.greatest("c", k))
+    tiled = dealt.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), tile)).alias("tile"), "fp", "doc")
+
+    def link(b: pa.RecordBatch) -> list:
+        fp, u, v = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for s, e in spans(b.column("tile").to_numpy(zero_copy_only=False)):
+            for seed, others in _forest(fp[s:e], distance):
+                u.append(np.full(len(others), s + seed))
+                v.append(s + others)
+        return [b.column("doc").take(pa.array(np.concatenate(side))) for side in (u, v)]
+
+    kind = shared.schema["doc"].dataType.simpleString()
+    return by_key(tiled, "tile", link, f"u {kind}, v {kind}")
+
+
 def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``(u, v)``: links between the ``doc`` of fingerprints that connect all within ``distance``, of ``(fp, doc)``."""
-    if distance != 2:
-        raise ValueError("groups meet one bit away from their members, which is a distance of two")
     keyed = materialize(distinct.select(F.explode(_keys(plan_partitions(distinct, distance))).alias("key"), "fp", "doc"), "keys")
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     shared = materialize(keyed.join(sizes, "key"), "shared")
@@ -206,9 +248,12 @@ def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         F.transform("m", lambda a, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda b: _apart(a["fp"], b["fp"]) <= distance), lambda b: F.struct(a["doc"].alias("u"), b["doc"].alias("v"))))
     )
     close = few.select(F.inline(pairs))
+    crowded = shared.filter(F.col("n") > PAIR_LIMIT)
+    if distance != 2:
+        return close.unionByName(_tiled(crowded, distance)).distinct()
 
     near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS)))
-    many = shared.filter(F.col("n") > PAIR_LIMIT).select("fp", "doc").distinct().select("doc", F.explode(near).alias("at"))
+    many = crowded.select("fp", "doc").distinct().select("doc", F.explode(near).alias("at"))
     met = many.groupBy("at").agg(F.min("doc").alias("v"), F.collect_set("doc").alias("m"))
     stars = met.filter(F.size("m") > 1).select(F.explode("m").alias("u"), "v").filter("u <> v")
     return close.unionByName(stars).distinct()
