@@ -11,7 +11,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from tidemark.llm import registry, simhash
+from tidemark.llm import registry, shingles, simhash
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neighbours import nearest
@@ -286,3 +286,44 @@ def test_pipeline_stages_follow_each_other(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SF).count() >= 0 and stage(spark, first.limit(0), SF).count() == 0
     assert pack_documents(odd).first()["length"] == 1
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_near_dedup_links_at_similarity_of_four_fifths(spark, monkeypatch, tile):
+    """Pairs from 0.5 to 1, a template with many documents at 0.6 to 0.75, a crowded group of near copies, a chain, null ids."""
+    monkeypatch.setattr(shingles, "TILE", tile)
+    rng = np.random.default_rng(11)
+    texts = []
+
+    def changed(words, n, tag):
+        out = list(words)
+        for i in rng.choice(len(out), n, replace=False):
+            out[i] = f"{tag}x{i}"
+        return out
+
+    for k in range(60):
+        body = [f"p{k}w{i}" for i in range(200)]
+        texts += [body, changed(body, k % 14, f"c{k}")]
+    template = [f"t{i}" for i in range(240)]
+    texts += [template[:200] + [f"own{k}n{i}" for i in range(36)] for k in range(40)]
+    near = [f"n{i}" for i in range(300)]
+    texts += [changed(near, 2, f"m{k}") for k in range(50)]
+    chain = [f"h{i}" for i in range(400)]
+    texts += [chain[9 * k : 9 * k + 200] for k in range(20)]
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(near)), (None, "a lone text"), (None, "A  lone text"), (900, None), (901, "")]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in data)]
+    alike = lambda a, b: a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)) > 0
+    name, order = list(range(len(data))), sorted(range(len(data)), key=lambda i: (data[i][0] is None, data[i][0] or 0))
+    for i in range(len(data)):
+        for j in range(i):
+            if name[i] != name[j] and alike(sets[i], sets[j]):
+                old, new = name[i], name[j]
+                name = [new if x == old else x for x in name]
+    want, seen = [], set()
+    for i in order:
+        if name[i] not in seen:
+            seen.add(name[i])
+            want.append(data[i][0])
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
