@@ -11,7 +11,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from tidemark.llm import registry, shingles, simhash
+from tidemark.llm import neighbours, registry, shingles, simhash
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neighbours import nearest
@@ -327,3 +327,27 @@ def test_near_dedup_links_at_similarity_of_four_fifths(spark, monkeypatch, tile)
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def neighbour_recall(spark, monkeypatch, x):
+    """Of the 20 of largest inner product, with starts for searches among few of the nodes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neighbours, "ENTRIES", 256, raising=False)
+    got = {}
+    for r in nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 50):
+        best = [k for k in np.argsort(-(x @ x[q])).tolist() if k != q][:20]
+        hits += len(set(best) & got[q])
+    return hits / (20 * len(range(0, len(x), 50)))
+
+
+@pytest.mark.parametrize("kind", ["near copies", "outlier"])
+def test_neighbours_tells_fine_differences(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1, 64)) / 8 + 0.003 * rng.normal(size=(2500, 64)) if kind == "near copies" else rng.normal(size=(2500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 100 if kind == "outlier" else 1
+    assert neighbour_recall(spark, monkeypatch, x) >= 0.9

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search in it.
 
-Equal vectors collapse into one node. Vectors get one more component that makes
-their lengths equal, so that the largest inner product is also the nearest, and
-are held as one byte a component while the graph is built and searched.
+Equal vectors collapse into one node. Vectors are divided by the greatest length
+and sent in single precision, with one more component that makes their lengths
+equal in the graph and the search.
 
 * Start: nodes that share a near pivot are compared block by block.
 * NN-descent: in each round every node sends its vector to the nodes it is
@@ -56,18 +56,23 @@ def clean_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding
     return kept.filter(F.size("x") == (sizes["d"] if sizes else -1))
 
 
-def _codes(batch: pa.RecordBatch, code: str = "code", scale: str = "scale") -> np.ndarray:
-    """The vectors of a batch's byte codes."""
+def _vectors(batch: pa.RecordBatch, code: str = "code") -> np.ndarray:
+    """A batch's vectors, in double precision."""
     column = batch.column(code)
     if not len(column):
-        return np.zeros((0, 0), dtype=np.float32)
-    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(len(column), -1)
-    return x.astype(np.float32) * batch.column(scale).to_numpy(zero_copy_only=False)[:, None].astype(np.float32)
+        return np.zeros((0, 0))
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(len(column), -1).astype(np.float64)
+
+
+def _level(x: np.ndarray) -> np.ndarray:
+    """Vectors with the component that makes all lengths one."""
+    return np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))[:, None]])
 
 
 def _best_pairs(x: np.ndarray, ids: np.ndarray, least: np.ndarray, fresh: np.ndarray | None, most: int) -> tuple[np.ndarray, ...]:
     """For each of a few vectors its ``most`` nearest others beyond ``least``; at least one of a pair must be fresh."""
-    sims = x @ x.T
+    # less one, so that single precision tells near copies apart
+    sims = x @ x.T - 1.0
     sims[ids[:, None] == ids[None, :]] = -np.inf
     if fresh is not None:
         sims[~(fresh[:, None] | fresh[None, :])] = -np.inf
@@ -87,21 +92,18 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
 
 
 def _coded(nodes: DataFrame) -> DataFrame:
-    """``(id, scale, code)``: vectors with the component that makes lengths equal, a byte a component."""
-    longest = nodes.select(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("n")).agg(F.max("n")).first()[0] or 1.0
+    """``(id, code)``: vectors over the greatest length, in single precision."""
+    length = F.sqrt(F.aggregate(F.transform("x", lambda v: F.pow(v / F.col("_most"), F.lit(2.0))), F.lit(0.0), lambda a, v: a + v)) * F.col("_most")
+    most = F.array_max(F.transform("x", F.abs))
+    longest = nodes.withColumn("_most", most).agg(F.max(length)).first()[0] or 1.0
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.array(b.column("x").to_pylist(), dtype=np.float64) / longest
-            more = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))
-            x = np.hstack([x, np.where(more < 1e-6, 0.0, more)[:, None]])
-            scale = np.abs(x).max(axis=1) / 127
-            codes = np.rint(x / scale[:, None]).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scale.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "scale", "code"])
+            if b.num_rows:
+                x = (np.array(b.column("x").to_pylist(), dtype=np.float64) / longest).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "code"])
 
-    return nodes.mapInArrow(code, "id long, scale float, code binary")
+    return nodes.mapInArrow(code, "id long, code binary")
 
 
 def _top_links(edges: DataFrame) -> DataFrame:
@@ -129,26 +131,26 @@ def _first_links(coded: DataFrame, n: int) -> DataFrame:
     """Links between nodes that share a near pivot, compared in blocks of about ``BLOCK``."""
     wanted = int(min(MAX_PIVOTS, max(1, NEAR_PIVOTS * n // BLOCK)))
     got = coded.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow().combine_chunks().to_batches()
-    pivots = coded.sparkSession.sparkContext.broadcast(_codes(got[0]) if got else None)
+    pivots = coded.sparkSession.sparkContext.broadcast(_level(_vectors(got[0])) if got else None)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sims = _codes(b) @ pivots.value.T
+                sims = _level(_vectors(b)) @ pivots.value.T
                 k = min(NEAR_PIVOTS, sims.shape[1])
                 pick = np.argpartition(-sims, k - 1, axis=1)[:, :k].astype(np.int64)
                 at = pa.array(np.repeat(np.arange(b.num_rows), k))
-                yield pa.RecordBatch.from_arrays([pa.array(pick.ravel()), *(b.column(c).take(at) for c in ("id", "scale", "code"))], names=["pivot", "id", "scale", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(pick.ravel()), *(b.column(c).take(at) for c in ("id", "code"))], names=["pivot", "id", "code"])
 
-    placed = materialize(coded.mapInArrow(near, "pivot long, id long, scale float, code binary"), "blocks")
+    placed = materialize(coded.mapInArrow(near, "pivot long, id long, code binary"), "blocks")
     parts = placed.groupBy("pivot").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("_parts"))
     split = placed.join(F.broadcast(parts), "pivot")
-    split = split.withColumn("block", F.xxhash64("pivot", F.pmod(F.xxhash64("id"), F.col("_parts")))).select("block", "id", "scale", "code")
+    split = split.withColumn("block", F.xxhash64("pivot", F.pmod(F.xxhash64("id"), F.col("_parts")))).select("block", "id", "code")
 
     def compare(b: pa.RecordBatch) -> list:
-        x, ids, out = _codes(b), b.column("id").to_numpy(zero_copy_only=False), []
+        x, ids, out = _level(_vectors(b)), b.column("id").to_numpy(zero_copy_only=False), []
         for s, e in spans(b.column("block").to_numpy(zero_copy_only=False)):
-            out.append(_best_pairs(x[s:e], ids[s:e], np.full(e - s, -2.0), None, LINKS))
+            out.append(_best_pairs(x[s:e], ids[s:e], np.full(e - s, -3.0), None, LINKS))
         u, v, sim = _joined(out)
         return [u, v, sim, np.ones(len(u), dtype=bool)]
 
@@ -167,7 +169,7 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
     links = materialize(_first_links(coded, n), "links")
 
     def meet(b: pa.RecordBatch) -> list:
-        x, out = _codes(b), []
+        x, out = _level(_vectors(b)), []
         ids, least, new = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "least", "new"))
         for s, e in spans(b.column("center").to_numpy(zero_copy_only=False)):
             order = np.arange(s, e) if e - s <= MEETING else s + np.random.default_rng(e - s).permutation(e - s)
@@ -179,8 +181,8 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
         return [u, v, sim, np.ones(len(u), dtype=bool)]
 
     for _ in range(ROUNDS):
-        worst = links.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= LINKS, F.min("sim")).otherwise(-2.0).cast("float").alias("least"))
-        sent = _messages(links, coded.join(worst, "id", "left").fillna(-2.0, ["least"]))
+        worst = links.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= LINKS, F.min("sim")).otherwise(-3.0).cast("float").alias("least"))
+        sent = _messages(links, coded.join(worst, "id", "left").fillna(-3.0, ["least"]))
         better = by_key(sent, "center", meet, "u long, v long, sim float, new boolean")
         links = materialize(_top_links(links.withColumn("new", F.lit(False)).unionByName(better)), "links")
         if links.filter("new").count() <= CHANGED * n * LINKS:
@@ -193,36 +195,36 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def search_graph(graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query, id)``: candidates by greedy search of ``graph(node, ids, scales, codes)`` from each query's own node.
+    """``(query, id)``: candidates by greedy search of ``graph(node, ids, codes)`` from each query's own node.
 
-    ``queries(query, q_scale, q_code)``: a query's name is its node.
+    ``queries(query, q_code)``: a query's name is its node.
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             query, ids, sims = [], [], []
-            qs = _codes(b, "q_code", "q_scale")
-            for i, (name, near, scales, codes, least) in enumerate(zip(*(b.column(c).to_pylist() for c in ("query", "ids", "scales", "codes", "least")), strict=True)):
-                x = np.frombuffer(codes, dtype=np.int8).reshape(len(near), -1).astype(np.float32)
-                s = (x @ qs[i]) * np.array(scales, dtype=np.float32)
+            qs = _level(_vectors(b, "q_code"))
+            for i, (name, near, codes, least) in enumerate(zip(*(b.column(c).to_pylist() for c in ("query", "ids", "codes", "least")), strict=True)):
+                s = _level(np.frombuffer(codes, dtype=np.float32).reshape(len(near), -1).astype(np.float64)) @ qs[i]
                 ok = s > least
                 query.append(np.full(int(ok.sum()), name, dtype=np.int64))
                 ids.append(np.array(near, dtype=np.int64)[ok])
-                sims.append(s[ok].astype(np.float32))
+                sims.append(s[ok])
             if query:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (query, ids, sims)], names=["query", "id", "sim"])
 
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
-    beam = materialize(queries.select("query", F.col("query").alias("id"), F.lit(2.0).cast("float").alias("sim"), F.lit(False).alias("done")), "beam")
+    own = queries.select("query", F.col("query").alias("id"), F.lit(2.0).alias("sim"))
+    beam = materialize(own.withColumn("done", F.lit(False)), "beam")
     for _ in range(SEARCH_ROUNDS):
         open_ = beam.filter("not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= WIDTH)
         least = beam.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("sim")).otherwise(-2.0).alias("least"))
         asked = materialize(open_.select("query", "id").join(queries, "query").join(least, "query").withColumnRenamed("id", "node"), "asked")
         if not asked.limit(1).count():
             break
-        found = graph.join(_sized(asked), "node").select("query", "q_scale", "q_code", "least", "ids", "scales", "codes").mapInArrow(expand, "query long, id long, sim float")
+        found = graph.join(_sized(asked), "node").select("query", "q_code", "least", "ids", "codes").mapInArrow(expand, "query long, id long, sim double")
         known = beam.unionByName(found.withColumn("done", F.lit(False))).unionByName(
-            asked.select("query", F.col("node").alias("id"), F.lit(None).cast("float").alias("sim"), F.lit(True).alias("done"))
+            asked.select("query", F.col("node").alias("id"), F.lit(None).cast("double").alias("sim"), F.lit(True).alias("done"))
         )
         merged = known.groupBy("query", "id").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
         beam = materialize(merged.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= BEAM).drop("r"), "beam")
@@ -246,16 +248,16 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
 
     def gather(b: pa.RecordBatch) -> list:
         centers, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("center", "id"))
-        scales, codes, rows = b.column("scale").to_numpy(zero_copy_only=False), b.column("code").to_pylist(), list(spans(centers))
+        codes, rows = b.column("code").to_pylist(), list(spans(centers))
         return [
             centers[[s for s, _ in rows]], pa.array([ids[s:e] for s, e in rows], pa.list_(pa.int64())),
-            pa.array([scales[s:e] for s, e in rows], pa.list_(pa.float32())), pa.array([b"".join(codes[s:e]) for s, e in rows], pa.binary()),
+            pa.array([b"".join(codes[s:e]) for s, e in rows], pa.binary()),
         ]
 
-    graph = materialize(by_key(_messages(links, coded), "center", gather, "node long, ids array<long>, scales array<float>, codes binary"), "graph")
+    graph = materialize(by_key(_messages(links, coded), "center", gather, "node long, ids array<long>, codes binary"), "graph")
     asking = named.filter(is_query)
     wanted = asking.select(F.col("node").alias("query")).distinct()
-    queries = materialize(wanted.join(coded, F.col("query") == F.col("id")).select("query", F.col("scale").alias("q_scale"), F.col("code").alias("q_code")), "queries")
+    queries = materialize(wanted.join(coded, F.col("query") == F.col("id")).select("query", F.col("code").alias("q_code")), "queries")
     pairs = search_graph(graph, queries)
     q, c = nodes.select(F.col("id").alias("query"), F.col("x").alias("qx")), nodes.select("id", F.col("x").alias("cx"))
     scored = pairs.join(q, "query").join(c, "id").select("query", F.col("id").alias("node"), _dot(F.col("qx"), F.col("cx")).alias("score"))
