@@ -351,3 +351,10 @@ def test_neighbours_tells_fine_differences(spark, monkeypatch, kind):
     x /= np.linalg.norm(x, axis=1)[:, None]
     x[7] *= 100 if kind == "outlier" else 1
     assert neighbour_recall(spark, monkeypatch, x) >= 0.9
+
+
+def test_neighbours_by_inner_product_of_varied_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 64))
+    x *= rng.uniform(0.2, 1, (2500, 1)) / np.linalg.norm(x, axis=1)[:, None]
+    assert neighbour_recall(spark, monkeypatch, x) >= 0.9

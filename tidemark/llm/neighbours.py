@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search in it.
 
 Equal vectors collapse into one node. Vectors are divided by the greatest length
-and sent in single precision, with one more component that makes their lengths
-equal in the graph and the search.
+and sent in single precision. In the graph they have one more component that
+makes their lengths equal; a query has zero there, so that what is nearest to it
+has the largest inner product, whatever the lengths.
 
 * Start: nodes that share a near pivot are compared block by block.
 * NN-descent: in each round every node sends its vector to the nodes it is
   linked with, and every node compares those it heard from: neighbours of
   neighbours meet. Better ones replace worse ones; only pairs with a link that
   is new are compared. Rounds end when few links change.
-* Search: each query starts at its own node and expands its best unexpanded
-  candidates, until the best ``BEAM`` are expanded.
+* Search: each query starts at its own node and at the best of a bounded sample,
+  half of it the longest vectors, and expands its best unexpanded candidates by
+  inner product, until the best ``BEAM`` are expanded.
 * The candidates found are scored again on the original vectors in double
   precision, and nodes are expanded into the rows they stand for.
 
@@ -42,6 +44,8 @@ ROUNDS, CHANGED = 8, 0.01
 #: Members that meet at once; a node that more are linked with holds several meetings.
 MEETING = 96
 BEAM, WIDTH, SEARCH_ROUNDS = 96, 32, 8
+#: Nodes among which a search looks for its starts, half of them the longest.
+ENTRIES = 4096
 #: So many requests of some 100 bytes are broadcast to the graph; more are shuffled with it.
 BROADCAST_ROWS = 300_000
 
@@ -194,8 +198,38 @@ def _sized(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def search_graph(graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query, id)``: candidates by greedy search of ``graph(node, ids, codes)`` from each query's own node.
+def _starts(coded: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query, id, sim)``: the ``WIDTH`` best by inner product of a bounded sample of nodes."""
+
+    def length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((_vectors(b) ** 2).sum(axis=1))], names=["id", "code", "length"])
+
+    half = ENTRIES // 2
+    long = coded.mapInArrow(length, "id long, code binary, length double").orderBy(F.desc("length"), "id").limit(half).select("id", "code")
+    any_ = coded.orderBy(F.xxhash64("id"), "id").limit(half)
+    got = long.unionByName(any_).dropDuplicates(["id"]).toArrow().combine_chunks().to_batches()
+    entries = coded.sparkSession.sparkContext.broadcast((got[0].column("id").to_numpy(), _vectors(got[0])) if got else None)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids, x = entries.value
+                k = min(WIDTH, len(ids))
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    sims = _vectors(part, "q_code") @ x.T
+                    pick = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                    names = part.column("query").to_numpy(zero_copy_only=False)
+                    columns = (np.repeat(names, k), ids[pick.ravel()], np.take_along_axis(sims, pick, axis=1).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "id", "sim"])
+
+    return queries.mapInArrow(best, "query long, id long, sim double").filter("query <> id")
+
+
+def search_graph(graph: DataFrame, queries: DataFrame, coded: DataFrame) -> DataFrame:
+    """``(query, id)``: candidates by greedy search of ``graph(node, ids, codes)`` from each query's own node and ``_starts``.
 
     ``queries(query, q_code)``: a query's name is its node.
     """
@@ -203,9 +237,9 @@ def search_graph(graph: DataFrame, queries: DataFrame) -> DataFrame:
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             query, ids, sims = [], [], []
-            qs = _level(_vectors(b, "q_code"))
+            qs = _vectors(b, "q_code")
             for i, (name, near, codes, least) in enumerate(zip(*(b.column(c).to_pylist() for c in ("query", "ids", "codes", "least")), strict=True)):
-                s = _level(np.frombuffer(codes, dtype=np.float32).reshape(len(near), -1).astype(np.float64)) @ qs[i]
+                s = np.frombuffer(codes, dtype=np.float32).reshape(len(near), -1).astype(np.float64) @ qs[i]
                 ok = s > least
                 query.append(np.full(int(ok.sum()), name, dtype=np.int64))
                 ids.append(np.array(near, dtype=np.int64)[ok])
@@ -215,7 +249,7 @@ def search_graph(graph: DataFrame, queries: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     own = queries.select("query", F.col("query").alias("id"), F.lit(2.0).alias("sim"))
-    beam = materialize(own.withColumn("done", F.lit(False)), "beam")
+    beam = materialize(own.unionByName(_starts(coded, queries)).withColumn("done", F.lit(False)), "beam")
     for _ in range(SEARCH_ROUNDS):
         open_ = beam.filter("not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= WIDTH)
         least = beam.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("sim")).otherwise(-2.0).alias("least"))
@@ -258,7 +292,7 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     asking = named.filter(is_query)
     wanted = asking.select(F.col("node").alias("query")).distinct()
     queries = materialize(wanted.join(coded, F.col("query") == F.col("id")).select("query", F.col("code").alias("q_code")), "queries")
-    pairs = search_graph(graph, queries)
+    pairs = search_graph(graph, queries, coded)
     q, c = nodes.select(F.col("id").alias("query"), F.col("x").alias("qx")), nodes.select("id", F.col("x").alias("cx"))
     scored = pairs.join(q, "query").join(c, "id").select("query", F.col("id").alias("node"), _dot(F.col("qx"), F.col("cx")).alias("score"))
 
