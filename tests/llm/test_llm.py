@@ -358,3 +358,11 @@ def test_neighbours_by_inner_product_of_varied_lengths(spark, monkeypatch):
     x = rng.normal(size=(2500, 64))
     x *= rng.uniform(0.2, 1, (2500, 1)) / np.linalg.norm(x, axis=1)[:, None]
     assert neighbour_recall(spark, monkeypatch, x) >= 0.9
+
+
+def test_line_dedup_rows_of_one_id_are_told_apart(spark):
+    """Null ids and different texts under one id: only lines that repeat go."""
+    line = "a b c d e"
+    texts = [(None, f"{line}\nu1 u2 u3 u4 u5"), (None, f"v1 v2 v3 v4 v5\n{line}"), (None, f"w1 w2 w3 w4 w5\nx1 x2 x3 x4 x5"), (7, f"{line}\ny1 y2 y3 y4 y5"), (7, "z1 z2 z3 z4 z5\nq1 q2 q3 q4 q5"), (7, "z1 z2 z3 z4 z5\nr1 r2 r3 r4 r5")]
+    got = [x for r in dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect() for x in r["text"].split("\n") if x]
+    assert sorted(got) == sorted({x for _, t in texts for x in t.split("\n")})

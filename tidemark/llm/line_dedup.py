@@ -1,7 +1,7 @@
 """Line deduplication: deletion-neighbourhood join, earliest line kept.
 
 A line counts from ``MIN_WORDS`` words, lower-cased and with white space
-collapsed. It is dropped if an earlier line, by ``(doc_id, line number)``, is
+collapsed. It is dropped if an earlier line, by ``(doc_id, digest of the text, line number)``, is
 equal or one word edit away (a word replaced, inserted or deleted). "Earlier"
 does not ask whether that line is itself dropped, so the result is fixed by the
 corpus alone and needs no rounds.
@@ -20,9 +20,10 @@ Every line emits at least eleven keys, so no key can hold more than a small
 share of them, whatever the text.
 
 Defined results: a null text stays null and has no lines; shorter lines and
-blank ones are never dropped; rows that repeat a ``doc_id`` are the same
-document, so their lines are not duplicates of each other; a null ``doc_id``
-comes before all others; columns named ``n_lines``, ``n_dropped`` and
+blank ones are never dropped; rows that repeat a ``doc_id`` and its
+text are the same document, so their lines are not duplicates of each other;
+different texts under one ``doc_id`` or a null one are different documents; a
+null ``doc_id`` comes before all others; columns named ``n_lines``, ``n_dropped`` and
 ``dropped`` are replaced.
 """
 
@@ -49,23 +50,29 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, " ", -1), "")
 
 
+def _digest(text: str) -> Column:
+    """What tells rows of one ``doc_id`` apart."""
+    return F.xxhash64(text)
+
+
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """``(doc_id, line_no, words)`` of the lines that count.
+    """``(doc_id, digest, line_no, words)`` of the lines that count.
 
     Words are made inside the generator: a filter on a projected column would
     be pushed below it, and each line cut up twice.
     """
     cut = F.transform(_cut(F.col(text)), _words)
-    return docs.select("doc_id", F.posexplode(cut).alias("line_no", "words")).filter(F.size("words") >= MIN_WORDS)
+    return docs.select("doc_id", _digest(text).alias("digest"), F.posexplode(cut).alias("line_no", "words")).filter(F.size("words") >= MIN_WORDS)
 
 
 def _chosen_lines(docs: DataFrame, text: str, chosen: DataFrame) -> DataFrame:
     """``(first, words)`` of the lines at the places ``chosen(first)``; other lines are not cut into words."""
-    wanted = chosen.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_set("first.line_no").alias("_at"))
-    met = docs.join(_sized(materialize(wanted, "wanted")), docs["doc_id"].eqNullSafe(F.col("_doc")))
+    wanted = chosen.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest")).agg(F.collect_set("first.line_no").alias("_at"))
+    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (_digest(text) == F.col("_digest"))
+    met = docs.join(_sized(materialize(wanted, "wanted")), same)
     words = let(_cut(F.col(text)), lambda lines: F.transform("_at", lambda i: F.struct(i.alias("i"), _words(F.get(lines, i)).alias("words"))))
-    found = met.select("doc_id", F.inline(words))
-    return found.filter(F.size("words") >= MIN_WORDS).select(F.struct("doc_id", F.col("i").alias("line_no")).alias("first"), "words").dropDuplicates(["first"])
+    found = met.select("doc_id", F.col("_digest").alias("digest"), F.inline(words))
+    return found.filter(F.size("words") >= MIN_WORDS).select(F.struct("doc_id", "digest", F.col("i").alias("line_no")).alias("first"), "words").dropDuplicates(["first"])
 
 
 def _halves(words: Column) -> Column:
@@ -142,10 +149,10 @@ def _near_classes(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, dropped)``: the sorted numbers, from 0, of the lines to drop; documents without any are absent."""
+    """``(doc_id, digest, dropped)``: the sorted numbers, from 0, of the lines to drop; documents without any are absent."""
     lines = materialize(
         _lines(docs, text).select(
-            F.struct("doc_id", "line_no").alias("place"),
+            F.struct("doc_id", "digest", "line_no").alias("place"),
             F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"),
             _halves(F.col("words")).alias("halves"),
         ), "lines",
@@ -160,7 +167,7 @@ def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         .filter("near or first <> last"), "flagged",
     )
     gone = lines.select("place", "h1", "h2").join(flagged, ["h1", "h2"]).filter("near or place <> first")
-    return gone.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_set("place.line_no")).alias("dropped"))
+    return gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.digest").alias("digest")).agg(F.sort_array(F.collect_set("place.line_no")).alias("dropped"))
 
 
 def _kept_text(text: Column, dropped: Column) -> Column:
@@ -177,9 +184,10 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows with ``text`` rebuilt from the kept lines, ``n_lines``, ``n_dropped`` and ``dropped``."""
     docs = docs.drop("n_lines", "n_dropped", "dropped")
     gone = materialize(dropped_lines(docs.select("doc_id", text), text), "dropped")
-    small = _sized(gone).withColumnRenamed("doc_id", "_doc")
+    small = _sized(gone).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
     none = F.array().cast("array<int>")
-    joined = docs.join(small, docs["doc_id"].eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (_digest(text) == F.col("_digest"))
+    joined = docs.join(small, same, "left").drop("_doc", "_digest")
     return joined.select(
         *(F.when(F.col("dropped").isNull(), F.col(c)).otherwise(_kept_text(F.col(c), F.col("dropped"))).alias(c) if c == text else c for c in docs.columns),
         F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
