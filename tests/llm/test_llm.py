@@ -366,3 +366,15 @@ def test_line_dedup_rows_of_one_id_are_told_apart(spark):
     texts = [(None, f"{line}\nu1 u2 u3 u4 u5"), (None, f"v1 v2 v3 v4 v5\n{line}"), (None, f"w1 w2 w3 w4 w5\nx1 x2 x3 x4 x5"), (7, f"{line}\ny1 y2 y3 y4 y5"), (7, "z1 z2 z3 z4 z5\nq1 q2 q3 q4 q5"), (7, "z1 z2 z3 z4 z5\nr1 r2 r3 r4 r5")]
     got = [x for r in dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect() for x in r["text"].split("\n") if x]
     assert sorted(got) == sorted({x for _, t in texts for x in t.split("\n")})
+
+
+def test_mixing_takes_any_rate(spark):
+    """A one-row source beside many rows: rates beyond one draw's, with means as asked for."""
+    df = spark.createDataFrame([(i, "t", "a") for i in range(2000)] + [(5000 + i, "t", "b") for i in range(3)], "doc_id long, text string, source string")
+    w = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, weight double")
+    out = mix_sources(df, w).filter("source = 'b'").groupBy("doc_id").agg({"rate": "max", "n_copies": "max", "copy": "count"}).collect()
+    assert len(out) == 3
+    for r in out:
+        assert abs(r["max(rate)"] - 0.75 * 2003 / 3) < 1e-9
+        assert r["max(n_copies)"] == r["count(copy)"] and abs(r["count(copy)"] - r["max(rate)"]) < 6 * r["max(rate)"] ** 0.5
+    assert len({r["count(copy)"] for r in out}) > 1

@@ -3,7 +3,8 @@
 A source's mean repetition rate is its target share of all documents over its
 present one. Each document inverts a Poisson distribution of that mean at a
 uniform number hashed from its id, is repeated so often, and all copies are
-shuffled by a hash. One aggregation over sources, one shuffle of the copies.
+shuffled by a hash. A rate over ``MAX_RATE`` is cut into equal parts, each drawn
+from a number of its own, and the counts are added: their sum has the whole rate. One aggregation over sources, one shuffle of the copies.
 
 Defined results: a null source is a source of its own; documents of a source
 without a weight are left out; an empty table gives an empty result; rows that
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 #: Weight of a source of n documents, where none are given: n to this power.
 TEMPERATURE = 0.5
 SEED = 42
-#: Rates beyond this are refused: the distribution is summed term by term.
+#: The greatest rate of one draw: the distribution is summed term by term.
 MAX_RATE = 200.0
 #: Up to so many sources their rates are broadcast.
 BROADCAST_SOURCES = 100_000
@@ -45,7 +46,7 @@ def _cumulative(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, source: str = "source") -> DataFrame:
-    """``(source, rate, cdf)``; ``weights(source, weight)`` need not add up to one."""
+    """``(source, rate, parts, cdf)``, ``cdf`` being that of one of ``parts`` draws; ``weights(source, weight)`` need not add up to one."""
     counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_n"))
     if weights is None:
         weighed = counts.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(TEMPERATURE)))
@@ -54,8 +55,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source: str
         weighed = counts.join(named, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     totals = weighed.agg(F.sum("_w").alias("_tw"), F.sum("_n").alias("_tn"))
     rated = weighed.join(F.broadcast(totals)).select("_source", (F.col("_w") / F.col("_tw") * F.col("_tn") / F.col("_n")).alias("rate"))
-    checked = rated.withColumn("rate", F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit(f"a rate is over {MAX_RATE}"))).otherwise(F.col("rate")))
-    return checked.withColumn("_cdf", _cumulative(F.col("rate")))
+    parted = rated.withColumn("_parts", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int"))
+    return parted.withColumn("_cdf", _cumulative(F.col("rate") / F.col("_parts")))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", seed: int = SEED) -> DataFrame:
@@ -65,8 +66,16 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str =
     if docs.select(source).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    u = uniform(F.lit(str(seed)), F.lit("count"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    counted = drawn.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("long")).drop("_cdf", "_u")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    first = uniform(F.lit(str(seed)), F.lit("count"), name)
+    below = lambda u: F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")
+    later = F.aggregate(
+        F.transform(F.sequence(F.lit(2), F.col("_parts")), lambda k: uniform(F.lit(str(seed)), F.lit("count"), name, k.cast("string"))),
+        F.lit(0).cast("long"),
+        lambda n, u: n + below(u),
+    )
+    counted = drawn.withColumn("_u", first).withColumn("n_copies", below(F.col("_u")))
+    counted = counted.withColumn("n_copies", F.col("n_copies") + F.when(F.col("_parts") > 1, later).otherwise(0)).drop("_cdf", "_u", "_parts")
     copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy")))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
