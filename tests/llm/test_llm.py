@@ -378,3 +378,10 @@ def test_mixing_takes_any_rate(spark):
         assert abs(r["max(rate)"] - 0.75 * 2003 / 3) < 1e-9
         assert r["max(n_copies)"] == r["count(copy)"] and abs(r["count(copy)"] - r["max(rate)"]) < 6 * r["max(rate)"] ** 0.5
     assert len({r["count(copy)"] for r in out}) > 1
+
+
+def test_pii_cards_without_adjacent_digits(spark):
+    texts = [" ".join("4111111111111111"), "-".join("4111111111111111"), "pay " + " ".join("4111111111111112"), "4"]
+    for r in find_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect():
+        got = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["pii"] if s["kind"] in ("email", "ip", "card", "phone")]
+        assert got == base_spans(r["text"]), r["text"]

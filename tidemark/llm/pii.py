@@ -29,7 +29,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without a match of this has none of the pattern.
-GATES = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
+GATES = {"email": "@", "ip": ".", "card": r"[0-9][\x20-]?[0-9]", "phone": "+", "iban": "[0-9]{2}", "ssn": "-"}
 
 CONTEXT = {
     "email": r"(?i)e-?mail|contact|write|mailto",
@@ -98,7 +98,7 @@ def _found(text: Column, kind: str) -> Column:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         return let(hits, lambda h: F.when(F.size(h) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda p: located(p, h))))
 
-    gate = text.rlike("[0-9]{2}") if GATES[kind] is None else text.contains(GATES[kind])
+    gate = text.rlike(GATES[kind]) if "[" in GATES[kind] else text.contains(GATES[kind])
     return F.when(gate, search()).otherwise(none)
 
 
