@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import textwrap
 import zlib
 
 import duckdb
@@ -12,6 +13,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from tidemark.llm import neighbours, registry, shingles, simhash
+from tidemark.llm.licenses import TEMPLATES, scan_licenses
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neighbours import nearest
@@ -385,3 +387,17 @@ def test_pii_cards_without_adjacent_digits(spark):
     for r in find_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect():
         got = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["pii"] if s["kind"] in ("email", "ip", "card", "phone")]
         assert got == base_spans(r["text"]), r["text"]
+
+
+def test_licenses_of_wrapped_headers(spark, docs):
+    """Labels and score against brute force over stretches of the whole text."""
+    templates = [(label, t) for label, ts in TEMPLATES.items() for t in ts]
+    texts = [f"{'lead ' * k}" + "\n * ".join(textwrap.wrap(t, 30 + 7 * k)) + "\n tail" * (40 * k) for k in range(3) for _, t in templates]
+    texts += [t[: len(t) // 2] for _, t in templates] + [None] + list(docs.values())[:60]
+    for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r["text"] if "text" in r else texts[r["doc_id"]] or "")]
+        blocks = [set(words[at : at + 64]) for at in range(0, max(1, len(words)), 32)]
+        held = [(max(len(b & set(t.split())) for b in blocks) / len(set(t.split())), label) for label, t in templates]
+        met = [(s, label) for s, label in held if s >= 0.8]
+        assert r["found"] == sorted({label for _, label in met}), texts[r["doc_id"]]
+        assert r["score"] == max((s for s, _ in met), default=0.0)

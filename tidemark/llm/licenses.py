@@ -1,7 +1,8 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line's stretch of ``BLOCK_WORDS`` words; stretches start every
-half of that, so any passage of half a block lies whole in one. A template
+A block is a stretch of ``BLOCK_WORDS`` of the text's words, line breaks parting
+words like any other; stretches start every half of that, so any passage of half
+a block lies whole in one. A template
 meets a block if the block holds at least ``THRESHOLD`` of the template's
 distinct words. The join orders tokens by their frequency over the whole
 corpus, rarest first, and compares only blocks that hold one of a template's
@@ -109,15 +110,11 @@ def token_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda t: (found.get(t, 0), t))
 
 
-def _blocks(lines: Column) -> Column:
-    """Stretches of ``BLOCK_WORDS`` words of each line, starting every half of that."""
+def _blocks(text: Column) -> Column:
+    """Stretches of ``BLOCK_WORDS`` words, starting every half of that."""
     half = BLOCK_WORDS // 2
-
-    def of_line(line: Column) -> Column:
-        words = _lower_words(line)
-        return let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / half).cast("int") - 2, F.lit(0))), lambda k: F.slice(w, k * half + 1, BLOCK_WORDS)))
-
-    return F.flatten(F.transform(lines, of_line))
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / half).cast("int") - 2, F.lit(0)))
+    return let(_lower_words(text), lambda w: F.transform(starts(w), lambda k: F.slice(w, k * half + 1, BLOCK_WORDS)))
 
 
 def template_matches(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -140,7 +137,7 @@ def template_matches(docs: DataFrame, text: str = "text", threshold: float = THR
 
     rare = "(?i)(?<= )(?:" + "|".join(prefixes) + ")(?= )"
     near = docs.select("doc_id", text).filter(_spaced(body).rlike(rare))
-    blocks = near.select("doc_id", F.explode(_blocks(F.split(body, "\n", -1))).alias("block"))
+    blocks = near.select("doc_id", F.explode(_blocks(body)).alias("block"))
     known = F.array(*map(F.lit, order))
     # array_intersect keeps the order of its first argument: the frequency order
     ordered = blocks.select("doc_id", F.array_intersect(known, "block").alias("held"))
