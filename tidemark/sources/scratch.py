@@ -2,27 +2,35 @@
 
 An intermediate that several later jobs read is written once as Parquet and
 read back. That cuts lineage, survives the loss of any executor, and is
-evaluated exactly once.
+evaluated exactly once. One whose successors are written is released: its
+folder goes at once, so that disk use follows the largest step, not their sum.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table whose files hold at most so many bytes may be broadcast.
+BROADCAST_BYTES = 8 << 20
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only on a local master, where the executors share the driver's disk, may it be unset.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before:
-            return set_before.rstrip("/")
-        named = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(named)
-        return spark.sparkContext.getCheckpointDir().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -31,4 +39,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``materialize`` returned; nothing may read them any more."""
+    for df in tables:
+        path = _FOLDERS.pop(df, None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A table that ``materialize`` returned, marked for broadcast if its files are small; larger ones are shuffled."""
+    path = _FOLDERS.get(df)
+    if path is None:
+        raise ValueError("only a materialized table has a known size")
+    jvm = df.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    held = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
