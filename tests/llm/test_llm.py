@@ -175,11 +175,32 @@ def test_packing(spark, docs):
     assert len(seqs) <= 1.03 * sum(map(len, ids.values())) / 2048 + 1
 
 
-def test_match_runs_places_each_rank_once():
-    counts = {2048: 3, 1500: 7, 700: 20, 548: 5, 300: 40, 1: 90}
-    runs = match_runs(counts)
-    for length, n in counts.items():
-        assert sorted(k for x in runs if x[0] == length for k in range(x[1], x[2])) == list(range(n))
+@pytest.mark.parametrize("counts", [{2048: 3, 1500: 7, 700: 20, 548: 5, 300: 40, 1: 90}, {1: 5000}, {1025: 4}, {1024: 5, 3: 1}, {2048: 2}, {}])
+def test_match_runs_places_each_rank_once(spark, counts):
+    """Every document has a place, no two overlap, and sequences are gapless and as few as tokens allow, within one in a hundred."""
+    runs = match_runs(spark.createDataFrame(list(counts.items()), "length long, n long")).collect()
+    seen, parts = {}, {}
+    for r in runs:
+        for k in range(r["n"]):
+            seen.setdefault(r["size"], []).append(r["first"] + k)
+            parts.setdefault(r["seq"] + k // r["each"], []).append((r["offset"] + k % r["each"] * r["size"], r["size"]))
+    assert {length: sorted(ranks) for length, ranks in seen.items()} == {length: list(range(n)) for length, n in counts.items()}
+    for spans in parts.values():
+        at = 0
+        for offset, size in sorted(spans):
+            assert offset == at
+            at += size
+        assert at <= 2048
+    long = sum(n for length, n in counts.items() if length > 1024)
+    assert len(parts) <= max(long, 1.01 * sum(length * n for length, n in counts.items()) / 2048 + 1)
+
+
+def test_packing_of_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 7)] * 5 + [(None, None, 1, 1), (None, "x " * 5000, 1, 1)], "doc_id long, text string, length int, sequence_id int")
+    got = pack_documents(df, keep_ids=True).collect()
+    assert sum(r["doc_id"] == 1 for r in got) == 5 and sorted(r["length"] for r in got)[:1] == [1]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) == 9 and all(len(r["ids"]) == r["length"] for r in got)
+    assert pack_documents(df.limit(0)).count() == 0
 
 
 def test_neighbours(spark):
