@@ -13,21 +13,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sum(values: Column, block: int = 128) -> Column:
-    """Inclusive prefix sums of an array of longs.
+def running(values: Column, combine: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """Inclusive prefixes of an array of longs under an associative ``combine`` with zero as its neutral element.
 
-    Appending to one growing array costs the square of its length, so sums are
-    taken within blocks and shifted by the sums of the blocks before.
+    Appending to one growing array costs the square of its length, so prefixes
+    are made within blocks and combined with the totals of the blocks before.
     """
     zero = F.lit(0).cast("long")
 
     def append(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(F.element_at(acc, -1) + x))
+        return F.concat(acc, F.array(combine(F.element_at(acc, -1), x)))
 
     def blocks(xs: Column) -> Column:
         count = F.ceil(F.size(xs) / F.lit(block)).cast("int")
         part = lambda b: F.slice(xs, b * block + 1, block)
-        starts = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.aggregate(part(b), zero, lambda a, x: a + x))
+        starts = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.aggregate(part(b), zero, combine))
         return let(
             F.aggregate(starts, F.array(zero), append),
             lambda shift: F.flatten(
@@ -41,6 +41,16 @@ def running_sum(values: Column, block: int = 128) -> Column:
     return let(values, lambda xs: F.when(F.size(xs) > 0, blocks(xs)).otherwise(xs))
 
 
+def running_sum(values: Column) -> Column:
+    """Inclusive prefix sums of an array of longs."""
+    return running(values, lambda a, x: a + x)
+
+
+def running_xor(values: Column) -> Column:
+    """Inclusive prefixes of an array of longs under exclusive or."""
+    return running(values, lambda a, x: a.bitwiseXOR(x))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

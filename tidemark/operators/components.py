@@ -2,7 +2,7 @@
 
 Each step is a minimum per node (combined on the map side) and a join back on
 that node. Nodes with a large share of the links, the hubs of large components,
-are joined by a broadcast of a bounded number of minima, so that no node's links
+are salted, so that no node's links
 are ever gathered in one task.
 """
 
@@ -18,14 +18,14 @@ from tidemark.sources.scratch import materialize, release
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-    moved = join_per_key(both.filter("v > u"), least, ["u"], "n", 2 * total)
+    moved = join_per_key(both.filter("v > u"), least, ["u"], "n", 2 * total, "v")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = join_per_key(down, least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_per_key(down, least, ["u"], "n", total, "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 

@@ -7,21 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is heavy from this share of all rows on; so at most its inverse are, whatever the data.
+#: Rows of a key that are more than this share of all rows are split; so at most its inverse of keys are, whatever the data.
 HEAVY_SHARE = 1 / 512
 
 
-def join_per_key(large: DataFrame, single: DataFrame, keys: Sequence[str], count: str, total: int, how: str = "inner") -> DataFrame:
+def join_per_key(large: DataFrame, single: DataFrame, keys: Sequence[str], count: str, total: int, spread: str) -> DataFrame:
     """``large`` with the columns of ``single``, which has one row for each of ``keys``.
 
     ``single[count]`` is the number of rows of the key in ``large`` and ``total``
-    that of all. Rows of heavy keys never meet in one task: they are joined
-    with a broadcast of the heavy part of ``single``, at most ``1 / HEAVY_SHARE``
-    rows; the other keys are shuffled. ``how`` is ``inner`` or ``left_semi``.
+    that of all. A heavy key is salted by the column ``spread`` of ``large``: its
+    row in ``single`` is copied, once for each share of ``HEAVY_SHARE``, and its
+    rows in ``large`` are dealt over the copies. Only the heavy keys, at most
+    ``1 / HEAVY_SHARE``, are broadcast. Rows with a null key are left out.
     """
-    least = max(1.0, total * HEAVY_SHARE)
-    names = list(keys)
-    heavy = F.broadcast(single.filter(F.col(count) >= least).drop(count))
-    marks = F.broadcast(single.filter(F.col(count) >= least).select(*names))
-    light = single.filter(F.col(count) < least).drop(count)
-    return large.join(heavy, names, how).unionByName(large.join(marks, names, "left_anti").join(light, names, how))
+    names, share = list(keys), max(1.0, total * HEAVY_SHARE)
+    copies = F.ceil(F.col(count) / share).cast("int")
+    heavy = F.broadcast(single.filter(F.col(count) > share).select(*names, copies.alias("_copies")))
+    salted = large.join(heavy, names, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int"))
+    copied = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(count)
+    return salted.drop("_copies").join(copied, [*names, "_salt"]).drop("_salt")
