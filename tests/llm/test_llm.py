@@ -266,9 +266,9 @@ def test_line_dedup(spark, docs):
         lines = docs[i].split("\n")
         for k, line in enumerate(lines):
             words = tuple(WORD.findall(line.lower()))
-            if len(words) < 5:
+            if not words:
                 continue
-            near = words in seen or any(one_edit(words, x) for x in seen if abs(len(x) - len(words)) <= 1)
+            near = words in seen or len(words) >= 5 and any(one_edit(words, x) for x in seen if len(x) >= 5 and abs(len(x) - len(words)) <= 1)
             seen.setdefault(words, (i, k))
             if near:
                 want.setdefault(i, []).append(k)

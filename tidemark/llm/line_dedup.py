@@ -1,43 +1,48 @@
 """Line deduplication: deletion-neighbourhood join, earliest line kept.
 
-A line counts from ``MIN_WORDS`` words, lower-cased and with white space
-collapsed. It is dropped if an earlier line, by ``(doc_id, digest of the text, line number)``, is
-equal or one word edit away (a word replaced, inserted or deleted). "Earlier"
-does not ask whether that line is itself dropped, so the result is fixed by the
-corpus alone and needs no rounds.
+Lines are lower-cased and their white space collapsed. A line is dropped if an
+earlier one, by ``(doc_id, digest of the text, line number)``, is within its
+edit bound: one word replaced, inserted or deleted for lines of ``MIN_WORDS``
+words and more, none for shorter ones, which only go where they repeat exactly.
+"Earlier" does not ask whether that line is itself dropped, so the result is
+fixed by the corpus alone and needs no rounds.
 
 How links are found, without pairs within a group:
 
 * equal lines collapse into classes named by their earliest place;
 * lines one edit apart share their first or their last half of words, so only
   classes that share a half with another class go on;
-* each of those emits every variant with one word deleted as a hashed key.
-  Two lines with an equal variant at the same place differ by a replacement;
-  a variant equal to a whole line is a deletion. Each key keeps only its
-  earliest members, and each line is compared with those, word by word.
+* each of those emits every variant with one word deleted outside that half, as
+  a hashed key of 128 bits. Two lines with an equal variant at the same place
+  differ by a replacement; a variant equal to a whole line is a deletion. Each
+  key keeps only its earliest members, and each line is compared with those,
+  word by word.
 
-Every line emits at least eleven keys, so no key can hold more than a small
-share of them, whatever the text.
+Keys with a large share of all rows are salted in every join.
 
-Defined results: a null text stays null and has no lines; shorter lines and
-blank ones are never dropped; rows that repeat a ``doc_id`` and its
+Defined results: a null text stays null and has no lines; lines without words
+are never dropped; rows that repeat a ``doc_id`` and its
 text are the same document, so their lines are not duplicates of each other;
 different texts under one ``doc_id`` or a null one are different documents; a
-null ``doc_id`` comes before all others; columns named ``n_lines``, ``n_dropped`` and
-``dropped`` are replaced.
+null ``doc_id`` comes before all others; an empty table gives an empty result;
+columns named ``n_lines``, ``n_dropped`` and ``dropped`` are replaced, and all
+others stay, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import let, running_sum
-from tidemark.sources.scratch import materialize
+from tidemark.functions.arrays import let, running_xor
+from tidemark.functions.names import unused
+from tidemark.operators.skew import join_per_key
+from tidemark.sources.scratch import materialize, release, sized
 
+#: Lines of fewer words have an edit bound of zero.
 MIN_WORDS = 5
-#: A table of at most so many rows of some 40 bytes is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
 
 
 def _cut(text: Column) -> Column:
@@ -56,62 +61,84 @@ def _digest(text: str) -> Column:
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """``(doc_id, digest, line_no, words)`` of the lines that count.
+    """``(doc_id, digest, line_no, words)`` of the lines with words.
 
     Words are made inside the generator: a filter on a projected column would
     be pushed below it, and each line cut up twice.
     """
     cut = F.transform(_cut(F.col(text)), _words)
-    return docs.select("doc_id", _digest(text).alias("digest"), F.posexplode(cut).alias("line_no", "words")).filter(F.size("words") >= MIN_WORDS)
+    return docs.select("doc_id", _digest(text).alias("digest"), F.posexplode(cut).alias("line_no", "words")).filter(F.size("words") > 0)
 
 
 def _chosen_lines(docs: DataFrame, text: str, chosen: DataFrame) -> DataFrame:
-    """``(first, words)`` of the lines at the places ``chosen(first)``; other lines are not cut into words."""
-    wanted = chosen.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest")).agg(F.collect_set("first.line_no").alias("_at"))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (_digest(text) == F.col("_digest"))
-    met = docs.join(_sized(materialize(wanted, "wanted")), same)
-    words = let(_cut(F.col(text)), lambda lines: F.transform("_at", lambda i: F.struct(i.alias("i"), _words(F.get(lines, i)).alias("words"))))
-    found = met.select("doc_id", F.col("_digest").alias("digest"), F.inline(words))
-    return found.filter(F.size("words") >= MIN_WORDS).select(F.struct("doc_id", "digest", F.col("i").alias("line_no")).alias("first"), "words").dropDuplicates(["first"])
+    """``chosen(first, sides)`` with the ``words`` of the lines at these places; other lines are not cut into words."""
+    at = F.struct(F.col("first.line_no").alias("i"), "sides")
+    wanted = materialize(
+        chosen.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest")).agg(F.collect_list(at).alias("_at")), "wanted"
+    )
+    told = docs.select("doc_id", _digest(text).alias("digest"), F.col(text).alias("text"))
+    met = told.join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")))
+    words = let(_cut(F.col("text")), lambda lines: F.transform("_at", lambda x: F.struct(x["i"].alias("i"), x["sides"].alias("sides"), _words(F.get(lines, x["i"])).alias("words"))))
+    found = met.select("doc_id", "digest", F.inline(words))
+    found = materialize(found.select(F.struct("doc_id", "digest", F.col("i").alias("line_no")).alias("first"), "sides", "words").dropDuplicates(["first"]), "found")
+    release(wanted)
+    return found
+
+
+def _bounds(n: Column) -> tuple[Column, Column]:
+    """The two ways to halve ``n`` words, the same for an odd number."""
+    return F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
 
 
 def _halves(words: Column) -> Column:
-    """Keys of the first and last half, for both ways to halve an even number of words."""
+    """Keys of the first and the last half, for both ways to halve an even number of words; none of short lines."""
     n = F.size(words)
 
     def key(side: str, h: Column) -> Column:
         part = F.slice(words, 1, h) if side == "first" else F.slice(words, n - h + 1, h)
         return F.xxhash64(F.lit(side), h, part)
 
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    low, high = _bounds(n)
     odd = F.array(key("first", high), key("last", high))
-    return F.when(low == high, odd).otherwise(F.concat(odd, F.array(key("first", low), key("last", low))))
-
+    both = F.when(low == high, odd).otherwise(F.concat(odd, F.array(key("first", low), key("last", low))))
+    return F.when(n >= MIN_WORDS, both)
 
-def _sized(small: DataFrame) -> DataFrame:
-    """A broadcast hint, behind a count."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
+def _variants(words: Column, sides: Column) -> Column:
+    """``array<struct<role, k1, k2>>``: S a word masked in place, D a word deleted, W the whole line.
 
-def _variants(words: Column) -> Column:
-    """``array<struct<role, key>>``: S a word masked in place, D a word deleted, W the whole line.
-
-    A sequence's key is made from the sum of its words' hashes with their
-    places, so that each of the variants costs the same, however long the line.
+    Two lines that share a half differ outside it, so only words there are left
+    out; bit ``k`` of ``sides`` tells that half ``k`` of ``_halves`` is shared.
+    A sequence's keys are made from the exclusive or of its words' hashes with
+    their places, so that each variant costs the same, however long the line;
+    ``k2`` is made from hashes of those hashes.
     """
     n = F.size(words)
-    hashed = lambda shift: F.transform(words, lambda w, j: F.shiftrightunsigned(F.xxhash64(w, j - shift), 20))
-    key = lambda role, kind, *parts: F.struct(F.lit(role).alias("role"), F.xxhash64(F.lit(kind), *parts).alias("key"))
+    low, high = _bounds(n)
+    has = lambda k: sides.bitwiseAND(F.lit(1 << k)) != 0
+    begin = F.when(has(2), low).when(has(0), high).otherwise(n)
+    end = F.when(has(3), n - low).when(has(1), n - high).otherwise(F.lit(0))
+    spots = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i >= begin) | (i < end))
+
+    def prepared(hashes: Column) -> Column:
+        again = F.transform(hashes, lambda h: F.xxhash64(h))
+        return F.struct(hashes.alias("h1"), running_xor(hashes).alias("p1"), again.alias("h2"), running_xor(again).alias("p2"))
 
-    def build(here: Column, left: Column, moved: Column) -> Column:
-        total = F.element_at(left, -1)
-        masked = F.transform(here, lambda g, i: key("S", "masked", n, i, total - g))
-        deleted = F.transform(
-            here, lambda g, i: key("D", "whole", n - 1, F.get(left, i) - g + F.element_at(moved, -1) - F.get(moved, i))
-        )
-        return F.concat(masked, deleted, F.array(key("W", "whole", n, total)))
+    def build(here: Column, moved: Column) -> Column:
+        def key(role: str, kind: str, *parts: Callable[[str], Column]) -> Column:
+            return F.struct(F.lit(role).alias("role"), *(F.xxhash64(F.lit(kind), *(p(k) for p in parts)).alias(f"k{k}") for k in "12"))
 
-    return let(hashed(0), lambda here: let(running_sum(here), lambda left: let(running_sum(hashed(1)), lambda moved: build(here, left, moved))))
+        total = lambda k: F.element_at(here[f"p{k}"], -1)
+        word = lambda i: lambda k: F.get(here[f"h{k}"], i)
+        same = lambda x: lambda k: x
+        masked = F.transform(spots, lambda i: key("S", "masked", same(n), same(i), lambda k: total(k).bitwiseXOR(word(i)(k))))
+        left = lambda i: lambda k: F.get(here[f"p{k}"], i).bitwiseXOR(word(i)(k))
+        right = lambda i: lambda k: F.element_at(moved[f"p{k}"], -1).bitwiseXOR(F.get(moved[f"p{k}"], i))
+        deleted = F.transform(spots, lambda i: key("D", "whole", same(n - 1), lambda k: left(i)(k).bitwiseXOR(right(i)(k))))
+        return F.concat(masked, deleted, F.array(key("W", "whole", same(n), total)))
+
+    hashed = lambda shift: F.transform(words, lambda w, j: F.xxhash64(w, j - shift))
+    return let(prepared(hashed(0)), lambda here: let(prepared(hashed(1)), lambda moved: build(here, moved)))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -133,19 +160,28 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def _near_classes(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
     """``first`` of every class that has an earlier class one edit away."""
-    keys = classes.select("first", F.explode("halves").alias("half"))
-    shared = materialize(keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"), "halves")
-    chosen = materialize(keys.join(shared, "half", "left_semi").select("first").distinct(), "chosen")
-    found = materialize(_chosen_lines(docs, text, chosen), "found")
+    keys = materialize(classes.select("first", F.posexplode("halves").alias("k", "half")), "halves")
+    shared = materialize(keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    bit = F.call_function("shiftleft", F.lit(1), F.col("k"))
+    chosen = materialize(join_per_key(keys, shared, ["half"], "n", keys.count(), "first").groupBy("first").agg(F.bit_or(bit).alias("sides")), "chosen")
+    release(keys, shared)
+    found = _chosen_lines(docs, text, chosen)
     # ids rise with the place, so that the earliest of a key is the least id
     words = materialize(found.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "words")
-    variants = materialize(words.select("id", F.inline(_variants(F.col("words")))), "variants")
+    release(chosen, found)
+    variants = materialize(words.select("id", F.inline(_variants(F.col("words"), F.col("sides")))), "variants")
     earliest = lambda role: F.min(F.when(F.col("role") == role, F.col("id"))).alias(role)
-    met = variants.groupBy("key").agg(F.count("*").alias("n"), *(earliest(r) for r in "SWD")).filter("n > 1").drop("n")
+    met = materialize(variants.groupBy("k1", "k2").agg(F.count("*").alias("n"), *(earliest(r) for r in "SWD")).filter("n > 1"), "met")
     partner = F.when(F.col("role") == "S", F.col("S")).when(F.col("role") == "W", F.col("D")).otherwise(F.col("W"))
-    pairs = variants.join(met, "key").select("id", partner.alias("other")).filter("other < id").distinct()
-    a, b = words.withColumnRenamed("words", "a"), words.select(F.col("id").alias("other"), F.col("words").alias("b"))
-    return pairs.join(a, "id").join(b, "other").filter(_one_edit(F.col("a"), F.col("b"))).select("first").distinct()
+    partnered = join_per_key(variants, met, ["k1", "k2"], "n", variants.count(), "id")
+    pairs = materialize(partnered.select("id", partner.alias("other")).filter("other < id").distinct(), "pairs")
+    release(variants, met)
+    asked = pairs.groupBy("other").agg(F.count("*").alias("n"))
+    b = asked.join(words.select(F.col("id").alias("other"), F.col("words").alias("b")), "other")
+    compared = join_per_key(pairs.join(words.select("id", "first", F.col("words").alias("a")), "id"), b, ["other"], "n", pairs.count(), "id")
+    near = materialize(compared.filter(_one_edit(F.col("a"), F.col("b"))).select("first").distinct(), "near")
+    release(words, pairs)
+    return near
 
 
 def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -157,17 +193,19 @@ def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             _halves(F.col("words")).alias("halves"),
         ), "lines",
     )
-    classes = materialize(
-        lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.min("halves").alias("halves")),
-        "classes",
-    )
-    near = _near_classes(docs, text, classes).withColumn("near", F.lit(True))
+    grouped = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("halves").alias("halves"))
+    classes = materialize(grouped, "classes")
+    near = _near_classes(docs, text, classes)
     flagged = materialize(
-        classes.join(near, "first", "left").select("h1", "h2", "first", "last", F.coalesce("near", F.lit(False)).alias("near"))
+        classes.join(near.withColumn("near", F.lit(True)), "first", "left").select("h1", "h2", "n", "first", "last", F.coalesce("near", F.lit(False)).alias("near"))
         .filter("near or first <> last"), "flagged",
     )
-    gone = lines.select("place", "h1", "h2").join(flagged, ["h1", "h2"]).filter("near or place <> first")
-    return gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.digest").alias("digest")).agg(F.sort_array(F.collect_set("place.line_no")).alias("dropped"))
+    release(near, classes)
+    met = join_per_key(lines.select("place", "h1", "h2"), flagged, ["h1", "h2"], "n", lines.count(), "place")
+    by_doc = met.filter("near or place <> first").groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.digest").alias("digest"))
+    gone = materialize(by_doc.agg(F.sort_array(F.collect_set("place.line_no")).alias("dropped")), "dropped")
+    release(lines, flagged)
+    return gone
 
 
 def _kept_text(text: Column, dropped: Column) -> Column:
@@ -183,11 +221,10 @@ def _kept_text(text: Column, dropped: Column) -> Column:
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows with ``text`` rebuilt from the kept lines, ``n_lines``, ``n_dropped`` and ``dropped``."""
     docs = docs.drop("n_lines", "n_dropped", "dropped")
-    gone = materialize(dropped_lines(docs.select("doc_id", text), text), "dropped")
-    small = _sized(gone).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
+    key, mark = unused(docs, "_doc", "_digest")
+    gone = sized(dropped_lines(docs.select("doc_id", text), text)).withColumnsRenamed({"doc_id": key, "digest": mark})
     none = F.array().cast("array<int>")
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (_digest(text) == F.col("_digest"))
-    joined = docs.join(small, same, "left").drop("_doc", "_digest")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)) & (_digest(text) == F.col(mark)), "left")
     return joined.select(
         *(F.when(F.col("dropped").isNull(), F.col(c)).otherwise(_kept_text(F.col(c), F.col("dropped"))).alias(c) if c == text else c for c in docs.columns),
         F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
