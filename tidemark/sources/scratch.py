@@ -54,7 +54,7 @@ def release(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def sized(df: DataFrame) -> DataFrame:
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A table that ``materialize`` returned, marked for broadcast if its files are small; larger ones are shuffled."""
     path = _FOLDERS.get(df)
     if path is None:
@@ -62,4 +62,4 @@ def sized(df: DataFrame) -> DataFrame:
     jvm = df.sparkSession._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     held = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
-    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+    return F.broadcast(df) if held <= limit else df
