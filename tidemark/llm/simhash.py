@@ -22,10 +22,10 @@ says. A key with few members gives pairs to verify. A key with many gives none:
   the tiles.
 
 Defined results: a null text is an empty one; a text without words has
-fingerprint zero; rows that repeat a ``doc_id`` are fingerprinted each and
-share a component with their equals; null ids are linked but never name a
-component, unless all in it are null; columns named ``fingerprint`` and
-``component_id`` are replaced.
+fingerprint zero; texts of any length are taken whole; rows that repeat a
+``doc_id`` are fingerprinted each and share a component with their equals; null
+ids are linked but never name a component, unless all in it are null; an empty
+table gives an empty result; of the input's columns only ``doc_id`` is returned.
 """
 
 from __future__ import annotations
@@ -42,14 +42,15 @@ from pyspark.sql import types as T
 
 from tidemark.llm.grouped import by_key, spans
 from tidemark.operators.components import connected_components
+from tidemark.operators.skew import join_per_key
 from tidemark.shipping import ship_package
-from tidemark.sources.scratch import materialize
+from tidemark.sources.scratch import materialize, release
 
 BITS = 64
 SHINGLE = 3
 DISTANCE = 2
-#: Partition counts that are compared.
-PARTITIONS = (2, 3, 4)
+#: Most keys of one fingerprint; plans with more are not considered.
+MAX_KEYS = 512
 #: A key with more members than this meets at neighbouring values, not in pairs.
 PAIR_LIMIT = 24
 #: Fingerprints to a chunk; a tile holds two.
@@ -140,54 +141,56 @@ def _mask(bits: list[int]) -> int:
 
 def _masked_cost(distinct: DataFrame, groups: list[list[int]]) -> list[float]:
     """For each group, the work its keys would give with no bit masked, over all fingerprints."""
-    costs = []
     each = distinct.select(F.explode(F.array(*(F.struct(F.lit(k).alias("g"), F.col("fp").bitwiseAND(F.lit(_mask(b))).alias("v")) for k, b in enumerate(groups)))).alias("x"))
     work = F.least(F.col("c") * (F.col("c") - 1) / 2, F.col("c") * BITS)
     rows = each.groupBy("x.g", "x.v").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum(work).alias("w")).collect()
     found = {r["g"]: float(r["w"]) for r in rows}
-    costs = [found.get(k, 0.0) for k in range(len(groups))]
-    return costs
+    return [found.get(k, 0.0) for k in range(len(groups))]
 
 
-def allocate(n: int, p: np.ndarray, groups: list[list[int]], exact: list[float], distance: int) -> tuple[float, list[int]]:
-    """Thresholds of least estimated cost that sum to ``distance - len(groups) + 1``, by dynamic programming.
+def allocate(n: int, p: np.ndarray, groups: list[list[int]], exact: list[float], distance: int) -> tuple[float, int, list[int]] | None:
+    """Cost, keys and thresholds of least estimated cost, then of fewest keys, that sum to ``distance - len(groups) + 1``, by dynamic programming.
 
     Masking t bits joins, to each exact match, the values that differ in those
     bits alone; bits count as independent for that, with their odds to differ.
     """
     agree = p**2 + (1 - p) ** 2
     odds = (1 - agree) / np.maximum(agree, 1e-9)
-    table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    table: dict[int, tuple[float, int, list[int]]] = {0: (0.0, 0, [])}
     for bits, work in zip(groups, exact, strict=True):
         floor = max(work, n * n / 2 * float(np.prod(agree[bits])), n / 2.0**20)
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (cost, chosen) in table.items():
-            for t in range(-1, distance + 1):
-                if t < 0:
-                    more = 0.0
-                else:
+        step: dict[int, tuple[float, int, list[int]]] = {}
+        for used, (cost, keys, chosen) in table.items():
+            for t in range(-1, min(distance, len(bits)) + 1):
+                more, made = 0.0, 0
+                if t >= 0:
                     symmetric = [1.0] + [0.0] * t
                     for o in odds[bits]:
                         for k in range(t, 0, -1):
                             symmetric[k] += symmetric[k - 1] * float(o)
-                    candidates = (work if t == 0 else max(work, floor) * sum(symmetric))
-                    more = KEY_COST * n * comb(len(bits), t) + candidates
-                if used + t not in step or cost + more < step[used + t][0]:
-                    step[used + t] = (cost + more, [*chosen, t])
+                    made = comb(len(bits), t)
+                    more = KEY_COST * n * made + (work if t == 0 else max(work, floor) * sum(symmetric))
+                found = (cost + more, keys + made, [*chosen, t])
+                if found[1] <= MAX_KEYS and (used + t not in step or found < step[used + t]):
+                    step[used + t] = found
         table = step
-    return table[distance - len(groups) + 1]
+    return table.get(distance - len(groups) + 1)
 
 
 def plan_partitions(distinct: DataFrame, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
-    """``(bits, threshold)`` of the partitions in use."""
+    """``(bits, threshold)`` of the partitions in use; none where there are no two fingerprints to link.
+
+    From two partitions up to one more than ``distance``, where all thresholds
+    may be zero, so that some plan stays within ``MAX_KEYS``.
+    """
     n, both = _bit_counts(distinct)
-    best: tuple[float, list] | None = None
-    for parts in PARTITIONS:
+    plans = []
+    for parts in range(2, max(4, distance + 1) + 1) if n > 1 else ():
         groups = group_bits(n, both, parts)
-        cost, chosen = allocate(n, np.diag(both) / max(n, 1), groups, _masked_cost(distinct, groups), distance)
-        if best is None or cost < best[0]:
-            best = (cost, [(b, t) for b, t in zip(groups, chosen, strict=True) if t >= 0])
-    return best[1]
+        made = allocate(n, np.diag(both) / n, groups, _masked_cost(distinct, groups), distance)
+        if made:
+            plans.append((*made[:2], [(b, t) for b, t in zip(groups, made[2], strict=True) if t >= 0]))
+    return min(plans)[2] if plans else []
 
 
 def _keys(partitions: list[tuple[list[int], int]]) -> Column:
@@ -239,9 +242,15 @@ def _tiled(shared: DataFrame, distance: int) -> DataFrame:
 
 def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``(u, v)``: links between the ``doc`` of fingerprints that connect all within ``distance``, of ``(fp, doc)``."""
-    keyed = materialize(distinct.select(F.explode(_keys(plan_partitions(distinct, distance))).alias("key"), "fp", "doc"), "keys")
+    kind = distinct.schema["doc"].dataType.simpleString()
+    plan = plan_partitions(distinct, distance)
+    if not plan:
+        return distinct.sparkSession.createDataFrame([], f"u {kind}, v {kind}")
+    keyed = materialize(distinct.select(F.explode(_keys(plan)).alias("key"), "fp", "doc"), "keys")
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    shared = materialize(keyed.join(sizes, "key"), "shared")
+    counted = sizes.withColumn("rows", F.col("n"))
+    shared = materialize(join_per_key(keyed, counted, ["key"], "rows", keyed.count(), "fp"), "shared")
+    release(keyed, sizes)
 
     few = shared.filter(F.col("n") <= PAIR_LIMIT).groupBy("key").agg(F.collect_list(F.struct("fp", "doc")).alias("m"))
     pairs = F.flatten(
@@ -249,33 +258,31 @@ def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
     close = few.select(F.inline(pairs))
     crowded = shared.filter(F.col("n") > PAIR_LIMIT)
-    if distance != 2:
-        return close.unionByName(_tiled(crowded, distance)).distinct()
-
-    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS)))
-    many = crowded.select("fp", "doc").distinct().select("doc", F.explode(near).alias("at"))
-    met = many.groupBy("at").agg(F.min("doc").alias("v"), F.collect_set("doc").alias("m"))
-    stars = met.filter(F.size("m") > 1).select(F.explode("m").alias("u"), "v").filter("u <> v")
-    return close.unionByName(stars).distinct()
+    if distance == 2:
+        near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS)))
+        many = crowded.select("fp", "doc").distinct().select("doc", F.explode(near).alias("at"))
+        met = many.groupBy("at").agg(F.min("doc").alias("v"), F.collect_set("doc").alias("m"))
+        stars = met.filter(F.size("m") > 1).select(F.explode("m").alias("u"), "v").filter("u <> v")
+    else:
+        stars = _tiled(crowded, distance)
+    links = materialize(close.unionByName(stars).distinct(), "links")
+    release(shared)
+    return links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``."""
     ship_package(docs.sparkSession)
     made = materialize(fingerprints(docs, text, width), "fingerprints")
-    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
-    found = connected_components(linked(distinct.filter("doc is not null"), distance))
-    named = materialize(
-        distinct.join(found, F.col("doc") == F.col("node"), "left").select("fp", F.coalesce("component", "doc").alias("component_id")), "named"
-    )
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, text: str = "text", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names their group of near copies; of equal ones one stays."""
-    near = near_duplicates(docs, text, width, distance)
-    stay = materialize(near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct(), "stay")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").dropDuplicates(["doc_id", text])
+    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "distinct")
+    links = linked(distinct.select("fp", F.col("fp").alias("doc")), distance)
+    found = connected_components(links)
+    release(links)
+    joined = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "doc", "n", F.coalesce("component", "fp").alias("component"))
+    least = joined.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("fps"))
+    named = materialize(join_per_key(joined, least, ["component"], "fps", distinct.count(), "fp").select("fp", "n", "component_id"), "named")
+    release(distinct, found)
+    return join_per_key(made, named, ["fp"], "n", made.count(), "doc_id").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
