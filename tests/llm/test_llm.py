@@ -20,7 +20,7 @@ from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import match_runs, pack_documents
 from tidemark.llm.pii import find_pii
 from tidemark.llm.quality import fit_rules, judge_quality
-from tidemark.llm.simhash import linked, near_duplicates, one_of_each
+from tidemark.llm.simhash import linked, near_duplicates
 from tidemark.llm.tokens import count_tokens, word_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -124,8 +124,28 @@ def test_simhash_many_near_fingerprints(spark):
         near = [i for i in fp if (fp[i] ^ fp[r["doc_id"]]).bit_count() <= 2]
         assert {x["component_id"] for x in got if x["doc_id"] in near} == {r["component_id"]}
     assert {r["component_id"] for r in got if r["doc_id"] >= 90} == {90}
-    kept = [r["doc_id"] for r in one_of_each(df).collect()]
-    assert len(kept) == len(set(kept)) == len({r["component_id"] for r in got})
+    assert near_duplicates(df.limit(0)).count() == 0
+    alone = near_duplicates(spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string"), distance=7).collect()
+    assert [r["component_id"] for r in alone] == [None, None]
+
+
+def test_simhash_plans_stay_small(spark):
+    """No plan for less than two fingerprints, and never more than ``MAX_KEYS`` keys, at any distance."""
+    from math import comb
+
+    for fps in ([], [5], [5, 6], list(range(0, 4000, 7))):
+        for distance in (2, 5, 7):
+            plan = simhash.plan_partitions(spark.createDataFrame([(x,) for x in fps], "fp long"), distance)
+            assert (not plan) == (len(fps) < 2) and sum(comb(len(b), t) for b, t in plan) <= simhash.MAX_KEYS
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    """A null id joins two others that are too far apart to be linked themselves."""
+    fps = {1: 0, None: 3, 2: 15}
+    made = spark.createDataFrame(list(fps.items()), "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: made)
+    got = near_duplicates(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, None: 1, 2: 1}
 
 
 def test_quality(spark, docs):
@@ -222,6 +242,8 @@ def test_neighbours(spark):
     near = nearest(odd, F.col("id") == 0).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in near] == [(4, 1.0), (6, 0.5)]
     assert nearest(odd.limit(0), F.col("id") == 0).count() == 0
+    twice = spark.createDataFrame([(i, [float(k), 1.0], "x") for i in range(3) for k in (i + 1, i, 7)] * 2, "vec_id long, embedding array<double>, id string")
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(twice, F.col("id") == 1).collect()] == [(1, 1, 2, 3.0), (1, 2, 0, 1.0)]
 
 
 @pytest.mark.parametrize("name", ["op6_urls", "op9_mixing"])
@@ -367,12 +389,13 @@ def neighbour_recall(spark, monkeypatch, x):
     return hits / (20 * len(range(0, len(x), 50)))
 
 
-@pytest.mark.parametrize("kind", ["near copies", "outlier"])
+@pytest.mark.parametrize("kind", ["near copies", "outlier", "three decades"])
 def test_neighbours_tells_fine_differences(spark, monkeypatch, kind):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1, 64)) / 8 + 0.003 * rng.normal(size=(2500, 64)) if kind == "near copies" else rng.normal(size=(2500, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    x[7] *= 100 if kind == "outlier" else 1
+    x[7] *= 300 if kind == "outlier" else 1
+    x *= 10 ** rng.uniform(-3, 0, (2500, 1)) if kind == "three decades" else 1
     assert neighbour_recall(spark, monkeypatch, x) >= 0.9
 
 

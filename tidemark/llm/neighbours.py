@@ -6,8 +6,9 @@ makes their lengths equal; a query has zero there, so that what is nearest to it
 has the largest inner product, whatever the lengths.
 
 * Start: nodes that share a near pivot are compared block by block.
-* NN-descent: in each round every node sends its vector to the nodes it is
-  linked with, and every node compares those it heard from: neighbours of
+* NN-descent: in each round every node sends its vector to the nodes it links
+  and to those that link it, of these to the ``REVERSE`` nearest, so that no hub
+  hears from more; every node compares those it heard from: neighbours of
   neighbours meet. Better ones replace worse ones; only pairs with a link that
   is new are compared. Rounds end when few links change.
 * Search: each query starts at its own node and at the best of a bounded sample,
@@ -16,10 +17,14 @@ has the largest inner product, whatever the lengths.
 * The candidates found are scored again on the original vectors in double
   precision, and nodes are expanded into the rows they stand for.
 
+Every search ends with at least ``WIDTH`` candidates, or all nodes: the sample
+has so many.
+
 Defined results: null ids, and vectors that are null, zero, of another length
 than most, or with a null or non-finite component, take no part; ties go to the
 smaller id; with fewer rows than asked for, all are returned; rows that repeat
-an id count once.
+an id count once, with the least of their vectors in order of components; an
+empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.grouped import by_key, spans
 from tidemark.shipping import ship_package
-from tidemark.sources.scratch import materialize
+from tidemark.sources.scratch import materialize, release, sized
 
 TOP = 20
 #: Links kept for each node, and pairs that a meeting proposes to each member.
@@ -41,13 +46,13 @@ LINKS, PROPOSED = 24, 10
 #: Pivots (a bounded sample of nodes), nodes to a block, near pivots of a node.
 MAX_PIVOTS, BLOCK, NEAR_PIVOTS = 4096, 512, 3
 ROUNDS, CHANGED = 8, 0.01
-#: Members that meet at once; a node that more are linked with holds several meetings.
-MEETING = 96
-BEAM, WIDTH, SEARCH_ROUNDS = 96, 32, 8
+#: Nodes that link a node and are kept with those that it links, nearest first.
+REVERSE = 48
+BEAM, WIDTH = 96, 32
 #: Nodes among which a search looks for its starts, half of them the longest.
 ENTRIES = 4096
-#: So many requests of some 100 bytes are broadcast to the graph; more are shuffled with it.
-BROADCAST_ROWS = 300_000
+#: Requests of at most so many bytes are broadcast to the graph; more are shuffled with it.
+BROADCAST_BYTES = 32 << 20
 
 
 def clean_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -55,7 +60,7 @@ def clean_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     ok = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda v: v != 0)
-    kept = rows.filter(ok).select(F.col(key).cast("long").alias("id"), x.alias("x")).dropDuplicates(["id"])
+    kept = rows.filter(ok).select(F.col(key).cast("long").alias("id"), x.alias("x")).groupBy("id").agg(F.min("x").alias("x"))
     sizes = kept.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     return kept.filter(F.size("x") == (sizes["d"] if sizes else -1))
 
@@ -99,7 +104,7 @@ def _coded(nodes: DataFrame) -> DataFrame:
     """``(id, code)``: vectors over the greatest length, in single precision."""
     length = F.sqrt(F.aggregate(F.transform("x", lambda v: F.pow(v / F.col("_most"), F.lit(2.0))), F.lit(0.0), lambda a, v: a + v)) * F.col("_most")
     most = F.array_max(F.transform("x", F.abs))
-    longest = nodes.withColumn("_most", most).agg(F.max(length)).first()[0] or 1.0
+    longest = min(nodes.withColumn("_most", most).agg(F.max(length)).first()[0] or 1.0, np.finfo(np.float64).max)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,8 +167,10 @@ def _first_links(coded: DataFrame, n: int) -> DataFrame:
 
 
 def _messages(links: DataFrame, coded: DataFrame) -> DataFrame:
-    """Every node's vector, sent to all nodes that it links or that link it."""
-    both = links.select(F.col("u").alias("center"), F.col("v").alias("id"), "new").unionByName(links.select(F.col("v").alias("center"), F.col("u").alias("id"), "new"))
+    """Every node's vector, sent to all nodes that it is linked with by ``links``, or is among the nearest to link."""
+    order = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
+    back = links.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
+    both = links.select(F.col("u").alias("center"), F.col("v").alias("id"), "new").unionByName(back.select(F.col("v").alias("center"), F.col("u").alias("id"), "new"))
     told = both.groupBy("center", "id").agg(F.max("new").alias("new"))
     return told.join(coded, "id")
 
@@ -176,11 +183,8 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
         x, out = _level(_vectors(b)), []
         ids, least, new = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "least", "new"))
         for s, e in spans(b.column("center").to_numpy(zero_copy_only=False)):
-            order = np.arange(s, e) if e - s <= MEETING else s + np.random.default_rng(e - s).permutation(e - s)
-            for at in range(0, len(order), MEETING):
-                part = order[at : at + MEETING]
-                if new[part].any():
-                    out.append(_best_pairs(x[part], ids[part], least[part], new[part], PROPOSED))
+            if new[s:e].any():
+                out.append(_best_pairs(x[s:e], ids[s:e], least[s:e], new[s:e], PROPOSED))
         u, v, sim = _joined(out)
         return [u, v, sim, np.ones(len(u), dtype=bool)]
 
@@ -188,16 +192,14 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
         worst = links.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= LINKS, F.min("sim")).otherwise(-3.0).cast("float").alias("least"))
         sent = _messages(links, coded.join(worst, "id", "left").fillna(-3.0, ["least"]))
         better = by_key(sent, "center", meet, "u long, v long, sim float, new boolean")
-        links = materialize(_top_links(links.withColumn("new", F.lit(False)).unionByName(better)), "links")
+        after = materialize(_top_links(links.withColumn("new", F.lit(False)).unionByName(better)), "links")
+        release(links)
+        links = after
         if links.filter("new").count() <= CHANGED * n * LINKS:
             break
     return links
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _starts(coded: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query, id, sim)``: the ``WIDTH`` best by inner product of a bounded sample of nodes."""
 
@@ -250,19 +252,21 @@ def search_graph(graph: DataFrame, queries: DataFrame, coded: DataFrame) -> Data
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     own = queries.select("query", F.col("query").alias("id"), F.lit(2.0).alias("sim"))
     beam = materialize(own.unionByName(_starts(coded, queries)).withColumn("done", F.lit(False)), "beam")
-    for _ in range(SEARCH_ROUNDS):
+    while True:
         open_ = beam.filter("not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= WIDTH)
         least = beam.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("sim")).otherwise(-2.0).alias("least"))
         asked = materialize(open_.select("query", "id").join(queries, "query").join(least, "query").withColumnRenamed("id", "node"), "asked")
         if not asked.limit(1).count():
-            break
-        found = graph.join(_sized(asked), "node").select("query", "q_code", "least", "ids", "codes").mapInArrow(expand, "query long, id long, sim double")
+            release(asked)
+            return beam.select("query", "id")
+        found = graph.join(sized(asked, BROADCAST_BYTES), "node").select("query", "q_code", "least", "ids", "codes").mapInArrow(expand, "query long, id long, sim double")
         known = beam.unionByName(found.withColumn("done", F.lit(False))).unionByName(
             asked.select("query", F.col("node").alias("id"), F.lit(None).cast("double").alias("sim"), F.lit(True).alias("done"))
         )
         merged = known.groupBy("query", "id").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
-        beam = materialize(merged.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= BEAM).drop("r"), "beam")
-    return beam.select("query", "id")
+        after = materialize(merged.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= BEAM).drop("r"), "beam")
+        release(beam, asked)
+        beam = after
 
 
 def _dot(a: Column, b: Column) -> Column:
