@@ -13,10 +13,11 @@ How links are found, without pairs within a group:
 * lines one edit apart share their first or their last half of words, so only
   classes that share a half with another class go on;
 * each of those emits every variant with one word deleted outside that half, as
-  a hashed key of 128 bits. Two lines with an equal variant at the same place
-  differ by a replacement; a variant equal to a whole line is a deletion. Each
-  key keeps only its earliest members, and each line is compared with those,
-  word by word.
+  a key: its length, the place, and the exclusive or of the 64-bit hashes of the
+  words left with their places. Two lines with an equal variant at the same
+  place differ by a replacement; a variant equal to a whole line is a deletion.
+  Each key keeps only its earliest members, and each line is compared with
+  those, word by word.
 
 Keys with a large share of all rows are salted in every join.
 
@@ -71,16 +72,16 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _chosen_lines(docs: DataFrame, text: str, chosen: DataFrame) -> DataFrame:
-    """``chosen(first, sides)`` with the ``words`` of the lines at these places; other lines are not cut into words."""
-    at = F.struct(F.col("first.line_no").alias("i"), "sides")
+    """``chosen(class, first, sides)`` with the ``words`` of the lines at these places; other lines are not cut into words."""
+    at = F.struct(F.col("first.line_no").alias("i"), "class", "sides")
     wanted = materialize(
         chosen.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest")).agg(F.collect_list(at).alias("_at")), "wanted"
     )
     told = docs.select("doc_id", _digest(text).alias("digest"), F.col(text).alias("text"))
     met = told.join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")))
-    words = let(_cut(F.col("text")), lambda lines: F.transform("_at", lambda x: F.struct(x["i"].alias("i"), x["sides"].alias("sides"), _words(F.get(lines, x["i"])).alias("words"))))
+    words = let(_cut(F.col("text")), lambda lines: F.transform("_at", lambda x: F.struct(x["i"].alias("i"), x["class"].alias("class"), x["sides"].alias("sides"), _words(F.get(lines, x["i"])).alias("words"))))
     found = met.select("doc_id", "digest", F.inline(words))
-    found = materialize(found.select(F.struct("doc_id", "digest", F.col("i").alias("line_no")).alias("first"), "sides", "words").dropDuplicates(["first"]), "found")
+    found = materialize(found.select(F.struct("doc_id", "digest", F.col("i").alias("line_no")).alias("first"), "class", "sides", "words").dropDuplicates(["class"]), "found")
     release(wanted)
     return found
 
@@ -90,28 +91,30 @@ def _bounds(n: Column) -> tuple[Column, Column]:
     return F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the first and the last half, for both ways to halve an even number of words; none of short lines."""
+#: Keys of the first and the last half of a line, for both ways to halve an even number of words.
+HALVES = ("first_high", "last_high", "first_low", "last_low")
+
+
+def _halves(words: Column) -> dict[str, Column]:
+    """The keys of ``HALVES``; null for short lines, and the low ones for odd numbers of words."""
     n = F.size(words)
+    low, high = _bounds(n)
 
-    def key(side: str, h: Column) -> Column:
+    def key(name: str) -> Column:
+        side, h = name.split("_")[0], high if name.endswith("high") else low
         part = F.slice(words, 1, h) if side == "first" else F.slice(words, n - h + 1, h)
-        return F.xxhash64(F.lit(side), h, part)
+        return F.when((n >= MIN_WORDS) & (F.lit(True) if name.endswith("high") else low < high), F.xxhash64(F.lit(side), h, part))
 
-    low, high = _bounds(n)
-    odd = F.array(key("first", high), key("last", high))
-    both = F.when(low == high, odd).otherwise(F.concat(odd, F.array(key("first", low), key("last", low))))
-    return F.when(n >= MIN_WORDS, both)
+    return {name: key(name) for name in HALVES}
 
 
 def _variants(words: Column, sides: Column) -> Column:
-    """``array<struct<role, k1, k2>>``: S a word masked in place, D a word deleted, W the whole line.
+    """``array<struct<role, at, key>>``: S a word masked in place, D a word deleted, W the whole line.
 
+    ``at`` is the length of the sequence that is left, and for S the place too.
     Two lines that share a half differ outside it, so only words there are left
-    out; bit ``k`` of ``sides`` tells that half ``k`` of ``_halves`` is shared.
-    A sequence's keys are made from the exclusive or of its words' hashes with
-    their places, so that each variant costs the same, however long the line;
-    ``k2`` is made from hashes of those hashes.
+    out; bit ``k`` of ``sides`` tells that half ``k`` of ``HALVES`` is shared.
+    An exclusive or makes each variant cost the same, however long the line.
     """
     n = F.size(words)
     low, high = _bounds(n)
@@ -119,26 +122,20 @@ def _variants(words: Column, sides: Column) -> Column:
     begin = F.when(has(2), low).when(has(0), high).otherwise(n)
     end = F.when(has(3), n - low).when(has(1), n - high).otherwise(F.lit(0))
     spots = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i >= begin) | (i < end))
+    variant = lambda role, at, key: F.struct(F.lit(role).alias("role"), at.cast("long").alias("at"), key.alias("key"))
 
-    def prepared(hashes: Column) -> Column:
-        again = F.transform(hashes, lambda h: F.xxhash64(h))
-        return F.struct(hashes.alias("h1"), running_xor(hashes).alias("p1"), again.alias("h2"), running_xor(again).alias("p2"))
-
-    def build(here: Column, moved: Column) -> Column:
-        def key(role: str, kind: str, *parts: Callable[[str], Column]) -> Column:
-            return F.struct(F.lit(role).alias("role"), *(F.xxhash64(F.lit(kind), *(p(k) for p in parts)).alias(f"k{k}") for k in "12"))
+    def build(here: Column, left: Column, moved: Column, total: Column, rest: Column) -> Column:
+        masked = F.transform(spots, lambda i: variant("S", n.cast("long") * 2**31 + i, total.bitwiseXOR(F.get(here, i))))
+        before = lambda i: F.get(left, i).bitwiseXOR(F.get(here, i))
+        deleted = F.transform(spots, lambda i: variant("D", 1 - n, before(i).bitwiseXOR(rest).bitwiseXOR(F.get(moved, i))))
+        return F.concat(masked, deleted, F.array(variant("W", -n, total)))
 
-        total = lambda k: F.element_at(here[f"p{k}"], -1)
-        word = lambda i: lambda k: F.get(here[f"h{k}"], i)
-        same = lambda x: lambda k: x
-        masked = F.transform(spots, lambda i: key("S", "masked", same(n), same(i), lambda k: total(k).bitwiseXOR(word(i)(k))))
-        left = lambda i: lambda k: F.get(here[f"p{k}"], i).bitwiseXOR(word(i)(k))
-        right = lambda i: lambda k: F.element_at(moved[f"p{k}"], -1).bitwiseXOR(F.get(moved[f"p{k}"], i))
-        deleted = F.transform(spots, lambda i: key("D", "whole", same(n - 1), lambda k: left(i)(k).bitwiseXOR(right(i)(k))))
-        return F.concat(masked, deleted, F.array(key("W", "whole", same(n), total)))
+    def prefixed(here: Column, left: Column, moved: Column) -> Column:
+        ends = F.struct(F.element_at(left, -1).alias("total"), F.element_at(moved, -1).alias("rest"))
+        return let(ends, lambda e: build(here, left, moved, e["total"], e["rest"]))
 
     hashed = lambda shift: F.transform(words, lambda w, j: F.xxhash64(w, j - shift))
-    return let(prepared(hashed(0)), lambda here: let(prepared(hashed(1)), lambda moved: build(here, moved)))
+    return let(hashed(0), lambda here: let(running_xor(here), lambda left: let(running_xor(hashed(1)), lambda moved: prefixed(here, left, moved))))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -159,11 +156,12 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 
 def _near_classes(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
-    """``first`` of every class that has an earlier class one edit away."""
-    keys = materialize(classes.select("first", F.posexplode("halves").alias("k", "half")), "halves")
+    """``class`` of every class that has an earlier class one edit away."""
+    halves = F.array(*(F.struct(F.lit(1 << k).alias("bit"), F.col(name).alias("half")) for k, name in enumerate(HALVES)))
+    keys = materialize(classes.select("class", F.inline(halves)).filter("half is not null"), "halves")
     shared = materialize(keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    bit = F.call_function("shiftleft", F.lit(1), F.col("k"))
-    chosen = materialize(join_per_key(keys, shared, ["half"], "n", keys.count(), "first").groupBy("first").agg(F.bit_or(bit).alias("sides")), "chosen")
+    sides = join_per_key(keys, shared, ["half"], "n", keys.count(), "class").groupBy("class").agg(F.bit_or("bit").alias("sides"))
+    chosen = materialize(classes.select("class", "first").join(sides, "class"), "chosen")
     release(keys, shared)
     found = _chosen_lines(docs, text, chosen)
     # ids rise with the place, so that the earliest of a key is the least id
@@ -171,15 +169,15 @@ def _near_classes(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
     release(chosen, found)
     variants = materialize(words.select("id", F.inline(_variants(F.col("words"), F.col("sides")))), "variants")
     earliest = lambda role: F.min(F.when(F.col("role") == role, F.col("id"))).alias(role)
-    met = materialize(variants.groupBy("k1", "k2").agg(F.count("*").alias("n"), *(earliest(r) for r in "SWD")).filter("n > 1"), "met")
+    met = materialize(variants.groupBy("at", "key").agg(F.count("*").alias("n"), *(earliest(r) for r in "SWD")).filter("n > 1"), "met")
     partner = F.when(F.col("role") == "S", F.col("S")).when(F.col("role") == "W", F.col("D")).otherwise(F.col("W"))
-    partnered = join_per_key(variants, met, ["k1", "k2"], "n", variants.count(), "id")
+    partnered = join_per_key(variants, met, ["at", "key"], "n", variants.count(), "id")
     pairs = materialize(partnered.select("id", partner.alias("other")).filter("other < id").distinct(), "pairs")
     release(variants, met)
     asked = pairs.groupBy("other").agg(F.count("*").alias("n"))
     b = asked.join(words.select(F.col("id").alias("other"), F.col("words").alias("b")), "other")
-    compared = join_per_key(pairs.join(words.select("id", "first", F.col("words").alias("a")), "id"), b, ["other"], "n", pairs.count(), "id")
-    near = materialize(compared.filter(_one_edit(F.col("a"), F.col("b"))).select("first").distinct(), "near")
+    compared = join_per_key(pairs.join(words.select("id", "class", F.col("words").alias("a")), "id"), b, ["other"], "n", pairs.count(), "id")
+    near = materialize(compared.filter(_one_edit(F.col("a"), F.col("b"))).select("class").distinct(), "near")
     release(words, pairs)
     return near
 
@@ -190,15 +188,15 @@ def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         _lines(docs, text).select(
             F.struct("doc_id", "digest", "line_no").alias("place"),
             F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"),
-            _halves(F.col("words")).alias("halves"),
+            *(half.alias(name) for name, half in _halves(F.col("words")).items()),
         ), "lines",
     )
-    grouped = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("halves").alias("halves"))
-    classes = materialize(grouped, "classes")
+    grouped = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("first"), *(F.min(name).alias(name) for name in HALVES))
+    classes = materialize(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
     near = _near_classes(docs, text, classes)
     flagged = materialize(
-        classes.join(near.withColumn("near", F.lit(True)), "first", "left").select("h1", "h2", "n", "first", "last", F.coalesce("near", F.lit(False)).alias("near"))
-        .filter("near or first <> last"), "flagged",
+        classes.join(near.withColumn("near", F.lit(True)), "class", "left").select("h1", "h2", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        .filter("near or n > 1"), "flagged",
     )
     release(near, classes)
     met = join_per_key(lines.select("place", "h1", "h2"), flagged, ["h1", "h2"], "n", lines.count(), "place")
