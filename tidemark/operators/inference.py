@@ -66,3 +66,116 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: str, sta
     met = left.join(known, [*same, in_force], "left").select(*(left[c] for c in left.columns), F.struct("_s", "_p", *values).alias("_seen"))
     best = met.groupBy(*left.columns).agg(F.max("_seen").alias("_b"))
     return best.select(*left.columns, *(F.col(f"_b.{v}").alias(v) for v in values))
+
+
+#: Acklam's rational approximation of the normal quantile, within 1.2e-9 of it.
+PROBIT_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+PROBIT_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+PROBIT_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+PROBIT_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+PROBIT_TAIL = 0.02425
+
+
+def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def probit(p: Column) -> Column:
+    """The standard normal quantile of a probability strictly between 0 and 1."""
+    tail = lambda q: _horner(PROBIT_C, q) / _horner(PROBIT_D, q)
+    q = p - 0.5
+    centre = _horner(PROBIT_A, q * q) * q / _horner(PROBIT_B, q * q)
+    low, high = F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
+    return F.when(p < PROBIT_TAIL, tail(low)).when(p > 1 - PROBIT_TAIL, -tail(high)).otherwise(centre)
+
+
+def rank_normal(value: str, by: list[str]) -> Column:
+    """Normal score of the average rank of ``value`` within ``by``; null for nulls, and where fewer than two values are known."""
+    known = F.col(value).isNotNull()
+    group, same = Window.partitionBy(*by, known), Window.partitionBy(*by, value)
+    n = F.count(value).over(group)
+    share = (F.rank().over(group.orderBy(value)) + (F.count("*").over(same) - 1) / 2) / n
+    return F.when(known & (n >= 2), probit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), share))))
+
+
+def residual_of(rows: DataFrame, target: str, controls: list[str], by: list[str], within: list[str] | None = None, out: str = "residual") -> DataFrame:
+    """Adds the least-squares residual of ``target`` on ``controls`` and a constant within ``by``, by Gram-Schmidt projections.
+
+    With ``within`` (finer than ``by``) a constant for each of its groups takes
+    the place of the common one, as dummies would. A control that the earlier
+    ones explain, down to a sum of squares of 1e-20, is skipped.
+    """
+    group = Window.partitionBy(*by)
+    centre = Window.partitionBy(*(within or by))
+    left = [f"_c{i}" for i in range(len(controls))]
+    work = rows.withColumns({name: F.col(c) - F.avg(c).over(centre) for name, c in zip(["_y", *left], [target, *controls], strict=True)})
+    while left:
+        base, *left = left
+        size = F.sum(F.col(base) * F.col(base)).over(group)
+        slope = {c: F.when(size > 1e-20, F.sum(F.col(c) * F.col(base)).over(group) / size).otherwise(0.0) for c in ("_y", *left)}
+        work = work.withColumns({f"{c}_b": b for c, b in slope.items()})
+        work = work.withColumns({c: F.col(c) - F.col(f"{c}_b") * F.col(base) for c in slope}).drop(base, *(f"{c}_b" for c in slope))
+    return work.withColumnRenamed("_y", out)
+
+
+def clustered_slope(rows: DataFrame, y: str, x: str, first: str, second: str) -> DataFrame:
+    """One row: ``n``, ``slope``, ``se`` and ``t`` of ``y`` on ``x``, the error clustered by two keys (sum of both less their cells)."""
+    both = rows.filter(F.col(y).isNotNull() & F.col(x).isNotNull())
+    moments = both.agg(F.struct(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.covar_pop(y, x).alias("cxy"), F.var_pop(x).alias("vx")).alias("fit"))
+    fit = moments.scalar()
+    slope = F.try_divide(fit["cxy"], fit["vx"])
+    scored = both.withColumn("u", (F.col(x) - fit["mx"]) * (F.col(y) - fit["my"] - slope * (F.col(x) - fit["mx"])))
+    # cells add up to either cluster, so one shuffle of rows feeds all three sums
+    cells = scored.groupBy(first, second).agg(F.sum("u").alias("u"))
+    squares = lambda sums: sums.agg(F.sum(F.col("u") * F.col("u"))).scalar()
+    meat = squares(cells.groupBy(first).agg(F.sum("u").alias("u"))) + squares(cells.groupBy(second).agg(F.sum("u").alias("u"))) - squares(cells)
+    out = moments.select(F.col("fit.n").alias("n"), F.try_divide("fit.cxy", "fit.vx").alias("slope"), (F.col("fit.n") * F.col("fit.vx")).alias("size"), meat.alias("meat"))
+    out = out.withColumn("se", F.sqrt(F.greatest(F.lit(0.0), F.col("meat"))) / F.col("size"))
+    return out.select("n", "slope", "se", F.try_divide("slope", "se").alias("t"))
+
+
+def block_bootstrap(rows: DataFrame, value: str, order: str, by: list[str], block: int, repetitions: int, seed: str) -> DataFrame:
+    """``by``, ``n``, ``mean``, ``low`` and ``high``: the interpolated 2.5 % and 97.5 % quantiles of means of resampled series.
+
+    A repetition strings together blocks of ``block`` neighbours, whose starts
+    come from a SHA-256 of the seed, its number and the block's, and is cut to
+    the series' length. Blocks are joined with the series by position.
+    """
+    group = Window.partitionBy(*by)
+    series = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), (F.row_number().over(group.orderBy(order)) - 1).alias("_at"))
+    sizes = series.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean")).withColumn("_b", F.least(F.lit(block), F.col("n")))
+    spots = sizes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("_b")) - 1)))
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "_r", "_k"), 256), 1, 13), 16, 10).cast("long") % (F.col("n") - F.col("_b") + 1)
+    placed = spots.withColumn("_s", drawn).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1))).filter("_k * _b + _o < n")
+    met = placed.withColumn("_at", F.col("_s") + F.col("_o")).join(series, [*by, "_at"])
+    means = met.groupBy(*by, "n", "mean", "_r").agg(F.avg("_v").alias("_m"))
+    q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
+    return means.groupBy(*by, "n", "mean").agg(q.alias("_q")).select(*by, "n", "mean", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"))
+
+
+def tie_averaged_spread(rows: DataFrame, signal: str, result: str, by: list[str], key: str, simulations: int, seed: str, parts: int = 5) -> DataFrame:
+    """``by``, ``tail_n`` and ``spread`` of equal tails, ties ordered by hashes and averaged over ``simulations`` of them; null below ``parts`` rows."""
+    n = F.count("*").over(Window.partitionBy(*by))
+    tail = F.when(n >= parts, F.greatest(F.lit(1), F.floor(n / parts)))
+    many = rows.withColumn("_t", tail).withColumn("_n", n).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    order = Window.partitionBy(*by, "_s").orderBy(signal, F.sha2(F.concat_ws("|", F.lit(seed), "_s", key), 256))
+    placed = many.withColumn("_r", F.row_number().over(order))
+    low, high = F.avg(F.when(F.col("_r") <= F.col("_t"), F.col(result))), F.avg(F.when(F.col("_r") > F.col("_n") - F.col("_t"), F.col(result)))
+    each = placed.groupBy(*by, "_s").agg(F.max("_t").alias("_t"), (high - low).alias("_d"))
+    return each.groupBy(*by).agg(F.coalesce(F.max("_t"), F.lit(0)).alias("tail_n"), F.avg("_d").alias("spread"))
+
+
+def tie_diagnostics(rows: DataFrame, signal: str, by: list[str], parts: int = 5) -> DataFrame:
+    """``by``, distinct signals, the largest share of one, and how many rows share the signal at either tail's boundary."""
+    counts = rows.groupBy(*by, signal).agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*by)
+    upto = counts.withColumns({"upto": F.sum("c").over(group.orderBy(signal)), "n": F.sum("c").over(group)})
+    tail = F.greatest(F.lit(1), F.floor(F.col("n") / parts))
+    holds = lambda rank: (F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)
+    return upto.groupBy(*by).agg(
+        F.count("*").alias("distinct_signals"), F.max(F.col("c") / F.col("n")).alias("largest_share"),
+        F.max(F.when(holds(F.col("n") - tail + 1), F.col("c"))).alias("top_ties"), F.max(F.when(holds(tail), F.col("c"))).alias("bottom_ties"),
+    )

@@ -19,14 +19,19 @@ def winsorize(rows: DataFrame, value: str, by: list[str], low: float = 0.01, hig
     return rows.join(cuts, by).withColumn(out or value, F.when(F.col(value).isNotNull(), clipped)).drop("_q")
 
 
+def rank_correlation(x: str, y: str, least: int = 5) -> Column:
+    """An aggregate: correlation of two columns of ranks; null below ``least`` rows or without two distinct ranks on either side."""
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    # corr() divides by zero under ANSI where a side does not vary
+    ratio = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when((F.count("*") >= least) & varied, ratio)
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> DataFrame:
     """``by``, ``n`` and ``ic``; null below ``least`` pairs or without two distinct values on either side."""
     pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = pairs.select(*by, x, y, average_rank(x, by).alias("_x"), average_rank(y, by).alias("_y"))
-    varied = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    # corr() divides by zero under ANSI where a side does not vary
-    ratio = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & varied, ratio).alias("ic"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), rank_correlation("_x", "_y", least).alias("ic"))
 
 
 def tail_spread(rows: DataFrame, signal: str, result: str, by: list[str], key: str, parts: int = 5) -> DataFrame:

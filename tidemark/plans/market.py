@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
-from tidemark.operators.ranks import average_rank, spearman, tail_spread, winsorize
-from tidemark.plans.views import changes, prices, securities, signals, with_views
+from tidemark.operators.ranks import average_rank, rank_correlation, winsorize
+from tidemark.plans.views import changes, near_signal_dates, prices, securities, signals, with_views
 
 HOLD_DAYS, STALE_DAYS = 77, 10
 
@@ -29,25 +29,29 @@ def forward_returns(spark, sf_dir: str) -> DataFrame:
     return out.select("signal_date", "ticker", "signal", F.round(F.col("close") / F.col("entry_close") - 1, 6).alias("forward_return"))
 
 
-def _panel(spark, sf_dir: str) -> DataFrame:
+def panel(spark, sf_dir: str) -> DataFrame:
     rows = forward_returns(spark, sf_dir).filter("forward_return is not null")
     return winsorize(rows, "forward_return", ["signal_date"]).join(securities(spark, sf_dir).select("ticker", "sector"), "ticker")
 
 
 def winsorized_returns(spark, sf_dir: str) -> DataFrame:
-    return _panel(spark, sf_dir).select("signal_date", "ticker", F.round("forward_return", 6).alias("forward_return"))
+    return panel(spark, sf_dir).select("signal_date", "ticker", F.round("forward_return", 6).alias("forward_return"))
 
 
 def signal_ic_by_date(spark, sf_dir: str) -> DataFrame:
-    """Rank IC, sector-neutral rank IC and the spread of the tails, per signal date."""
-    panel = _panel(spark, sf_dir)
-    inside = Window.partitionBy("signal_date", "sector")
-    neutral = panel.withColumns({"_s": F.round(F.col("signal") - F.avg("signal").over(inside), 9), "_f": F.round(F.col("forward_return") - F.avg("forward_return").over(inside), 9)})
-    raw = spearman(panel, "signal", "forward_return", ["signal_date"])
-    within = spearman(neutral, "_s", "_f", ["signal_date"]).select("signal_date", F.col("ic").alias("neutral_ic"))
-    tails = tail_spread(panel, "signal", "forward_return", ["signal_date"], "ticker")
-    joined = raw.join(within, "signal_date").join(tails, "signal_date")
-    return joined.select("signal_date", "n", *(F.round(c, 6).alias(c) for c in ("ic", "neutral_ic")), "tail_n", F.round("spread", 6).alias("spread"))
+    """Rank IC, sector-neutral rank IC and the spread of the tails, per signal date; all ranks in one pass over the panel."""
+    inside, date = Window.partitionBy("signal_date", "sector"), ["signal_date"]
+    rows = panel(spark, sf_dir).withColumns({
+        "s": F.round(F.col("signal") - F.avg("signal").over(inside), 9), "f": F.round(F.col("forward_return") - F.avg("forward_return").over(inside), 9),
+    })
+    ranked = rows.withColumns({f"r_{c}": average_rank(c, date) for c in ("signal", "forward_return", "s", "f")})
+    placed = ranked.withColumns({"r": F.row_number().over(Window.partitionBy(*date).orderBy("signal", F.sha2("ticker", 256))), "n": F.count("*").over(Window.partitionBy(*date))})
+    tail = F.floor(F.col("n") / 5)
+    high, low = F.avg(F.when(F.col("r") > F.col("n") - tail, F.col("forward_return"))), F.avg(F.when(F.col("r") <= tail, F.col("forward_return")))
+    return placed.groupBy(*date).agg(
+        F.count("*").alias("n"), F.round(rank_correlation("r_signal", "r_forward_return"), 6).alias("ic"), F.round(rank_correlation("r_s", "r_f"), 6).alias("neutral_ic"),
+        F.max(tail).alias("tail_n"), F.round(high - low, 6).alias("spread"),
+    )
 
 
 def rank_percentiles(spark, sf_dir: str) -> DataFrame:
@@ -59,12 +63,11 @@ def rank_percentiles(spark, sf_dir: str) -> DataFrame:
     return ranked.select("signal_date", "ticker", F.round(F.col("r") / F.col("n"), 6).alias("share"), F.round(spread, 6).alias("percentile"))
 
 
-def momentum(spark, sf_dir: str) -> DataFrame:
-    """Compounded price change over days (t-365, t-30], with at least 20 prices."""
-    back = F.datediff("signal_date", "price_date")
-    dates = F.broadcast(signals(spark, sf_dir).select("signal_date").distinct())
-    sums = changes(spark, sf_dir).join(dates, (back >= 30) & (back < 365)).groupBy("signal_date", "ticker").agg(F.count("*").alias("n"), F.sum(F.log1p("change")).alias("s"))
-    return sums.filter("n >= 20").select("signal_date", "ticker", "n", F.round(F.exp("s") - 1, 6).alias("momentum"))
+def momentum(spark, sf_dir: str, least: int = 20) -> DataFrame:
+    """Compounded price change over days (t-365, t-30], with at least ``least`` prices; full daily panels ask for 120, these tables have some 80 a year."""
+    near = changes(spark, sf_dir).withColumn("signal_date", F.explode(near_signal_dates("price_date", 30, 365)))
+    sums = near.groupBy("signal_date", "ticker").agg(F.count("*").alias("n"), F.sum(F.log1p("change")).alias("s"))
+    return sums.filter(F.col("n") >= least).select("signal_date", "ticker", "n", F.round(F.exp("s") - 1, 6).alias("momentum"))
 
 
 def market_returns(spark, sf_dir: str) -> DataFrame:
@@ -108,7 +111,7 @@ e AS (SELECT s.*, p.close AS entry_close FROM signals s ASOF LEFT JOIN prices p
 x AS (SELECT s.signal_date, s.ticker, s.signal, e.entry_close, s.signal_date + 77 AS exit_at FROM signals s LEFT JOIN e USING (signal_date, ticker)),
 fr AS (SELECT x.signal_date, x.ticker, x.signal, CASE WHEN x.exit_at - p.price_date <= 10 THEN round(p.close / x.entry_close - 1, 6) END AS forward_return
       FROM x ASOF LEFT JOIN prices p ON x.ticker = p.ticker AND x.exit_at >= p.price_date)"""
-_PANEL = RETURNS_SQL + """,
+PANEL_SQL = RETURNS_SQL + """,
 q AS (SELECT signal_date, quantile_cont(forward_return, 0.01) AS lo, quantile_cont(forward_return, 0.99) AS hi FROM fr WHERE forward_return IS NOT NULL GROUP BY 1),
 panel AS (SELECT signal_date, ticker, signal, greatest(lo, least(hi, forward_return)) AS forward_return, sector FROM fr JOIN q USING (signal_date) JOIN securities USING (ticker) WHERE forward_return IS NOT NULL)"""
 CHANGES_SQL = """changes AS (SELECT ticker, price_date, greatest(-0.3, least(0.3, close / last - 1)) AS change
@@ -122,8 +125,8 @@ FROM signals s ASOF LEFT JOIN prices p ON s.ticker = p.ticker AND s.signal_date
 SELECT s.ticker, s.signal_date, s.signal, CASE WHEN p.price_date - s.signal_date <= 10 THEN p.price_date END AS price_date, CASE WHEN p.price_date - s.signal_date <= 10 THEN p.close END AS close
 FROM signals s ASOF LEFT JOIN prices p ON s.ticker = p.ticker AND s.signal_date <= p.price_date""",
     "forward_return_77d": RETURNS_SQL + "\nSELECT signal_date, ticker, signal, forward_return FROM fr",
-    "winsorize_returns": _PANEL + "\nSELECT signal_date, ticker, round(forward_return, 6) AS forward_return FROM panel",
-    "signal_ic_by_date": _PANEL + """,
+    "winsorize_returns": PANEL_SQL + "\nSELECT signal_date, ticker, round(forward_return, 6) AS forward_return FROM panel",
+    "signal_ic_by_date": PANEL_SQL + """,
 ntr AS (SELECT signal_date, ticker, signal, forward_return, round(signal - avg(signal) OVER w, 9) AS s, round(forward_return - avg(forward_return) OVER w, 9) AS f FROM panel WINDOW w AS (PARTITION BY signal_date, sector)),
 rk AS (SELECT *, rank() OVER (PARTITION BY signal_date ORDER BY signal) + (count(*) OVER (PARTITION BY signal_date, signal) - 1) / 2 AS rs,
         rank() OVER (PARTITION BY signal_date ORDER BY forward_return) + (count(*) OVER (PARTITION BY signal_date, forward_return) - 1) / 2 AS rf,

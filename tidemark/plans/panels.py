@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.inference import holm, interval_join, newey_west, rank_bucket, residual, two_sided_p
 from tidemark.operators.ranks import average_rank
 from tidemark.plans import market
-from tidemark.plans.views import changes, prices, sector_intervals, securities, signals, with_views
+from tidemark.plans.views import changes, near_signal_dates, prices, sector_intervals, securities, signals, with_views
 
 HAC_LAGS, BETA_ROWS, BETA_LEAST, SESSIONS = 4, 252, 120, 63
 #: Names held in each market, names sampled from each stratum, and the seed of the sample.
@@ -86,9 +86,9 @@ def sample(spark, sf_dir: str) -> DataFrame:
 
 def liquidity(spark, sf_dir: str) -> DataFrame:
     """Amount traded over 60 days, as a percentile of the date's names."""
-    back = F.datediff("signal_date", "price_date")
-    dates = F.broadcast(signals(spark, sf_dir).select("signal_date").distinct())
-    sums = prices(spark, sf_dir).join(dates, (back >= 0) & (back < 60)).groupBy("signal_date", "ticker").agg(F.round(F.sum("amount"), 2).alias("traded"))
+    near = prices(spark, sf_dir).withColumn("signal_date", F.explode(near_signal_dates("price_date", 0, 60)))
+    known = signals(spark, sf_dir).select("signal_date").distinct()
+    sums = near.join(F.broadcast(known), "signal_date").groupBy("signal_date", "ticker").agg(F.round(F.sum("amount"), 2).alias("traded"))
     n = F.count("*").over(Window.partitionBy("signal_date"))
     return sums.select("signal_date", "ticker", "traded", F.round(average_rank("traded", ["signal_date"]) / n, 6).alias("percentile"))
 

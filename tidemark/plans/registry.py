@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import companies, market, panels, texts, valuation
+from tidemark.plans import companies, market, panels, statistics, texts, valuation
 
 FLAGSHIP = "signal_ic_by_date"
+MODULES = (market, companies, panels, valuation, texts, statistics)
 
-QUERIES: dict = market.QUERIES | companies.QUERIES | panels.QUERIES | valuation.QUERIES | texts.QUERIES
-ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | companies.ORACLE_SQL | panels.ORACLE_SQL | valuation.ORACLE_SQL | texts.ORACLE_SQL
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import table
@@ -47,11 +47,18 @@ def signal_dates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(first).alias("q")).select(F.last_day(F.add_months("q", 2)).alias("signal_date"))
 
 
+def near_signal_dates(day: str, least: int, below: int) -> Column:
+    """The signal dates that lie from ``least`` to less than ``below`` days after ``day``, by calendar arithmetic instead of a join."""
+    first = F.last_day(F.add_months(F.trunc(day, "quarter"), 2))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(below // 90 + 1)), lambda k: F.last_day(F.add_months(first, 3 * k)))
+    inside = lambda s: (F.datediff(s, F.col(day)) >= least) & (F.datediff(s, F.col(day)) < below) & s.between(F.lit("1996-03-31").cast("date"), F.lit("2001-12-31").cast("date"))
+    return F.filter(ends, inside)
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth of the amount traded: the last 182 days over the 182 before, per date and ticker."""
-    dates = F.broadcast(signal_dates(spark))
     back = F.datediff("signal_date", "price_date")
-    near = prices(spark, sf_dir).join(dates, (back >= 0) & (back < 364)).withColumn("recent", back < 182)
+    near = prices(spark, sf_dir).withColumn("signal_date", F.explode(near_signal_dates("price_date", 0, 364))).withColumn("recent", back < 182)
     sums = near.groupBy("signal_date", "ticker").agg(
         F.sum(F.when(F.col("recent"), F.col("amount"))).alias("now"), F.sum(F.when(~F.col("recent"), F.col("amount"))).alias("before")
     )
