@@ -9,10 +9,11 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from tidemark.llm import neighbours, registry, shingles, simhash
+from tidemark.llm import neighbours, registry, shingles, simhash, urls
 from tidemark.llm.licenses import TEMPLATES, scan_licenses
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
@@ -163,8 +164,6 @@ def test_quality(spark, docs):
 
 
 def test_quality_rules_held_out(spark):
-    from pyspark.sql import functions as F
-
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality is not null")
     rules = fit_rules(docs, labels.filter("doc_id % 2 = 0"))
@@ -224,8 +223,6 @@ def test_packing_of_repeated_rows_and_clashing_columns(spark):
 
 
 def test_neighbours(spark):
-    from pyspark.sql import functions as F
-
     data = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toArrow()
     keys, x = data["vec_id"].to_numpy(), np.array(data["embedding"].to_pylist(), dtype=float)
     got = {}
@@ -256,6 +253,32 @@ def test_sql(spark, name):
     assert sorted(map(str, asked.fetchall())) == sorted(str(tuple(r[c] for c in at)) for r in rows(spark, name))
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 24, 500])
+def test_url_cascades_are_exact(spark, monkeypatch, shard_bytes):
+    """Thousands of listed domains, so that cascades have several levels, whole and in shards."""
+    monkeypatch.setattr(urls, "SHARD_BYTES", shard_bytes)
+    rng = np.random.default_rng(8)
+    hosts = [f"h{k}.d{k % 900}.{tld}" for k, tld in enumerate(rng.choice(["com", "org", "net"], 4000))]
+    keys = {f"d{k}.com" for k in range(0, 900, 2)} | {h for h in hosts if h.endswith("org") and int(rng.integers(3))} | {"unseen.net"}
+    built, depth = urls.build_cascade, []
+    monkeypatch.setattr(urls, "build_cascade", lambda u: depth.append(built(u)) or depth[-1])
+    pages = spark.createDataFrame([(i, f"x://{h}/a") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = urls.judge_urls(pages, spark.createDataFrame([(k,) for k in keys] + [(None,)], "key string"), rules=()).collect()
+    assert {r["host"] for r in got if r["verdict"] == "block"} == {h for h in hosts if h in keys or h.split(".", 1)[1] in keys}
+    assert max(map(len, depth)) > 2 and (len(depth) > 1) == (shard_bytes == 500)
+
+
+def test_urls_edges(spark):
+    rows = [(1, None, "p"), (2, "no scheme", "p"), (3, "http://SPAM-farm.example.org?x", "p"), (3, "http://SPAM-farm.example.org?x", "p"), (4, "http://a.example.net/en/", "p"), (5, "http://" + "a." * 2000 + "fr/", "p")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string").withColumns({"a": F.lit(1), "_a": F.lit(1)})
+    got = sorted((r["page_id"], r["host"][:12], r["rule"], r["verdict"], r["a"], r["_a"]) for r in urls.judge_urls(df, urls.listed_domains(spark)).collect())
+    blocked = (3, "spam-farm.ex", None, "block", 1, 1)
+    want = [(1, "", None, "allow", 1, 1), (2, "", None, "allow", 1, 1), blocked, blocked, (4, "a.example.ne", "example.net/en/", "allow", 1, 1), (5, "a.a.a.a.a.a.", None, "allow", 1, 1)]
+    assert got == want
+    assert urls.judge_urls(df.limit(0), urls.listed_domains(spark)).count() == 0
+    assert {r["verdict"] for r in urls.judge_urls(df, urls.listed_domains(spark).limit(0)).collect()} == {"allow"}
+
+
 def test_mixing_reaches_target_weights(spark):
     df = spark.createDataFrame([(i, "t", "a" if i % 4 else "b") for i in range(8000)] + [(None, None, None)], "doc_id long, text string, source string")
     w = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
@@ -376,8 +399,6 @@ def test_near_dedup_links_at_similarity_of_four_fifths(spark, monkeypatch, tile)
 
 def neighbour_recall(spark, monkeypatch, x):
     """Of the 20 of largest inner product, with starts for searches among few of the nodes."""
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(neighbours, "ENTRIES", 256, raising=False)
     got = {}
     for r in nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect():

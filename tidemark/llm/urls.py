@@ -1,15 +1,19 @@
-"""URL verdicts: longest matching rule, else a Bloom filter cascade over listed hosts.
+"""URL verdicts: longest matching rule, else a Bloom filter cascade over listed domains.
 
-The cascade is exact for every host of the corpus and needs no join with it.
-Level 0 encodes the listed hosts; level 1 the other hosts that pass level 0;
-level 2 the listed hosts that pass level 1; and so on until none pass. A host
-is listed if the first level it fails is odd. The filters are built by Spark
-from all hosts; their size grows with the list, so it is checked before they
-are broadcast, and beyond ``MAX_FILTER_BYTES`` hosts are joined with the list.
+The keys are domains: a host is listed if it or a domain above it is. The
+cascade is exact for every domain of the corpus's hosts and needs no join with
+them. Level 0 encodes the listed domains of the corpus; level 1 the others that
+pass level 0; level 2 the listed ones that pass level 1; and so on until none
+pass. A domain is listed if the first level it fails is odd. The filters are
+built by Spark from all domains of all hosts. Domains are dealt by a hash into
+as many shards as keep a shard's filters within ``SHARD_BYTES``; each shard has
+a cascade of its own, and they are built, broadcast and applied one by one.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path and no rule; an empty list, or no pages, blocks nothing by list; repeated
-rows are judged each; columns with the names of results are replaced.
+path and no rule; the empty host has no domains; an empty list, or no pages,
+blocks nothing by list; null keys of the list are left out; urls of any length
+are taken whole; repeated rows are judged each; columns with the names of
+results are replaced, and all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +30,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import ascii_lower
 from tidemark.shipping import ship_package
-from tidemark.sources.scratch import materialize
+from tidemark.sources.scratch import materialize, release
 
 #: Verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words of a host's labels that put it on the list of the query.
-LISTED_WORDS = ("bets", "casino", "loans", "pills", "poker", "porn", "xxx")
-MAX_FILTER_BYTES = 32 << 20
-MAX_LEVELS = 64
+#: The query's list: these sites under each of these domains.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_UNDER = ("example.com", "example.net", "example.org")
+SHARD_BYTES = 16 << 20
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -96,41 +100,40 @@ def _passing(keys: DataFrame, at: int, level: Level) -> DataFrame:
     return keys.filter(passes("a", "b"))
 
 
-def build_cascade(universe: DataFrame) -> list[Level] | None:
-    """Levels for ``universe(a, b, listed)``, one row per key; None where they would be too large."""
+def build_cascade(universe: DataFrame) -> list[Level]:
+    """Levels for ``universe(a, b, listed)``, one row per key."""
     sides = {True: universe.filter("listed"), False: universe.filter("not listed")}
     n = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-    inside, levels, size = n.get(True, 0), [], 0
-    others = n.get(False, 0)
+    inside, others, levels = n.get(True, 0), n.get(False, 0), []
     rate = min(0.5, math.sqrt(0.5) * inside / others) if inside and others else 0.5
-    for at in range(MAX_LEVELS):
-        if not inside:
-            return levels
-        size += -inside * math.log(rate) / math.log(2) ** 2 / 8
-        if size > MAX_FILTER_BYTES:
-            return None
+    while inside:
+        at = len(levels)
         member = at % 2 == 0
         level = _build(sides[member], at, inside, rate)
         levels.append(level)
-        sides[not member] = materialize(_passing(sides[not member], at, level), "cascade")
-        inside, rate = sides[not member].count(), 0.5
-    raise RuntimeError(f"keys did not separate in {MAX_LEVELS} levels")
+        passed = materialize(_passing(sides[not member], at, level), "cascade")
+        release(sides[not member])
+        sides[not member] = passed
+        inside, rate = passed.count(), 0.5
+    release(*sides.values())
+    return levels
 
 
 def in_cascade(spark, levels: list[Level], a: Column, b: Column) -> Column:
-    """Whether the key with hashes ``a`` and ``b`` is listed; exact for keys of the universe."""
+    """Whether any of the keys with hashes in the arrays ``a`` and ``b`` is listed; exact for keys of the universe."""
     shared = spark.sparkContext.broadcast(levels)
 
     @F.pandas_udf("boolean")
     def listed(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = a.to_numpy(), b.to_numpy()
-        out, alive = np.zeros(len(x), dtype=bool), np.arange(len(x))
+        row = np.repeat(np.arange(len(a)), a.map(len))
+        x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *side]) for side in (a, b))
+        found, alive = np.zeros(len(x), dtype=bool), np.arange(len(x))
         for at, level in enumerate(shared.value):
             ok = _passes(x[alive], y[alive], at, level)
-            out[alive[~ok]] = at % 2 == 1
+            found[alive[~ok]] = at % 2 == 1
             alive = alive[ok]
-        out[alive] = len(shared.value) % 2 == 1
-        return pd.Series(out)
+        found[alive] = len(shared.value) % 2 == 1
+        return pd.Series(np.isin(np.arange(len(a)), row[found]))
 
     return listed(a, b)
 
@@ -139,6 +142,37 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b")]
 
 
+def domains(host: Column) -> Column:
+    """The host and all domains above it; none of an empty host."""
+    labels = F.split(host, r"\.", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(above)
+
+
+def mark_listed(rows: DataFrame, listed: DataFrame, host: str = "host", mark: str = "listed") -> DataFrame:
+    """Adds ``mark``: whether ``rows[host]`` is or lies under a domain of ``listed(key)``."""
+    spark = rows.sparkSession
+    on_list = listed.select("key").filter("key is not null").distinct().withColumn("listed", F.lit(True))
+    keys = rows.select(host).distinct().select(F.explode(domains(F.col(host))).alias("key")).distinct()
+    known = keys.join(on_list, "key", "left").select(*_hashes(F.col("key")), F.coalesce("listed", F.lit(False)).alias("listed"))
+    universe = materialize(known, "universe")
+    inside, total = universe.agg(F.count_if("listed"), F.count("*")).first()
+    # levels after the first two add up to about as many bits again as their keys
+    bits = inside * (3 + 1.45 * max(1.0, math.log2(max(total, 1) / max(inside, 1))))
+    shards = max(1, math.ceil(bits / 8 / SHARD_BYTES))
+    out = rows.withColumn(mark, F.lit(False))
+    for shard in range(shards):
+        mine = lambda a: F.pmod(a, F.lit(shards)) == shard  # noqa: E731, B023
+        levels = build_cascade(universe.filter(mine(F.col("a"))))
+        pairs = F.filter(F.transform(domains(F.col(host)), lambda d: F.struct(*_hashes(d))), lambda x: mine(x["a"]))
+        out = out.withColumn(mark, F.col(mark) | in_cascade(spark, levels, pairs["a"], pairs["b"]))
+        if shards > 1:
+            before, out = out, materialize(out, "marked")
+            release(before)
+    release(universe)
+    return out
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path."""
     whole = F.coalesce(url, F.lit(""))
@@ -146,23 +180,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
-    """Adds ``host``, ``path``, ``rule``, ``verdict`` and ``listed``; ``listed(key)`` are the hosts on the list."""
-    spark = pages.sparkSession
-    ship_package(spark)
+    """Adds ``host``, ``path``, ``rule``, ``verdict`` and ``listed``; ``listed(key)`` are the domains on the list."""
+    ship_package(pages.sparkSession)
     host, path = url_parts(F.col(url))
-    parted = pages.drop("host", "path", "rule", "verdict", "listed", "_a", "_b").withColumns({"host": host, "path": path})
-    on_list = listed.select(F.col("key").alias("host")).distinct().withColumn("listed", F.lit(True))
-    universe = materialize(
-        parted.groupBy("host").agg(F.count("*").alias("n")).join(on_list, "host", "left")
-        .select(*_hashes(F.col("host")), F.coalesce("listed", F.lit(False)).alias("listed")), "universe",
-    )
-    levels = build_cascade(universe)
-    if levels is None:
-        known = parted.join(on_list, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        a, b = _hashes(F.col("host"))
-        known = parted.withColumns({"_a": a, "_b": b}).withColumn("listed", in_cascade(spark, levels, F.col("_a"), F.col("_b"))).drop("_a", "_b")
-
+    known = mark_listed(pages.drop("host", "path", "rule", "verdict", "listed").withColumns({"host": host, "path": path}), listed)
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("listed"), "block").otherwise("allow")
     for says, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
@@ -170,14 +191,17 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url
     return known.withColumns({"rule": rule, "verdict": verdict})
 
 
+def listed_domains(spark) -> DataFrame:
+    """The query's list, ``(key)``."""
+    return spark.createDataFrame([(f"{site}.{under}",) for site in LISTED_SITES for under in LISTED_UNDER], "key string")
+
+
 def op6_urls(spark, sf_dir: str) -> DataFrame:
-    """Judges every page; the list are hosts with a word of ``LISTED_WORDS`` between dots and hyphens."""
+    """Judges every page; ``listed`` tells whether the list names its host."""
     from tidemark.sources.tables import table
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host = url_parts(F.col("url"))[0]
-    listed = pages.select(host.alias("key")).distinct().filter(F.arrays_overlap(F.split("key", "[.-]"), F.array(*map(F.lit, LISTED_WORDS))))
-    return judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return judge_urls(pages, listed_domains(spark)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 OP6_SQL = r"""
@@ -185,7 +209,10 @@ WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id,
         translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM p),
-j AS (SELECT *, list_has_any(string_split_regex(host, '[.-]'), ['bets', 'casino', 'loans', 'pills', 'poker', 'porn', 'xxx']) AS listed,
+l AS (SELECT site || '.' || under AS key
+      FROM unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS a(site),
+           unnest(['example.com', 'example.net', 'example.org']) AS b(under)),
+j AS (SELECT *, EXISTS (SELECT 1 FROM l WHERE host = key OR ends_with(host, '.' || key)) AS listed,
         CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
              WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
              WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
