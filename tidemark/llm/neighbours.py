@@ -42,13 +42,13 @@ from tidemark.sources.scratch import materialize, release, sized
 
 TOP = 20
 #: Links kept for each node, and pairs that a meeting proposes to each member.
-LINKS, PROPOSED = 24, 10
+LINKS, PROPOSED = 32, 14
 #: Pivots (a bounded sample of nodes), nodes to a block, near pivots of a node.
 MAX_PIVOTS, BLOCK, NEAR_PIVOTS = 4096, 512, 3
 ROUNDS, CHANGED = 8, 0.01
 #: Nodes that link a node and are kept with those that it links, nearest first.
 REVERSE = 48
-BEAM, WIDTH = 96, 32
+BEAM, WIDTH = 192, 64
 #: Nodes among which a search looks for its starts, half of them the longest.
 ENTRIES = 4096
 #: Requests of at most so many bytes are broadcast to the graph; more are shuffled with it.
