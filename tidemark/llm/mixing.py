@@ -4,26 +4,35 @@ A source's mean repetition rate is its target share of all documents over its
 present one. Each document inverts a Poisson distribution of that mean at a
 uniform number hashed from its id, is repeated so often, and all copies are
 shuffled by a hash. A rate over ``MAX_RATE`` is cut into equal parts, each drawn
-from a number of its own, and the counts are added: their sum has the whole rate. One aggregation over sources, one shuffle of the copies.
+from a number of its own, and the counts are added: their sum has the whole
+rate. One aggregation over sources, one shuffle of the copies, into at least as
+many partitions as keep ``PARTITION_ROWS`` copies each.
 
 Defined results: a null source is a source of its own; documents of a source
 without a weight are left out; an empty table gives an empty result; rows that
-repeat a ``doc_id`` get equal counts; columns named ``rate``, ``n_copies``,
-``copy`` and ``shuffle_key`` are replaced.
+repeat a ``doc_id`` get equal counts; null ids count as an empty one; texts are
+carried whole; columns named ``rate``, ``n_copies``, ``copy`` and
+``shuffle_key`` are replaced, and all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
+from tidemark.functions.names import unused
+from tidemark.sources.scratch import materialize, sized
+
 #: Weight of a source of n documents, where none are given: n to this power.
 TEMPERATURE = 0.5
 SEED = 42
 #: The greatest rate of one draw: the distribution is summed term by term.
 MAX_RATE = 200.0
-#: Up to so many sources their rates are broadcast.
-BROADCAST_SOURCES = 100_000
+#: Copies to a partition of the result, at most in the mean.
+PARTITION_ROWS = 200_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -46,39 +55,38 @@ def _cumulative(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, source: str = "source") -> DataFrame:
-    """``(source, rate, parts, cdf)``, ``cdf`` being that of one of ``parts`` draws; ``weights(source, weight)`` need not add up to one."""
-    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_n"))
+    """``(source, n, rate, parts, cdf)``, ``cdf`` being that of one of ``parts`` draws; ``weights(source, weight)`` need not add up to one."""
+    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
-        weighed = counts.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(TEMPERATURE)))
+        weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
     else:
-        named = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("_w"))
-        weighed = counts.join(named, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    totals = weighed.agg(F.sum("_w").alias("_tw"), F.sum("_n").alias("_tn"))
-    rated = weighed.join(F.broadcast(totals)).select("_source", (F.col("_w") / F.col("_tw") * F.col("_tn") / F.col("_n")).alias("rate"))
-    parted = rated.withColumn("_parts", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int"))
-    return parted.withColumn("_cdf", _cumulative(F.col("rate") / F.col("_parts")))
+        named = weights.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
+        weighed = counts.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    counted = materialize(weighed, "sources")
+    totals = counted.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    rate = F.col("w") / F.lit(totals["w"]) * F.lit(totals["n"]) / F.col("n")
+    parted = counted.withColumn("rate", rate).withColumn("parts", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int"))
+    return materialize(parted.select("source", "n", "rate", "parts", _cumulative(F.col("rate") / F.col("parts")).alias("cdf")), "rates")
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", seed: int = SEED) -> DataFrame:
     """The copies of ``docs`` with ``rate``, ``n_copies``, ``copy`` (from 1) and ``shuffle_key``, in shuffled order."""
     docs = docs.drop("rate", "n_copies", "copy", "shuffle_key")
     rates = source_rates(docs, weights, source)
-    if docs.select(source).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    first = uniform(F.lit(str(seed)), F.lit("count"), name)
-    below = lambda u: F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")
-    later = F.aggregate(
-        F.transform(F.sequence(F.lit(2), F.col("_parts")), lambda k: uniform(F.lit(str(seed)), F.lit("count"), name, k.cast("string"))),
-        F.lit(0).cast("long"),
-        lambda n, u: n + below(u),
-    )
-    counted = drawn.withColumn("_u", first).withColumn("n_copies", below(F.col("_u")))
-    counted = counted.withColumn("n_copies", F.col("n_copies") + F.when(F.col("_parts") > 1, later).otherwise(0)).drop("_cdf", "_u", "_parts")
+    name, of, n, parts, cdf = unused(docs, "_name", "_source", "_n", "_parts", "_cdf")
+    told = sized(rates).withColumnsRenamed({"source": of, "n": n, "parts": parts, "cdf": cdf})
+    drawn = docs.join(told, F.col(source).eqNullSafe(F.col(of))).withColumn(name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    below = lambda u: F.size(F.filter(cdf, lambda c: c <= u)).cast("long")
+    draw = lambda *which: uniform(F.lit(str(seed)), F.lit("count"), F.col(name), *which)
+    later = F.aggregate(F.transform(F.sequence(F.lit(2), F.col(parts)), lambda k: draw(k.cast("string"))), F.lit(0).cast("long"), lambda total, u: total + below(u))
+    first = let(draw(), below)
+    counted = drawn.withColumn("n_copies", first + F.when(F.col(parts) > 1, later).otherwise(0)).drop(of, n, parts, cdf)
     copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy")))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col(name), F.col("copy")))).drop(name)
+    # the rates add up to the number of documents of the sources with a weight
+    expected = rates.agg(F.sum(F.col("n") * F.col("rate"))).first()[0] or 0
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(expected / PARTITION_ROWS))
+    return keyed.repartition(spread, "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -93,15 +101,16 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 w AS (SELECT source, n, sqrt(n::DOUBLE) AS w FROM n),
-r AS (SELECT source, w / (SELECT sum(w) FROM w) * (SELECT sum(n)::DOUBLE FROM w) / n AS rate FROM w),
-d AS (SELECT doc_id, text, source, rate,
-        ('0x' || substr(md5('42:count:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-      FROM documents JOIN r USING (source)),
-t AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-      FROM r, range(0, 200) AS g(k)),
-c AS (SELECT d.doc_id, d.text, d.source, d.rate, (SELECT count(*) FROM t WHERE t.source = d.source AND t.cdf <= d.u AND t.k <= ceil(d.rate + 10 * sqrt(d.rate) + 20)) AS n_copies FROM d)
+r AS (SELECT source, rate, parts, rate / parts AS each FROM (SELECT *, greatest(ceil(rate / 200), 1)::BIGINT AS parts FROM (
+        SELECT source, w / (SELECT sum(w) FROM w) * (SELECT sum(n)::DOUBLE FROM w) / n AS rate FROM w))),
+d AS (SELECT row_number() OVER () AS id, doc_id, text, documents.source, rate, parts, each FROM documents JOIN r ON documents.source IS NOT DISTINCT FROM r.source),
+u AS (SELECT id, source, each, ('0x' || substr(md5('42:count:' || coalesce(doc_id::VARCHAR, '') || CASE WHEN part > 1 THEN ':' || part ELSE '' END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+      FROM d, LATERAL (SELECT unnest(range(1, parts + 1)) AS part)),
+t AS (SELECT source, k, sum(exp(-each + k * ln(each) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+      FROM r, LATERAL (SELECT unnest(range(0, ceil(each + 10 * sqrt(each) + 20)::BIGINT + 1)) AS k)),
+c AS (SELECT id, sum((SELECT count(*) FROM t WHERE t.source IS NOT DISTINCT FROM u.source AND t.cdf <= u.u))::BIGINT AS n_copies FROM u GROUP BY id)
 SELECT doc_id, source, round(rate, 9) AS rate, n_copies, copy,
        md5('42:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR) AS shuffle_key,
        sha256(coalesce(text, '')) AS text_sha256
-FROM c, LATERAL (SELECT unnest(range(1, n_copies + 1)) AS copy)
+FROM c JOIN d USING (id), LATERAL (SELECT unnest(range(1, n_copies + 1)) AS copy)
 """
