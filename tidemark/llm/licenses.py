@@ -14,9 +14,10 @@ Text is cut into words once to count tokens and once to join; only documents
 with a prefix token are cut into blocks. Templates are a fixed table, so they
 are broadcast.
 
-Defined results: a null text is an empty one; rows that repeat a ``doc_id``
-share the labels found in any of them; columns with the names of results are
-replaced.
+Defined results: a null text is an empty one; texts of any length are scanned
+whole; rows that repeat a ``doc_id`` share the labels found in any of them, and
+so do rows without one; an empty table gives an empty result; columns with the
+names of results are replaced, and all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
-from tidemark.sources.scratch import materialize
+from tidemark.functions.names import unused
+from tidemark.sources.scratch import materialize, sized
 
 #: Phrases of the contract and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -74,24 +76,24 @@ def _spaces(text: Column) -> Column:
 
 def phrase_places(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id`` and all columns but ``text``, with ``n_words``, ``n_base``, ``first_word``, ``last_word`` and ``base``, an array of labels."""
-    kept = docs.drop("n_words", "n_base", "first_word", "last_word", "base", "_s", "_p", "_h")
+    kept = docs.drop("n_words", "n_base", "first_word", "last_word", "base")
+    spaced, pieces, hits = unused(kept, "_spaced", "_pieces", "_hits")
     phrase = "(?i)(?<= )(?:" + "|".join(PHRASES) + ")(?= )"
-    any_phrase = F.col("_s").rlike(phrase)
+    any_phrase = F.col(spaced).rlike(phrase)
     none = F.array().cast("array<string>")
-    cut = kept.withColumn("_s", _spaced(F.coalesce(F.col(text), F.lit(""))))
+    cut = kept.withColumn(spaced, _spaced(F.coalesce(F.col(text), F.lit(""))))
     found = cut.withColumns({
-        "_h": F.when(any_phrase, F.regexp_extract_all("_s", F.lit(phrase), F.lit(0))).otherwise(none),
-        "_p": F.when(any_phrase, F.split("_s", phrase, -1)).otherwise(none),
-        "n_words": _spaces(F.col("_s")) - 1,
+        hits: F.when(any_phrase, F.regexp_extract_all(spaced, F.lit(phrase), F.lit(0))).otherwise(none),
+        pieces: F.when(any_phrase, F.split(spaced, phrase, -1)).otherwise(none),
+        "n_words": _spaces(F.col(spaced)) - 1,
     })
-    hits = F.col("_h")
     labels = [F.when(F.exists(hits, lambda h: F.lower(h) == phrase), F.lit(label)) for phrase, label in PHRASES.items()]
-    last_start = F.col("n_words") - (_spaces(F.element_at("_p", -1)) - 1) - (_spaces(F.element_at("_h", -1)) + 1)
+    last_start = F.col("n_words") - (_spaces(F.element_at(pieces, -1)) - 1) - (_spaces(F.element_at(hits, -1)) + 1)
     return found.select(
         *[c for c in kept.columns if c != text],
         "n_words",
         F.size(hits).cast("long").alias("n_base"),
-        F.when(F.size(hits) > 0, _spaces(F.get("_p", 0)) - 1).alias("first_word"),
+        F.when(F.size(hits) > 0, _spaces(F.get(pieces, 0)) - 1).alias("first_word"),
         F.when(F.size(hits) > 0, last_start).alias("last_word"),
         F.array_sort(F.filter(F.array(*labels), lambda x: x.isNotNull())).alias("base"),
     )
@@ -156,8 +158,9 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     found = template_matches(docs, text).groupBy("doc_id").agg(
         F.array_sort(F.collect_set("label")).alias("found"), F.max("containment").alias("score")
     )
-    found = materialize(found.withColumnRenamed("doc_id", "_doc"), "licenses")
-    joined = places.join(found, places["doc_id"].eqNullSafe(found["_doc"]), "left").drop("_doc")
+    key = unused(places, "_doc", "found", "score")[0]
+    found = sized(materialize(found.withColumnRenamed("doc_id", key), "licenses"))
+    joined = places.join(found, F.col("doc_id").eqNullSafe(F.col(key)), "left").drop(key)
     none = F.array().cast("array<string>")
     return joined.withColumns({"found": F.coalesce("found", none), "score": F.coalesce("score", F.lit(0.0))})
 

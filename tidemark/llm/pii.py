@@ -5,8 +5,9 @@ pattern is written with possessive quantifiers and anchored to the start of a
 run, so that a text of any length is scanned once and without recursion.
 
 Defined results: a null text is an empty one; a text without data gives zero
-counts and empty strings; repeated rows give repeated results; columns of the
-input with the name of a result column are replaced by it.
+counts and empty strings; repeated rows give repeated results; an empty table
+gives an empty result; a column ``pii`` of the input is replaced, and all others
+stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let, running_sum
+from tidemark.functions.names import unused
 
 #: Kinds whose spans are fixed by contract, in order, and those the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -143,11 +145,11 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Starts and ends count code points; ends are exclusive.
     """
-    kept = docs.drop("pii", *(f"_{k}" for k in PATTERNS))
+    kept = docs.drop("pii")
+    named = dict(zip(PATTERNS, unused(kept, *(f"_{k}" for k in PATTERNS)), strict=True))
     body = F.coalesce(F.col(text), F.lit(""))
-    out = kept.withColumns({f"_{k}": _found(body, k) for k in PATTERNS})
-    source = {k: f"_{'card' if k == 'short_card' else k}" for k in BASE_KINDS + ADDED_KINDS}
-    spans = F.concat(*(_spans(F.col(source[k]), k) for k in BASE_KINDS + ADDED_KINDS))
+    out = kept.withColumns({named[k]: _found(body, k) for k in PATTERNS})
+    spans = F.concat(*(_spans(F.col(named["card" if k == "short_card" else k]), k) for k in BASE_KINDS + ADDED_KINDS))
     return out.select(*kept.columns, spans.alias("pii"))
 
 

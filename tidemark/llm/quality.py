@@ -8,7 +8,10 @@ every row.
 Defined results: a null text has no words and fails; rows with a null label,
 and labels of unknown documents, are not learned from; a document labelled
 more than once takes its lowest label; without both classes the learned list
-is empty and the fixed rules alone decide.
+is empty and the fixed rules alone decide; rows that repeat are judged each, an
+empty table gives an empty result, texts of any length are counted whole;
+columns named as a statistic, ``base_failed``, ``rule`` or ``kept`` are replaced,
+and all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
+from tidemark.functions.names import unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 5
@@ -77,11 +81,12 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     They are columns of their own, not one struct: the optimizer would inline
     a struct's parts into every later use and count each text many times.
     """
-    kept = docs.drop(*STATISTICS, "_words", "_lines")
+    kept = docs.drop(*STATISTICS)
+    words, lines = unused(kept, "_words", "_lines")
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
-    staged = kept.withColumns({"_words": F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), "_lines": lines})
-    words, lines = F.col("_words"), F.col("_lines")
+    filled = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
+    staged = kept.withColumns({words: F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), lines: filled})
+    words, lines = F.col(words), F.col(lines)
     counts = (
         F.size(words).cast("long"),
         _count(body, WORD),

@@ -4,14 +4,17 @@ The vocabulary strings that the tokenizer encodes alone as one token are found
 once, on the driver, by encoding each of them; a pre-token that is such a
 string is that token. Only other pre-tokens are merged, by the library's model.
 A pre-token has the same tokens wherever it stands, so workers keep what they
-have merged (at most ``CACHE_ENTRIES`` of them, then they start over).
+have merged: strings of up to ``CACHED_CHARS`` characters, within ``CACHE_ENTRIES``
+and ``CACHE_BYTES``, and then they start over.
 
 Texts that hold a special token's string go to the library whole. So do
 stretches without white space that have characters beyond ASCII and Latin-1
 letters; the tokenizer never joins text over white space.
 
-Defined results: a null text is an empty one; any other column of the input
-stays; repeated rows are counted each.
+Defined results: a null text is an empty one; texts of any length are counted
+whole; repeated rows are counted each; an empty table gives an empty result;
+columns named ``n_bytes``, ``n_tokens`` and ``over_limit`` are replaced, and all
+others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import types as T
 
 from tidemark.shipping import ship_package
 
-CACHE_ENTRIES = 300_000
+#: Bounds of a worker's cache of merged strings, and the longest string that it keeps.
+CACHE_ENTRIES, CACHE_BYTES, CACHED_CHARS = 300_000, 32 << 20, 256
 #: Characters of text that are split at a time.
 SLICE_CHARS = 1 << 20
 TOKEN_LIMIT = 2048
@@ -81,7 +85,7 @@ class Coder:
         self.specials = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self.letters = {b: c for c, b in _byte_letters().items()}
         self.whole = {w: struct.pack("<I", i) for w, i in whole.items()}
-        self.known = dict(self.whole)
+        self.known, self.held = dict(self.whole), 0
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -125,8 +129,8 @@ class Coder:
     def _flush(self, held: list[tuple[list[str] | None, str]]) -> Iterator[bytes]:
         seen = set().union(*(x for x, _ in held if x))
         new = seen.difference(self.known)
-        if len(self.known) + len(new) > CACHE_ENTRIES + len(self.whole):
-            self.known = dict(self.whole)
+        if len(self.known) + len(new) > CACHE_ENTRIES + len(self.whole) or self.held > CACHE_BYTES:
+            self.known, self.held = dict(self.whole), 0
             new = seen.difference(self.known)
         self._learn(new)
         get = self.known.__getitem__
@@ -135,6 +139,11 @@ class Coder:
                 yield self._packed(self.library.encode(text, add_special_tokens=False).ids)
             else:
                 yield b"".join(map(get, parts))
+        for key in new:
+            if len(key) > CACHED_CHARS:
+                del self.known[key]
+            else:
+                self.held += len(key) + len(self.known[key])
 
 
 _CODERS: dict[int, Coder] = {}
