@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import companies, kernels, market, panels, statistics, texts, valuation
+from tidemark.plans import companies, evidence, kernels, market, panels, statistics, texts, timeline, valuation
 
 FLAGSHIP = "signal_ic_by_date"
-MODULES = (market, companies, panels, valuation, texts, statistics, kernels)
+MODULES = (market, companies, panels, valuation, texts, statistics, kernels, timeline, evidence)
 
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

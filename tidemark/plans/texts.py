@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import TOKEN
+from tidemark.sources.scratch import materialize
 from tidemark.sources.tables import table
 from tidemark.streaming import events as streams
 
@@ -12,11 +14,10 @@ from tidemark.streaming import events as streams
 K1, B, TOP = 1.5, 0.75, 12
 #: Questions by lane; a token counts as often as it is asked.
 QUESTIONS = {"english": "the of and to", "french": "la les des et", "german": "der die und fur"}
-TOKEN = "[a-z0-9]+"
 
 
 def token_counts(spark, sf_dir: str) -> DataFrame:
-    """Runs of letters and digits in each text, and how many differ."""
+    """Words, Hangul runs and numbers of each text, and how many differ."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("distinct_tokens"))
 
@@ -30,13 +31,15 @@ def ranked_texts(spark, sf_dir: str) -> DataFrame:
     rows = [(lane, t, text.split().count(t)) for lane, text in QUESTIONS.items() for t in sorted(set(text.split()))]
     questions = F.broadcast(spark.createDataFrame(rows, "lane string, token string, times int"))
     tokens = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("t"))
-    size = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"))
-    found = F.array(*(F.struct(F.lit(q).alias("token"), F.size(F.filter("t", lambda x: x == q)).alias("tf")) for q in sorted(asked)))
-    counted = tokens.select("doc_id", F.size("t").alias("length"), F.explode(F.filter(found, lambda x: x["tf"] > 0)).alias("x")).select("doc_id", "length", "x.token", "x.tf")
+    # one scan: each text's length and its asked tokens are written, and all else comes from that
+    asked_in = F.filter("t", lambda x: x.isin(*sorted(asked)))
+    scanned = materialize(tokens.select("doc_id", F.size("t").alias("length"), asked_in.alias("asked")), "asked")
+    size = scanned.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).first()
+    counted = scanned.select("doc_id", "length", F.explode("asked").alias("token")).groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
     df = F.broadcast(counted.groupBy("token").agg(F.count("*").alias("df")))
-    scale = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / scale * F.col("times")
-    scored = counted.join(df, "token").join(questions, "token").crossJoin(F.broadcast(size)).groupBy("lane", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    scale = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(size["mean"] or 1.0))
+    weight = F.log(1 + (F.lit(size["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / scale * F.col("times")
+    scored = counted.join(df, "token").join(questions, "token").groupBy("lane", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     # the first cut within salted parts leaves TOP rows of each, so that no task sorts a lane
     part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
     best = [F.desc("score"), "doc_id"]
@@ -75,11 +78,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "token_count": """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents)
+    "token_count": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z][A-Za-z0-9_-]*|[가-힣]{2,}|[0-9]+(?:\.[0-9]+)?') AS t FROM documents)
 SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens FROM t""",
-    "bm25_topk": """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents),
+    "bm25_topk": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z][A-Za-z0-9_-]*|[가-힣]{2,}|[0-9]+(?:\.[0-9]+)?') AS t FROM documents),
 s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM t),
 q AS (SELECT lane, unnest(string_split(text, ' ')) AS token FROM (VALUES ('english', 'the of and to'), ('french', 'la les des et'), ('german', 'der die und fur')) AS v(lane, text)),
 w AS (SELECT doc_id, len(t) AS length, unnest(t) AS token FROM t),
