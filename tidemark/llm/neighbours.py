@@ -51,7 +51,7 @@ REVERSE = 48
 BEAM, WIDTH = 192, 64
 #: Nodes among which a search looks for its starts, half of them the longest.
 ENTRIES = 4096
-#: Requests of at most so many bytes are broadcast to the graph; more are shuffled with it.
+#: Requests, queries and vectors of at most so many bytes are broadcast; more are shuffled.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -166,13 +166,12 @@ def _first_links(coded: DataFrame, n: int) -> DataFrame:
     return _top_links(by_key(split, "block", compare, "u long, v long, sim float, new boolean"))
 
 
-def _messages(links: DataFrame, coded: DataFrame) -> DataFrame:
-    """Every node's vector, sent to all nodes that it is linked with by ``links``, or is among the nearest to link."""
+def _linked(links: DataFrame) -> DataFrame:
+    """``(center, id, new)``: the nodes that a node is linked with by ``links``, or that are among the nearest to link it."""
     order = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
     back = links.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
     both = links.select(F.col("u").alias("center"), F.col("v").alias("id"), "new").unionByName(back.select(F.col("v").alias("center"), F.col("u").alias("id"), "new"))
-    told = both.groupBy("center", "id").agg(F.max("new").alias("new"))
-    return told.join(coded, "id")
+    return both.groupBy("center", "id").agg(F.max("new").alias("new"))
 
 
 def build_graph(coded: DataFrame, n: int) -> DataFrame:
@@ -190,7 +189,7 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
 
     for _ in range(ROUNDS):
         worst = links.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= LINKS, F.min("sim")).otherwise(-3.0).cast("float").alias("least"))
-        sent = _messages(links, coded.join(worst, "id", "left").fillna(-3.0, ["least"]))
+        sent = _linked(links).join(coded.join(worst, "id", "left").fillna(-3.0, ["least"]), "id")
         better = by_key(sent, "center", meet, "u long, v long, sim float, new boolean")
         after = materialize(_top_links(links.withColumn("new", F.lit(False)).unionByName(better)), "links")
         release(links)
@@ -231,35 +230,33 @@ def _starts(coded: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def search_graph(graph: DataFrame, queries: DataFrame, coded: DataFrame) -> DataFrame:
-    """``(query, id)``: candidates by greedy search of ``graph(node, ids, codes)`` from each query's own node and ``_starts``.
+    """``(query, id)``: candidates by greedy search of ``graph(node, ids)`` from each query's own node and ``_starts``.
 
-    ``queries(query, q_code)``: a query's name is its node.
+    ``queries(query, q_code)``: a query's name is its node. Ids go first; vectors
+    meet only in pairs that are new to the query.
     """
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            query, ids, sims = [], [], []
-            qs = _vectors(b, "q_code")
-            for i, (name, near, codes, least) in enumerate(zip(*(b.column(c).to_pylist() for c in ("query", "ids", "codes", "least")), strict=True)):
-                s = np.frombuffer(codes, dtype=np.float32).reshape(len(near), -1).astype(np.float64) @ qs[i]
-                ok = s > least
-                query.append(np.full(int(ok.sum()), name, dtype=np.int64))
-                ids.append(np.array(near, dtype=np.int64)[ok])
-                sims.append(s[ok])
-            if query:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (query, ids, sims)], names=["query", "id", "sim"])
+            if b.num_rows:
+                sims = (_vectors(b) * _vectors(b, "q_code")).sum(axis=1)
+                ok = np.flatnonzero(sims > b.column("least").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(ok)) for c in ("query", "id")), pa.array(sims[ok])], names=["query", "id", "sim"])
 
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     own = queries.select("query", F.col("query").alias("id"), F.lit(2.0).alias("sim"))
     beam = materialize(own.unionByName(_starts(coded, queries)).withColumn("done", F.lit(False)), "beam")
+    near, told = sized(coded, BROADCAST_BYTES), sized(queries, BROADCAST_BYTES)
     while True:
         open_ = beam.filter("not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= WIDTH)
-        least = beam.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("sim")).otherwise(-2.0).alias("least"))
-        asked = materialize(open_.select("query", "id").join(queries, "query").join(least, "query").withColumnRenamed("id", "node"), "asked")
+        asked = materialize(open_.select("query", F.col("id").alias("node")), "asked")
         if not asked.limit(1).count():
             release(asked)
             return beam.select("query", "id")
-        found = graph.join(sized(asked, BROADCAST_BYTES), "node").select("query", "q_code", "least", "ids", "codes").mapInArrow(expand, "query long, id long, sim double")
+        least = beam.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("sim")).otherwise(-2.0).alias("least"))
+        pairs = graph.join(sized(asked, BROADCAST_BYTES), "node").select("query", F.explode("ids").alias("id")).filter("query <> id").distinct()
+        fresh = pairs.join(beam.select("query", "id"), ["query", "id"], "left_anti").join(least, "query")
+        found = fresh.join(near, "id").join(told, "query").select("query", "id", "least", "code", "q_code").mapInArrow(compare, "query long, id long, sim double")
         known = beam.unionByName(found.withColumn("done", F.lit(False))).unionByName(
             asked.select("query", F.col("node").alias("id"), F.lit(None).cast("double").alias("sim"), F.lit(True).alias("done"))
         )
@@ -284,15 +281,9 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     n = coded.count()
     links = build_graph(coded, n)
 
-    def gather(b: pa.RecordBatch) -> list:
-        centers, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("center", "id"))
-        codes, rows = b.column("code").to_pylist(), list(spans(centers))
-        return [
-            centers[[s for s, _ in rows]], pa.array([ids[s:e] for s, e in rows], pa.list_(pa.int64())),
-            pa.array([b"".join(codes[s:e]) for s, e in rows], pa.binary()),
-        ]
-
-    graph = materialize(by_key(_messages(links, coded), "center", gather, "node long, ids array<long>, codes binary"), "graph")
+    ends = _linked(links).groupBy("center").agg(F.collect_list("id").alias("ids"))
+    graph = materialize(ends.withColumnRenamed("center", "node"), "graph")
+    release(links)
     asking = named.filter(is_query)
     wanted = asking.select(F.col("node").alias("query")).distinct()
     queries = materialize(wanted.join(coded, F.col("query") == F.col("id")).select("query", F.col("code").alias("q_code")), "queries")
