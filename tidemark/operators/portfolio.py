@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
+from tidemark.shipping import ship_package
 
 STEPS = (
     "portfolio string, step int, execution_at date, ticker string, units double, cash double, pre_value double, post_value double, turnover double, cost double, "
@@ -84,6 +85,7 @@ def backtest(signals: DataFrame, prices: DataFrame, end_at: str, rules: Rules =
 
     An execution is the first day with any price, at least ``lag_days`` after the signal.
     """
+    ship_package(prices.sparkSession)
     calendar = prices.select(F.col("at").alias("day")).distinct().withColumn("all", F.lit(1)).withColumn("execution_at", F.col("day"))
     last = signals.select("portfolio").distinct().withColumns({"due": F.to_date(F.lit(end_at)), "terminal": F.lit(True)})
     due = signals.filter(F.col("signal_at") < F.to_date(F.lit(end_at))).select("portfolio", F.date_add("signal_at", rules.lag_days).alias("due"), F.lit(False).alias("terminal")).distinct()

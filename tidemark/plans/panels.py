@@ -164,7 +164,8 @@ s AS (SELECT market, max(n) AS n, max(m) AS mean, sqrt(greatest(0, sum(v))) / ma
 SELECT market, n, round(mean, 8) AS mean, round(se, 8) AS se, round(CASE WHEN se > 0 THEN mean / se END, 4) AS t FROM s""",
     "holm_adjust": _CHANGED + """,
 t AS (SELECT market, sector, count(*) AS n, avg(change) * sqrt(count(*)) / nullif(stddev_samp(change), 0) AS t FROM changes JOIN securities USING (ticker) GROUP BY 1, 2),
-p AS (SELECT *, round(2 / (1 + exp(1.5976 * abs(t) + 0.07056 * abs(t) * abs(t) * abs(t))), 8) AS p FROM t WHERE t IS NOT NULL),
+x AS (SELECT *, abs(t) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(t) / sqrt(2)) AS u FROM t WHERE t IS NOT NULL),
+p AS (SELECT *, round(least(1, ((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-x * x)), 8) AS p FROM x),
 s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY market) - row_number() OVER (PARTITION BY market ORDER BY p, sector) + 1) * p) AS step FROM p)
 SELECT market, sector, n, round(t, 4) AS t, p, round(max(step) OVER (PARTITION BY market ORDER BY p, sector ROWS UNBOUNDED PRECEDING), 8) AS adjusted FROM s""",
     "top_sector_hhi": with_views("securities", "prices", "dates", "signals") + """,

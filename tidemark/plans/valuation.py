@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import average_rank
 from tidemark.plans.companies import WIDE_SQL, fundamentals
 from tidemark.plans.views import prices, securities, with_views
 from tidemark.sources.tables import table
@@ -43,18 +44,38 @@ def cagr(spark, sf_dir: str) -> DataFrame:
     return rows.select("issuer", "first_year", "last_year", F.when(span > 0, F.round(F.pow(F.col("b") / F.col("a"), 1 / F.when(span > 0, span)) - 1, 6)).alias("cagr"))
 
 
+#: Methods by archetype, in the order of the ladder, and what each needs.
+METHODS = {
+    "FINANCE": ("RIM", ("ebit", "revenue")), "HOLDING": ("SOTP", ("capex", "cash")), "PRE_REVENUE": ("RNPV", ("cash",)), "PIPELINE": ("RNPV", ("cash", "revenue")), "ASSET": ("NAV", ("capex", "cash")),
+    "CYCLICAL": ("NORMALIZED_FCFF", ("capex", "ebit", "revenue")), "LOSS": ("SCENARIO_DCF", ("cash", "ebit", "revenue")), "GENERAL": ("FCFF", ("capex", "cash", "ebit", "revenue")),
+}
+
+
 def archetypes(spark, sf_dir: str) -> DataFrame:
-    """The first archetype that fits, its method, and the inputs that the method lacks."""
-    kind = F.when(F.col("revenue").isNull(), "PRE_REVENUE").when(F.col("ebit").isNull(), "ASSET").when(F.col("ebit") > 2 * F.col("revenue"), "FINANCE").when(F.col("capex") > F.col("revenue"), "CYCLICAL").otherwise("GENERAL")
-    routed = fundamentals(spark, sf_dir).withColumn("archetype", kind)
-    required = (
-        F.when(F.col("archetype") == "PRE_REVENUE", F.array(F.lit("cash"))).when(F.col("archetype") == "ASSET", F.array(F.lit("capex"), F.lit("cash")))
-        .when(F.col("archetype") == "FINANCE", F.array(F.lit("cash"), F.lit("ebit"))).otherwise(F.array(F.lit("capex"), F.lit("cash"), F.lit("ebit"), F.lit("revenue")))
+    """The first archetype that fits: finance, holding, pipelines, assets, cycles, lasting losses, or general; its method and the inputs that it lacks.
+
+    Nothing here depends on a price. Hints and sectors come from the issuer: a
+    loss is operating income below capital expenditure, lasting if two years running.
+    """
+    sector = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issuer"), F.col("c_mktsegment").alias("sector"))
+    order = Window.partitionBy("issuer").orderBy("fiscal_year")
+    loss = F.coalesce(F.col("ebit") < F.col("capex"), F.lit(False))
+    rows = fundamentals(spark, sf_dir).join(sector, "issuer").withColumn("loss", loss)
+    rows = rows.withColumn("lasting", F.col("loss") & F.coalesce(F.lag("loss").over(order), F.lit(False)))
+    thin = F.coalesce(F.col("revenue") / (F.col("revenue") + F.col("cash")) < 0.25, F.lit(True))
+    research = (F.col("sector") == "HOUSEHOLD") & F.col("lasting")
+    ladder = (
+        ("FINANCE", F.col("issuer") % 17 == 0), ("HOLDING", F.col("issuer") % 19 == 0), ("PRE_REVENUE", research & thin), ("PIPELINE", research), ("ASSET", F.col("sector") == "BUILDING"),
+        ("CYCLICAL", F.col("sector").isin("AUTOMOBILE", "MACHINERY")), ("LOSS", F.col("lasting")),
     )
-    method = F.when(F.col("archetype") == "PRE_REVENUE", "RNPV").when(F.col("archetype") == "ASSET", "NAV").when(F.col("archetype") == "FINANCE", "RIM").otherwise("DCF")
-    known = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("capex", "cash", "ebit", "revenue"))), lambda c: c.isNotNull())
-    missing = F.array_join(F.array_sort(F.array_except(required, known)), ",")
-    return routed.select("issuer", "fiscal_year", "archetype", method.alias("method"), missing.alias("missing"), F.when(missing == "", "ELIGIBLE").otherwise("INSUFFICIENT_DATA").alias("status"))
+    kind, method, needs = F.lit("GENERAL"), F.lit(None).cast("string"), F.array().cast("array<string>")
+    for name, fits in reversed(ladder):
+        kind = F.when(fits, name).otherwise(kind)
+    for name, (engine, inputs) in METHODS.items():
+        method, needs = F.when(F.col("archetype") == name, engine).otherwise(method), F.when(F.col("archetype") == name, F.array(*map(F.lit, inputs))).otherwise(needs)
+    known = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), c) for c in ("capex", "cash", "ebit", "revenue"))))
+    missing = F.array_join(F.array_except(needs, known), ",")
+    return rows.withColumn("archetype", kind).select("issuer", "fiscal_year", "archetype", method.alias("method"), missing.alias("missing"), F.when(missing == "", "ELIGIBLE").otherwise("INSUFFICIENT_DATA").alias("status"))
 
 
 def residual_income(spark, sf_dir: str) -> DataFrame:
@@ -119,18 +140,19 @@ def weighted_median(spark, sf_dir: str) -> DataFrame:
 
 
 def reference_class(spark, sf_dir: str) -> DataFrame:
-    """A customer's balance as a percentile of its nation and segment, of its nation if those are few, or of its region."""
+    """A customer's balance among its nation and segment, its nation if those are few, or its region: 100 (average rank - 1) / (n - 1), 50 if alone."""
     places = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
     rows = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     levels = {"NATION_SEGMENT": ["n_regionkey", "c_nationkey", "c_mktsegment"], "NATION": ["n_regionkey", "c_nationkey"], "REGION": ["n_regionkey"]}
+    level, size, value = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
     for name, keys in levels.items():
-        group = Window.partitionBy(*keys)
-        rows = rows.withColumns({f"_n{name}": F.count("*").over(group), f"_p{name}": F.cume_dist().over(group.orderBy("c_acctbal"))})
-    level, value = F.lit(None).cast("string"), F.lit(None).cast("double")
+        n = F.count("*").over(Window.partitionBy(*keys))
+        share = F.when(n > 1, 100 * (average_rank("c_acctbal", keys) - 1) / F.when(n > 1, n - 1)).otherwise(50.0)
+        rows = rows.withColumns({f"_n{name}": n, f"_p{name}": share})
     for name in reversed(levels):
         enough = F.col(f"_n{name}") >= CLASS_LEAST
-        level, value = F.when(enough, F.lit(name)).otherwise(level), F.when(enough, F.col(f"_p{name}")).otherwise(value)
-    return rows.select("c_custkey", level.alias("class"), F.round(value, 6).alias("percentile"))
+        level, size, value = (F.when(enough, now).otherwise(before) for now, before in ((F.lit(name), level), (F.col(f"_n{name}"), size), (F.col(f"_p{name}"), value)))
+    return rows.select("c_custkey", level.alias("class"), size.alias("members"), F.round(value, 6).alias("percentile"))
 
 
 def trailing_year(spark, sf_dir: str) -> DataFrame:
@@ -172,11 +194,14 @@ SELECT issuer, fiscal_year, round(CASE WHEN ebit > 0 AND revenue > 0 THEN ebit /
 g AS (SELECT issuer, min(fiscal_year) AS first_year, max(fiscal_year) AS last_year, arg_min(revenue, fiscal_year) AS a, arg_max(revenue, fiscal_year) AS b FROM wide WHERE revenue > 0 GROUP BY 1)
 SELECT issuer, first_year, last_year, CASE WHEN last_year > first_year THEN round(pow(b / a, 1.0::DOUBLE / (last_year - first_year)) - 1, 6) END AS cagr FROM g""",
     "archetype_ladder": WIDE_SQL + """,
-a AS (SELECT *, CASE WHEN revenue IS NULL THEN 'PRE_REVENUE' WHEN ebit IS NULL THEN 'ASSET' WHEN ebit > 2 * revenue THEN 'FINANCE' WHEN capex > revenue THEN 'CYCLICAL' ELSE 'GENERAL' END AS archetype FROM wide),
-m AS (SELECT *, concat_ws(',', CASE WHEN capex IS NULL AND archetype NOT IN ('PRE_REVENUE', 'FINANCE') THEN 'capex' END, CASE WHEN cash IS NULL THEN 'cash' END,
-  CASE WHEN ebit IS NULL AND archetype IN ('FINANCE', 'CYCLICAL', 'GENERAL') THEN 'ebit' END, CASE WHEN revenue IS NULL AND archetype IN ('CYCLICAL', 'GENERAL') THEN 'revenue' END) AS missing FROM a)
-SELECT issuer, fiscal_year, archetype, CASE archetype WHEN 'PRE_REVENUE' THEN 'RNPV' WHEN 'ASSET' THEN 'NAV' WHEN 'FINANCE' THEN 'RIM' ELSE 'DCF' END AS method, missing,
-  CASE WHEN missing = '' THEN 'ELIGIBLE' ELSE 'INSUFFICIENT_DATA' END AS status FROM m""",
+l AS (SELECT wide.*, c_mktsegment AS sector, coalesce(ebit < capex, false) AS loss FROM wide JOIN customer ON issuer = c_custkey),
+p AS (SELECT *, loss AND coalesce(lag(loss) OVER (PARTITION BY issuer ORDER BY fiscal_year), false) AS lasting, coalesce(revenue / (revenue + cash) < 0.25, true) AS thin FROM l),
+a AS (SELECT *, CASE WHEN issuer % 17 = 0 THEN 'FINANCE' WHEN issuer % 19 = 0 THEN 'HOLDING' WHEN sector = 'HOUSEHOLD' AND lasting AND thin THEN 'PRE_REVENUE' WHEN sector = 'HOUSEHOLD' AND lasting THEN 'PIPELINE' WHEN sector = 'BUILDING' THEN 'ASSET'
+  WHEN sector IN ('AUTOMOBILE', 'MACHINERY') THEN 'CYCLICAL' WHEN lasting THEN 'LOSS' ELSE 'GENERAL' END AS archetype FROM p),
+m AS (SELECT *, concat_ws(',', CASE WHEN capex IS NULL AND archetype IN ('HOLDING', 'ASSET', 'CYCLICAL', 'GENERAL') THEN 'capex' END, CASE WHEN cash IS NULL AND archetype NOT IN ('FINANCE', 'CYCLICAL') THEN 'cash' END,
+  CASE WHEN ebit IS NULL AND archetype IN ('FINANCE', 'CYCLICAL', 'LOSS', 'GENERAL') THEN 'ebit' END, CASE WHEN revenue IS NULL AND archetype NOT IN ('HOLDING', 'PRE_REVENUE', 'ASSET') THEN 'revenue' END) AS missing FROM a)
+SELECT issuer, fiscal_year, archetype, CASE archetype WHEN 'FINANCE' THEN 'RIM' WHEN 'HOLDING' THEN 'SOTP' WHEN 'PRE_REVENUE' THEN 'RNPV' WHEN 'PIPELINE' THEN 'RNPV' WHEN 'ASSET' THEN 'NAV' WHEN 'CYCLICAL' THEN 'NORMALIZED_FCFF' WHEN 'LOSS' THEN 'SCENARIO_DCF' ELSE 'FCFF' END AS method,
+  missing, CASE WHEN missing = '' THEN 'ELIGIBLE' ELSE 'INSUFFICIENT_DATA' END AS status FROM m""",
     "rim_value": WIDE_SQL + """,
 s0 AS (SELECT issuer, fiscal_year, revenue / 2 AS b0, 0::DOUBLE AS pv0, roe, 0.1 + 0.25 * (roe - 0.1) AS rt FROM (SELECT *, greatest(-0.2, least(0.35, ebit / revenue / 4))::DOUBLE AS roe FROM wide WHERE revenue > 0 AND ebit IS NOT NULL))""" + _RIM_STEPS + """
 SELECT issuer, fiscal_year, round(b0, 4) AS book, round(b0 + pv5 + b5 * 1.02 * (rt - 0.1) / 0.08 / pow(1.1, 5), 2) AS value FROM s5""",
@@ -197,10 +222,11 @@ WITH b AS (SELECT l_partkey, l_extendedprice, sum(l_quantity::DECIMAL(18,2)) AS
 r AS (SELECT *, sum(w) OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) AS c, sum(w) OVER (PARTITION BY l_partkey) AS t FROM b)
 SELECT l_partkey, min(l_extendedprice) AS median FROM r WHERE 2 * c >= t GROUP BY 1""",
     "hierarchical_percentile": """
-WITH r AS (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n1, cume_dist() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal) AS p1,
-  count(*) OVER (PARTITION BY c_nationkey) AS n2, cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS p2,
-  count(*) OVER (PARTITION BY n_regionkey) AS n3, cume_dist() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal) AS p3 FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT c_custkey, CASE WHEN n1 >= 20 THEN 'NATION_SEGMENT' WHEN n2 >= 20 THEN 'NATION' WHEN n3 >= 20 THEN 'REGION' END AS class,
+WITH r AS (SELECT c_custkey, count(*) OVER (PARTITION BY n_regionkey, c_nationkey, c_mktsegment) AS n1, CASE WHEN count(*) OVER (PARTITION BY n_regionkey, c_nationkey, c_mktsegment) > 1 THEN 100 * (rank() OVER (PARTITION BY n_regionkey, c_nationkey, c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY n_regionkey, c_nationkey, c_mktsegment, c_acctbal) - 1) / 2 - 1) / (count(*) OVER (PARTITION BY n_regionkey, c_nationkey, c_mktsegment) - 1) ELSE 50.0 END AS p1,
+  count(*) OVER (PARTITION BY n_regionkey, c_nationkey) AS n2, CASE WHEN count(*) OVER (PARTITION BY n_regionkey, c_nationkey) > 1 THEN 100 * (rank() OVER (PARTITION BY n_regionkey, c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY n_regionkey, c_nationkey, c_acctbal) - 1) / 2 - 1) / (count(*) OVER (PARTITION BY n_regionkey, c_nationkey) - 1) ELSE 50.0 END AS p2,
+  count(*) OVER (PARTITION BY n_regionkey) AS n3, CASE WHEN count(*) OVER (PARTITION BY n_regionkey) > 1 THEN 100 * (rank() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY n_regionkey, c_acctbal) - 1) / 2 - 1) / (count(*) OVER (PARTITION BY n_regionkey) - 1) ELSE 50.0 END AS p3
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, CASE WHEN n1 >= 20 THEN 'NATION_SEGMENT' WHEN n2 >= 20 THEN 'NATION' WHEN n3 >= 20 THEN 'REGION' END AS class, CASE WHEN n1 >= 20 THEN n1 WHEN n2 >= 20 THEN n2 WHEN n3 >= 20 THEN n3 END AS members,
   round(CASE WHEN n1 >= 20 THEN p1 WHEN n2 >= 20 THEN p2 WHEN n3 >= 20 THEN p3 END, 6) AS percentile FROM r""",
     "ttm_flows": """
 WITH y AS (SELECT o_custkey AS issuer, year(o_orderdate)::INTEGER AS year, sum(o_totalprice::DECIMAL(18,2)) AS f, sum(o_totalprice::DECIMAL(18,2)) FILTER (WHERE month(o_orderdate) <= 6) AS h FROM orders GROUP BY 1, 2)
