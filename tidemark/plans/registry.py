@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import companies, copies, evidence, kernels, market, panels, portfolios, statistics, texts, timeline, valuation
+from tidemark.plans import companies, copies, evidence, gates, kernels, market, panels, portfolios, statistics, texts, timeline, valuation
 
 FLAGSHIP = "signal_ic_by_date"
-MODULES = (market, companies, panels, valuation, texts, statistics, kernels, timeline, evidence, portfolios, copies)
+MODULES = (market, companies, panels, valuation, texts, statistics, kernels, timeline, evidence, portfolios, copies, gates)
 
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

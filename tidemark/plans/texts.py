@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import TOKEN
+from tidemark.sources import html
 from tidemark.sources.scratch import materialize
 from tidemark.sources.tables import table
 from tidemark.streaming import events as streams
@@ -60,6 +61,17 @@ def headings(spark, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "place", F.substring("h", 3, 1).cast("int").alias("level"), F.regexp_replace("h", "<[^>]*>", "").alias("heading"))
 
 
+def page_blocks(spark, sf_dir: str) -> DataFrame:
+    """Each page's blocks in order: kind, level, path of sections, and the SHA-256 of the text."""
+    found = html.blocks(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "seq", "kind", "level", F.sha2("section", 256).alias("section_sha256"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def block_counts(spark, sf_dir: str) -> DataFrame:
+    """Visible blocks of each page by kind, and their characters."""
+    return html.blocks(table(spark, sf_dir, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
+
+
 def sessions(spark, sf_dir: str) -> DataFrame:
     return streams.sessions(table(spark, sf_dir, "events"))
 
@@ -73,6 +85,8 @@ QUERIES = {
     "bm25_topk": ranked_texts,
     "html_links": links,
     "html_headings": headings,
+    "html_blocks": page_blocks,
+    "html_text": block_counts,
     "events_session": sessions,
     "events_dedup_watermark": first_events,
 }
