@@ -249,7 +249,8 @@ def monotone_bands(spark, sf_dir: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("band", "mean", "n")))
     wide = bands.groupBy("fiscal_year").agg(ordered.alias("b"))
     rising = F.forall(F.sequence(F.lit(1), F.size("b")), lambda k: (k == F.size("b")) | (F.get("b", k)["mean"] >= F.get("b", k - 1)["mean"]) | F.get("b", k)["mean"].isNull())
-    last, first = F.element_at("b", -1)["mean"], F.get("b", F.lit(0))["mean"]
+    means = F.filter(F.col("b.mean"), lambda x: x.isNotNull())
+    last, first = F.try_element_at(means, F.lit(-1)), F.get(means, F.lit(0))
     return wide.select("fiscal_year", F.size("b").cast("long").alias("bands"), F.round(last - first, 6).alias("spread"), F.coalesce(rising, F.lit(True)).alias("monotone"))
 
 
