@@ -150,7 +150,8 @@ def implied_growth(spark, sf_dir: str) -> DataFrame:
     points = F.array(*(
         F.struct(F.lit(g).alias("x"), F.round(_worth(V.economic_core(_assumptions(F.lit(g)), YEARS, F.lit(CAP), F.lit(FADE), CONVERGE)) / F.col("revenue"), 9).alias("y")) for g in GROWTH_GRID
     ))
-    solved = rows.withColumn("r", V.crossing(points, F.lit(1.5), F.col("growth")))
+    # a column of its own, so that the grid is valued once for all its uses
+    solved = rows.withColumn("points", points).withColumn("r", V.crossing(F.col("points"), F.lit(1.5), F.col("growth")))
     return solved.select("issuer", "fiscal_year", F.col("r.status").alias("status"), F.round("r.x", 6).alias("implied"), F.round(F.col("r.x") - F.col("growth"), 6).alias("gap"))
 
 
