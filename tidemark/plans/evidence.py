@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators.budget import batches
 from tidemark.operators.components import connected_components
 from tidemark.plans.companies import WIDE_SQL, fundamentals
 from tidemark.plans.views import signal_dates, with_views
@@ -33,6 +34,7 @@ CAPS = {"DISCLOSED_FACT": 0.95, "DERIVED_METRIC": 0.90, "MANAGEMENT_CLAIM": 0.60
 #: How far an axis must move to have a direction; the second is inverted.
 TOLERANCES = {"margin": 0.005, "cash_mismatch": 0.05, "growth": 0.05, "capex_intensity": 0.01}
 QUOTED = (3, 8)
+BATCH_TOKENS = 200
 
 
 def _texts(spark, sf_dir: str) -> DataFrame:
@@ -135,6 +137,14 @@ def token_estimates(spark, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
 
 
+def packed_lines(spark, sf_dir: str) -> DataFrame:
+    """Each text's lines in batches of at most ``BATCH_TOKENS`` estimated tokens, in order: batches, and the tokens of the largest."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x != "")
+    rows = _texts(spark, sf_dir).select("doc_id", F.transform(lines, T.estimated_tokens).alias("t")).withColumn("b", batches(F.col("t"), BATCH_TOKENS))
+    sums = rows.select("doc_id", F.explode(F.arrays_zip("b", "t")).alias("x")).groupBy("doc_id", "x.b").agg(F.sum("x.t").alias("tokens"))
+    return sums.groupBy("doc_id").agg(F.count("*").alias("batches"), F.max("tokens").alias("largest"))
+
+
 def printed_numbers(spark, sf_dir: str) -> DataFrame:
     """The numbers of each text in order, as they are compared between versions."""
     found = F.regexp_extract_all("text", F.lit(T.NUMBER), F.lit(0))
@@ -290,6 +300,7 @@ QUERIES = {
     "security_and_section_labels": labels_of_names,
     "atomic_split": atoms,
     "token_estimate": token_estimates,
+    "chunk_pack": packed_lines,
     "number_tokens": printed_numbers,
     "quote_grounding": grounded_quotes,
     "reliability_caps": reliability,
