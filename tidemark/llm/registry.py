@@ -11,7 +11,9 @@ from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.simhash import op2_simhash
 from tidemark.llm.tokens import op10_token_counts
+from tidemark.llm.toxicity import op12_toxicity
 from tidemark.llm.urls import OP6_SQL, op6_urls
+from tidemark.llm.variants import op13_variants
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "op12_toxicity": op12_toxicity,
+    "op13_variants": op13_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_urls": OP6_SQL, "op9_mixing": OP9_SQL}
