@@ -7,6 +7,7 @@ from tidemark.llm.line_dedup import op8_line_dedup
 from tidemark.llm.mixing import OP9_SQL, op9_mixing
 from tidemark.llm.neighbours import op5_neighbours
 from tidemark.llm.packing import op4_packing
+from tidemark.llm.phrases import OP11_SQL, op11_phrases
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.simhash import op2_simhash
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_phrases": op11_phrases,
     "op12_toxicity": op12_toxicity,
     "op13_variants": op13_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_urls": OP6_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_urls": OP6_SQL, "op9_mixing": OP9_SQL, "op11_phrases": OP11_SQL}
