@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
+
 
 def newey_west(rows: DataFrame, value: str, order: str, by: list[str], lags: int) -> DataFrame:
     """``by``, ``n``, ``mean``, ``se`` and ``t`` of a series with Bartlett weights; ``t`` is null without variance.
@@ -151,30 +153,52 @@ def block_bootstrap(rows: DataFrame, value: str, order: str, by: list[str], bloc
 
     A repetition strings together blocks of ``block`` neighbours, whose starts
     come from a SHA-256 of the seed, its number and the block's, and is cut to
-    the series' length. Blocks are joined with the series by position.
+    the series' length. A block's sum is a difference of the series' running
+    sums, which are one array for each of ``by``; no block is spelled out.
     """
-    group = Window.partitionBy(*by)
-    series = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), (F.row_number().over(group.orderBy(order)) - 1).alias("_at"))
-    sizes = series.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean")).withColumn("_b", F.least(F.lit(block), F.col("n")))
-    spots = sizes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("_b")) - 1)))
-    drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "_r", "_k"), 256), 1, 13), 16, 10).cast("long") % (F.col("n") - F.col("_b") + 1)
-    placed = spots.withColumn("_s", drawn).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1))).filter("_k * _b + _o < n")
-    met = placed.withColumn("_at", F.col("_s") + F.col("_o")).join(series, [*by, "_at"])
-    means = met.groupBy(*by, "n", "mean", "_r").agg(F.avg("_v").alias("_m"))
+    listed = F.array_sort(F.collect_list(F.struct(order, value)))
+    series = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), listed.alias("_l"))
+    upto = F.aggregate(f"_l.{value}", F.array(F.lit(0.0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+    summed = series.select(*by, "n", "mean", upto.alias("_u"), F.least(F.lit(block), F.col("n")).alias("_b"))
+    tried = summed.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).repartition(*by, "_r")
+
+    def part(k: Column) -> Column:
+        drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "_r", k), 256), 1, 13), 16, 10).cast("long") % (F.col("n") - F.col("_b") + 1)
+        size = F.least(F.col("_b"), F.col("n") - k * F.col("_b"))
+        return let(drawn, lambda s: F.get("_u", s + size) - F.get("_u", s))
+
+    total = F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("_b")) - 1), part), F.lit(0.0), lambda acc, v: acc + v)
+    means = tried.select(*by, "n", "mean", (total / F.col("n")).alias("_m"))
     q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.groupBy(*by, "n", "mean").agg(q.alias("_q")).select(*by, "n", "mean", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"))
 
 
 def tie_averaged_spread(rows: DataFrame, signal: str, result: str, by: list[str], key: str, simulations: int, seed: str, parts: int = 5) -> DataFrame:
-    """``by``, ``tail_n`` and ``spread`` of equal tails, ties ordered by hashes and averaged over ``simulations`` of them; null below ``parts`` rows."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    tail = F.when(n >= parts, F.greatest(F.lit(1), F.floor(n / parts)))
-    many = rows.withColumn("_t", tail).withColumn("_n", n).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-    order = Window.partitionBy(*by, "_s").orderBy(signal, F.sha2(F.concat_ws("|", F.lit(seed), "_s", key), 256))
-    placed = many.withColumn("_r", F.row_number().over(order))
-    low, high = F.avg(F.when(F.col("_r") <= F.col("_t"), F.col(result))), F.avg(F.when(F.col("_r") > F.col("_n") - F.col("_t"), F.col(result)))
-    each = placed.groupBy(*by, "_s").agg(F.max("_t").alias("_t"), (high - low).alias("_d"))
-    return each.groupBy(*by).agg(F.coalesce(F.max("_t"), F.lit(0)).alias("tail_n"), F.avg("_d").alias("spread"))
+    """``by``, ``tail_n`` and ``spread`` of equal tails, ties ordered by hashes and averaged over ``simulations`` of them; null below ``parts`` rows.
+
+    Only the values of the signal at the two boundaries are drawn from; all
+    other rows of a tail are in it whatever the draw, and are counted once.
+    """
+    group = Window.partitionBy(*by)
+    below, same = F.rank().over(group.orderBy(signal)) - 1, F.count("*").over(Window.partitionBy(*by, signal))
+    known = rows.withColumns({"_n": F.count("*").over(group), "_below": below, "_same": same})
+    told = known.withColumn("_t", F.when(F.col("_n") >= parts, F.greatest(F.lit(1), F.floor(F.col("_n") / parts))))
+    # how many of a value's rows belong to either tail
+    low = F.greatest(F.lit(0), F.least(F.col("_same"), F.col("_t") - F.col("_below")))
+    high = F.greatest(F.lit(0), F.least(F.col("_same"), F.col("_below") + F.col("_same") - (F.col("_n") - F.col("_t"))))
+    told = told.withColumns({"_low": low, "_high": high})
+    whole = lambda c: F.sum(F.when(F.col(c) == F.col("_same"), F.col(result)))
+    fixed = told.groupBy(*by).agg(F.max("_t").alias("_t"), whole("_low").alias("_fl"), whole("_high").alias("_fh"))
+    part = lambda c: (F.col(c) > 0) & (F.col(c) < F.col("_same"))
+    drawn = told.filter(part("_low") | part("_high")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    order = Window.partitionBy(*by, signal, "_s").orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "_s", key), 256))
+    placed = drawn.withColumn("_r", F.row_number().over(order))
+    taken = lambda c, inside: F.sum(F.when(part(c) & inside, F.col(result)))
+    means = placed.groupBy(*by).agg(taken("_low", F.col("_r") <= F.col("_low")).alias("_dl"), taken("_high", F.col("_r") > F.col("_same") - F.col("_high")).alias("_dh"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    tail = lambda f, d: (zero(f) + zero(F.col(d) / simulations)) / F.col("_t")
+    out = fixed.join(means, by, "left")
+    return out.select(*by, F.coalesce("_t", F.lit(0)).alias("tail_n"), (tail("_fh", "_dh") - tail("_fl", "_dl")).alias("spread"))
 
 
 def tie_diagnostics(rows: DataFrame, signal: str, by: list[str], parts: int = 5) -> DataFrame:

@@ -10,8 +10,8 @@ from tidemark.operators.ranks import average_rank, rank_correlation
 from tidemark.plans import market
 from tidemark.plans.views import changes, prices, securities, signals, with_views
 
-SIMULATIONS, TIE_SEED = 20, "ties-v1"
-BOOT_BLOCK, BOOT_REPEATS, BOOT_SEED = 4, 200, "boot-v1"
+SIMULATIONS, TIE_SEED = 1000, "ties-v1"
+BOOT_BLOCK, BOOT_REPEATS, BOOT_SEED = 4, 10_000, "boot-v1"
 #: Sectors with fewer names are pooled, and so are unknown ones.
 RARE_SECTOR = 5
 HORIZONS = (77, 182, 365, 730)
@@ -233,7 +233,7 @@ def _sql_share(value: str) -> str:
 
 ORACLE_SQL = {
     "hashed_tie_q5_q1": _COARSE + """,
-s AS (SELECT *, sim, count(*) OVER (PARTITION BY signal_date, sim) AS n, row_number() OVER (PARTITION BY signal_date, sim ORDER BY signal, sha256('ties-v1|' || sim || '|' || ticker)) AS r FROM co, range(0, 20) AS g(sim)),
+s AS (SELECT *, sim, count(*) OVER (PARTITION BY signal_date, sim) AS n, row_number() OVER (PARTITION BY signal_date, sim ORDER BY signal, sha256('ties-v1|' || sim || '|' || ticker)) AS r FROM co, range(0, 1000) AS g(sim)),
 d AS (SELECT signal_date, sim, max(CASE WHEN n >= 5 THEN greatest(1, n // 5) END) AS t, avg(forward_return) FILTER (WHERE n >= 5 AND r > n - greatest(1, n // 5)) - avg(forward_return) FILTER (WHERE n >= 5 AND r <= greatest(1, n // 5)) AS d FROM s GROUP BY 1, 2)
 SELECT signal_date, coalesce(max(t), 0) AS tail_n, round(avg(d), 8) AS spread FROM d GROUP BY 1""",
     "tie_diagnostics": _COARSE + """,
@@ -264,7 +264,7 @@ m AS (SELECT market, price_date, round(avg(change), 6) AS change FROM changes JO
 v AS (SELECT market, date_trunc('week', price_date)::DATE AS week, round(avg(change), 9) AS v FROM m GROUP BY 1, 2),
 x AS (SELECT market, v, row_number() OVER (PARTITION BY market ORDER BY week) - 1 AS spot FROM v),
 n AS (SELECT market, count(*) AS n, avg(v) AS mean, least(4, count(*)) AS b FROM x GROUP BY 1),
-d AS (SELECT market, n, mean, r, (('0x' || substr(sha256('boot-v1|' || r || '|' || k), 1, 13))::BIGINT % (n - b + 1)) + o AS spot FROM n, range(0, 200) AS g(r), LATERAL (SELECT unnest(range(0, ceil(n / b)::BIGINT)) AS k), range(0, 4) AS h(o) WHERE o < b AND k * b + o < n),
+d AS (SELECT market, n, mean, r, (('0x' || substr(sha256('boot-v1|' || r || '|' || k), 1, 13))::BIGINT % (n - b + 1)) + o AS spot FROM n, range(0, 10000) AS g(r), LATERAL (SELECT unnest(range(0, ceil(n / b)::BIGINT)) AS k), range(0, 4) AS h(o) WHERE o < b AND k * b + o < n),
 a AS (SELECT market, n, mean, r, avg(v) AS m FROM d JOIN x USING (market, spot) GROUP BY 1, 2, 3, 4)
 SELECT market, n, round(mean, 7) AS mean, round(quantile_cont(m, 0.025), 7) AS low, round(quantile_cont(m, 0.975), 7) AS high FROM a GROUP BY 1, 2, mean""",
     "two_way_cluster_slope": market.PANEL_SQL + """,
