@@ -54,12 +54,16 @@ def release(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A table that ``materialize`` returned, marked for broadcast if its files are small; larger ones are shuffled."""
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the files of a table that ``materialize`` returned hold at most ``limit`` bytes."""
     path = _FOLDERS.get(df)
     if path is None:
         raise ValueError("only a materialized table has a known size")
     jvm = df.sparkSession._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    held = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
-    return F.broadcast(df) if held <= limit else df
+    return folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(folder).getLength() <= limit
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table that ``materialize`` returned, marked for broadcast if its files are small; larger ones are shuffled."""
+    return F.broadcast(df) if small(df, limit) else df
