@@ -15,9 +15,10 @@ with a prefix token are cut into blocks. Templates are a fixed table, so they
 are broadcast.
 
 Defined results: a null text is an empty one; texts of any length are scanned
-whole; rows that repeat a ``doc_id`` share the labels found in any of them, and
-so do rows without one; an empty table gives an empty result; columns with the
-names of results are replaced, and all others stay, whatever their names.
+whole; labels are those of the row's own text, whether its ``doc_id`` repeats or
+is null, and equal texts are scanned once; an empty table gives an empty result;
+columns with the names of results are replaced, and all others stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -119,8 +120,13 @@ def _blocks(text: Column) -> Column:
     return let(_lower_words(text), lambda w: F.transform(starts(w), lambda k: F.slice(w, k * half + 1, BLOCK_WORDS)))
 
 
+def text_key(text: Column) -> list[Column]:
+    """Two 64-bit hashes of a text."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
 def template_matches(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, label, containment)`` of every document and label with a block that meets one of its templates."""
+    """``(a, b, label, containment)`` of every text, by its ``text_key``, and label with a block that meets one of its templates."""
     spark = docs.sparkSession
     templates = _template_rows()
     vocabulary = sorted({t for _, _, tokens in templates for t in tokens})
@@ -138,29 +144,32 @@ def template_matches(docs: DataFrame, text: str = "text", threshold: float = THR
     sets_df = F.broadcast(spark.createDataFrame(sets, "template int, label string, tokens array<string>, _need int"))
 
     rare = "(?i)(?<= )(?:" + "|".join(prefixes) + ")(?= )"
-    near = docs.select("doc_id", text).filter(_spaced(body).rlike(rare))
-    blocks = near.select("doc_id", F.explode(_blocks(body)).alias("block"))
+    # of equal texts any one will do; only texts with a prefix token travel
+    near = docs.select(body.alias("body")).filter(_spaced(F.col("body")).rlike(rare))
+    a, b = text_key(F.col("body"))
+    once = near.groupBy(a.alias("a"), b.alias("b")).agg(F.first("body").alias("body"))
+    blocks = once.select("a", "b", F.explode(_blocks(F.col("body"))).alias("block"))
     known = F.array(*map(F.lit, order))
     # array_intersect keeps the order of its first argument: the frequency order
-    ordered = blocks.select("doc_id", F.array_intersect(known, "block").alias("held"))
+    ordered = blocks.select("a", "b", F.array_intersect(known, "block").alias("held"))
     ordered = ordered.filter(F.arrays_overlap("held", F.array(*map(F.lit, prefixes))))
-    probes = ordered.select("doc_id", "held", F.posexplode("held").alias("spot", "token"))
+    probes = ordered.select("a", "b", "held", F.posexplode("held").alias("spot", "token"))
     met = probes.join(index_df, "token").filter(
         (F.size("held") >= F.col("need")) & (1 + F.least(F.size("held") - F.col("spot") - 1, F.col("size") - F.col("place") - 1) >= F.col("need"))
     )
     counted = met.join(sets_df, "template").withColumn("shared", F.size(F.array_intersect("held", "tokens"))).filter("shared >= need")
-    return counted.groupBy("doc_id", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
+    return counted.groupBy("a", "b", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``phrase_places`` with ``found``, an array of the labels of templates met, and ``score``, the largest containment."""
-    places = phrase_places(docs.drop("found", "score"), text)
-    found = template_matches(docs, text).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("label")).alias("found"), F.max("containment").alias("score")
-    )
-    key = unused(places, "_doc", "found", "score")[0]
-    found = sized(materialize(found.withColumnRenamed("doc_id", key), "licenses"))
-    joined = places.join(found, F.col("doc_id").eqNullSafe(F.col(key)), "left").drop(key)
+    bare = docs.drop("found", "score")
+    a, b = (f"{c}_" for c in unused(bare, "_key_a", "_key_b", "found", "score")[:2])
+    keyed = bare.withColumns(dict(zip((a, b), text_key(F.coalesce(F.col(text), F.lit(""))), strict=True)))
+    places = phrase_places(keyed, text)
+    found = template_matches(docs, text).groupBy("a", "b").agg(F.array_sort(F.collect_set("label")).alias("found"), F.max("containment").alias("score"))
+    found = sized(materialize(found.withColumnsRenamed({"a": f"{a}2", "b": f"{b}2"}), "licenses"))
+    joined = places.join(found, (F.col(a) == F.col(f"{a}2")) & (F.col(b) == F.col(f"{b}2")), "left").drop(a, b, f"{a}2", f"{b}2")
     none = F.array().cast("array<string>")
     return joined.withColumns({"found": F.coalesce("found", none), "score": F.coalesce("score", F.lit(0.0))})
 
