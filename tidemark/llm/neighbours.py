@@ -10,15 +10,15 @@ has the largest inner product, whatever the lengths.
   and to those that link it, of these to the ``REVERSE`` nearest, so that no hub
   hears from more; every node compares those it heard from: neighbours of
   neighbours meet. Better ones replace worse ones; only pairs with a link that
-  is new are compared. Rounds end when few links change.
+  is new are compared. Rounds go on until few links change.
 * Search: each query starts at its own node and at the best of a bounded sample,
-  half of it the longest vectors, and expands its best unexpanded candidates by
+  one node in ``ENTRY_SHARE`` at most and half of it the longest vectors, and expands its best unexpanded candidates by
   inner product, until the best ``BEAM`` are expanded.
 * The candidates found are scored again on the original vectors in double
   precision, and nodes are expanded into the rows they stand for.
 
-Every search ends with at least ``WIDTH`` candidates, or all nodes: the sample
-has so many.
+Every search ends with at least ``TOP`` candidates, or all nodes: the sample has
+so many.
 
 Defined results: null ids, and vectors that are null, zero, of another length
 than most, or with a null or non-finite component, take no part; ties go to the
@@ -45,12 +45,12 @@ TOP = 20
 LINKS, PROPOSED = 32, 14
 #: Pivots (a bounded sample of nodes), nodes to a block, near pivots of a node.
 MAX_PIVOTS, BLOCK, NEAR_PIVOTS = 4096, 512, 3
-ROUNDS, CHANGED = 8, 0.01
+CHANGED = 0.01
 #: Nodes that link a node and are kept with those that it links, nearest first.
 REVERSE = 48
 BEAM, WIDTH = 192, 64
-#: Nodes among which a search looks for its starts, half of them the longest.
-ENTRIES = 4096
+#: Nodes among which a search looks for its starts, half of them the longest: so many, and one in so many, at most.
+ENTRIES, ENTRY_SHARE = 4096, 16
 #: Requests, queries and vectors of at most so many bytes are broadcast; more are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -187,7 +187,7 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
         u, v, sim = _joined(out)
         return [u, v, sim, np.ones(len(u), dtype=bool)]
 
-    for _ in range(ROUNDS):
+    while True:
         worst = links.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= LINKS, F.min("sim")).otherwise(-3.0).cast("float").alias("least"))
         sent = _linked(links).join(coded.join(worst, "id", "left").fillna(-3.0, ["least"]), "id")
         better = by_key(sent, "center", meet, "u long, v long, sim float, new boolean")
@@ -195,8 +195,7 @@ def build_graph(coded: DataFrame, n: int) -> DataFrame:
         release(links)
         links = after
         if links.filter("new").count() <= CHANGED * n * LINKS:
-            break
-    return links
+            return links
 
 
 def _starts(coded: DataFrame, queries: DataFrame) -> DataFrame:
@@ -207,7 +206,8 @@ def _starts(coded: DataFrame, queries: DataFrame) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array((_vectors(b) ** 2).sum(axis=1))], names=["id", "code", "length"])
 
-    half = ENTRIES // 2
+    # two halves that may be the same nodes still hold as many as a query asks for
+    half = max(TOP + 1, min(ENTRIES, coded.count() // ENTRY_SHARE) // 2)
     long = coded.mapInArrow(length, "id long, code binary, length double").orderBy(F.desc("length"), "id").limit(half).select("id", "code")
     any_ = coded.orderBy(F.xxhash64("id"), "id").limit(half)
     got = long.unionByName(any_).dropDuplicates(["id"]).toArrow().combine_chunks().to_batches()
