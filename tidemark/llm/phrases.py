@@ -48,7 +48,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 SHARE = 80
 TRIGGER = 8
 FILTER_RATE, FILTER_BITS = 0.02, 1 << 25
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: Shares in which the best of a language are sought first.
 SALTS = 64
 
@@ -96,13 +96,16 @@ class Words:
     spellings: pa.Array
     text: np.ndarray
     piece: np.ndarray
+    #: The first word of each text, and the number of all.
+    bound: np.ndarray
 
     def spelled(self, begin: np.ndarray, end: np.ndarray) -> pa.Array:
         """The words from each ``begin`` up to each ``end``, space-joined."""
         lo = self.start[begin]
         size = self.start[end - 1] + self.length[end - 1] - lo
         offsets = np.concatenate(([0], np.cumsum(size)))
-        places = np.repeat(lo - offsets[:-1], size) + np.arange(offsets[-1])
+        places = np.repeat((lo - offsets[:-1]).astype(np.int32), size)
+        places += np.arange(offsets[-1], dtype=np.int32)
         return _strings(offsets, self.data[places])
 
 
@@ -112,31 +115,34 @@ def _strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
 
 def cut_words(texts: list[str]) -> Words:
     """Words of texts, A-Z lower-cased; a line feed after each text parts pieces."""
-    raw = np.frombuffer(("\n".join(texts) + "\n").encode("utf-8", "replace"), dtype=np.uint8)
-    sizes = np.array([len(t.encode("utf-8", "replace")) + 1 for t in texts], dtype=np.int64)
+    encoded = [t.encode("utf-8", "replace") for t in texts]
+    raw = np.frombuffer(b"\n".join([*encoded, b""]), dtype=np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in encoded])
     low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
     kind = _KIND[low]
     word = kind == 0
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    # a word's bytes and one more, which becomes the space between it and the next
-    kept = word.copy()
-    kept[end] = True
-    data = np.where(word, low, np.uint8(0x20))[kept]
     length = end - begin
     start = np.cumsum(length + 1) - (length + 1)
     alone = _strings(np.concatenate(([0], np.cumsum(length))), low[word]).dictionary_encode()
-    return Words(data, start, length, alone.indices.to_numpy(), alone.dictionary, np.searchsorted(np.cumsum(sizes), begin, side="right"), np.cumsum(kind == 2, dtype=np.int32)[begin] if len(begin) else np.zeros(0, np.int32))
+    # a word's bytes and one more, which becomes the space between it and the next
+    low = np.where(word, low, np.uint8(0x20))
+    word[end] = True
+    data = low[word]
+    bound = np.concatenate(([0], np.searchsorted(begin, ends)))
+    piece = np.cumsum(kind == 2, dtype=np.int32)[begin] if len(begin) else np.zeros(0, np.int32)
+    return Words(data, start, length, alone.indices.to_numpy(), alone.dictionary, np.repeat(np.arange(len(texts)), np.diff(bound)), piece, bound)
 
 
-def _hashed(values: pa.Array, salt: str) -> np.ndarray:
-    return pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), hash_key=f"{salt:0>16}", categorize=False)
+def _hashed(values: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), categorize=False)
 
 
-def _word_hashes(lang: pa.Array, lang_code: np.ndarray, word: pa.Array, word_code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each (language, word)."""
+def _word_hashes(lang: pa.Array, lang_code: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of (language, word), given the words'."""
     with np.errstate(over="ignore"):
-        return tuple(mixed(_hashed(lang, salt), k)[lang_code] + mixed(_hashed(word, salt), k + 2)[word_code] for k, salt in enumerate(("first", "second")))
+        return mixed(_hashed(lang), 1)[lang_code] + hashes
 
 
 def _pair_hash(h: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -144,18 +150,26 @@ def _pair_hash(h: np.ndarray, after: np.ndarray) -> np.ndarray:
         return mixed(h, 9) + after
 
 
-def _grouped(keys: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct row of ``keys``, and the sums of their weights."""
-    key = keys[0].astype(np.int64)
-    for more in keys[1:]:
-        top = int(more.max(initial=0)) + 1
-        if len(key) and int(key.max()) * top >= 2**62:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key * top + more
-    _, place, which = np.unique(key, return_index=True, return_inverse=True)
+def _known(h: np.ndarray, level: Level) -> np.ndarray:
+    return passes(h, mixed(h, 77), 0, level)
+
+
+def _coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each of the distinct values of ``key``, and a place of each."""
+    code, found = pd.factorize(key)
+    place = np.empty(len(found), dtype=np.int64)
+    place[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return code, place
+
+
+def _grouped(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value of ``key``, and the sums of their weights."""
+    code, place = _coded(key)
+    if weight.sum(dtype=float) < 2**52:
+        return place, np.bincount(code, weights=weight, minlength=len(place)).astype(np.int64)
     # sums of integers beyond 2^53 would not be exact in floating point
     total = np.zeros(len(place), dtype=np.int64)
-    np.add.at(total, which, weight)
+    np.add.at(total, code, weight)
     return place, total
 
 
@@ -177,7 +191,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, rest in _slices(_rows(b)):
             w, (lang, langs) = cut_words(texts), _languages(rest)
             of = lang[w.text]
-            place, n = _grouped([of, w.code], np.ones(len(w.code), dtype=np.int64))
+            place, n = _grouped(of.astype(np.int64) * (len(w.spellings) + 1) + w.code, np.ones(len(w.code), dtype=np.int64))
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(of[place])), w.spellings.take(pa.array(w.code[place])).cast(pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
 
 
@@ -192,10 +206,9 @@ def _filter(found: DataFrame, words: int) -> Level:
         for b in batches:
             lang = b.column("lang").dictionary_encode()
             sides = [list(x) for x in zip(*(p.split(" ") for p in b.column("phrase").to_pylist()))] or [[]] * words
-            at = np.arange(b.num_rows)
-            each = [_word_hashes(lang.dictionary, lang.indices.to_numpy(), pa.array(s, pa.large_string()), at) for s in sides]
-            both = each[0] if words == 1 else [_pair_hash(x, y) for x, y in zip(*each, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in both], names=["a", "b"])
+            each = [_word_hashes(lang.dictionary, lang.indices.to_numpy(), _hashed(pa.array(s, pa.large_string()))) for s in sides]
+            h = each[0] if words == 1 else _pair_hash(*each)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, mixed(h, 77))], names=["a", "b"])
 
     return build(found.select("lang", "phrase").mapInArrow(hashes, "a long, b long"), 0, found.count(), FILTER_RATE, FILTER_BITS)
 
@@ -209,12 +222,12 @@ def parse(texts: DataFrame, frequent: Level) -> DataFrame:
             for part, rest in _slices(_rows(b)):
                 w, (lang, langs) = cut_words(part), _languages(rest)
                 of = lang[w.text]
-                pair, which = np.unique(of.astype(np.int64) * (len(w.spellings) + 1) + w.code, return_inverse=True)
-                a, second = _word_hashes(langs, pair // (len(w.spellings) + 1), w.spellings, pair % (len(w.spellings) + 1))
-                alive = np.flatnonzero(passes(a, second, 0, shared.value)[which])
+                hashes = _hashed(w.spellings)
+                which, place = _coded(of.astype(np.int64) * (len(w.spellings) + 1) + w.code)
+                alive = np.flatnonzero(_known(_word_hashes(langs, of[place], hashes[w.code[place]]), shared.value)[which])
                 if len(alive) < 2:
                     continue
-                opens = mixed(_hashed(w.spellings, "open"), 5)[w.code[alive]] % np.uint64(TRIGGER) == 0
+                opens = (mixed(hashes, 5) % np.uint64(TRIGGER) == 0)[w.code[alive]]
                 # a stretch: frequent words in a row, within one piece
                 new = np.concatenate(([True], (np.diff(alive) != 1) | (np.diff(w.piece[alive]) != 0)))
                 stretch = np.cumsum(new) - 1
@@ -228,7 +241,8 @@ def parse(texts: DataFrame, frequent: Level) -> DataFrame:
                     continue
                 chunk = w.spelled(alive[first], alive[end - 1] + 1).dictionary_encode()
                 code, of_chunk = chunk.indices.to_numpy(), of[alive[first]]
-                place, n = _grouped([of_chunk, code, owned], np.ones(len(code), dtype=np.int64))
+                spelled, _ = _coded(of_chunk.astype(np.int64) * (len(chunk.dictionary) + 1) + code)
+                place, n = _grouped(spelled * (int(owned.max()) + 1) + owned, np.ones(len(code), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [langs.take(pa.array(of_chunk[place])), chunk.dictionary.take(pa.array(code[place])).cast(pa.string()), pa.array(owned[place].astype(np.int32)), pa.array(n)],
                     names=["lang", "chunk", "owned", "n"],
@@ -249,26 +263,34 @@ def phrases_in(dictionary: DataFrame, pairs: Level | None = None) -> DataFrame:
                 owned, weight = (np.array([r[k] for r in rest], dtype=np.int64) for k in (1, 2))
                 total = len(w.code)
                 at = np.arange(total)
-                first = np.searchsorted(w.text, w.text, side="left")
-                left = np.searchsorted(w.text, w.text, side="right") - at
-                mine = at - first < owned[w.text]
+                left = w.bound[1:][w.text] - at
+                mine = at - w.bound[:-1][w.text] < owned[w.text]
                 of = lang[w.text]
+                which, place = _coded(of.astype(np.int64) * (len(w.spellings) + 1) + w.code)
+                two = np.flatnonzero(left >= 2)
+                pair, first = _coded(which[two].astype(np.int64) * (len(place) + 1) + which[two + 1])
+                number = np.full(total + LONGEST, -1, dtype=np.int64)
                 if shared.value is None:
-                    counted = [(2, np.flatnonzero(mine & (left >= 2)))]
+                    number[two] = pair
+                    begin = np.flatnonzero(mine & (left >= 2))
+                    counted = [(2, begin, number[begin])]
                 else:
-                    pair, which = np.unique(of.astype(np.int64) * (len(w.spellings) + 1) + w.code, return_inverse=True)
-                    each = [h[which] for h in _word_hashes(langs, pair // (len(w.spellings) + 1), w.spellings, pair % (len(w.spellings) + 1))]
-                    two = np.flatnonzero(left >= 2)
-                    good = np.zeros(total + LONGEST, dtype=bool)
-                    good[two] = passes(*(_pair_hash(h[two], h[two + 1]) for h in each), 0, shared.value)
-                    reach, counted = mine & good[:total], []
+                    h = _word_hashes(langs, of[place], _hashed(w.spellings)[w.code[place]])
+                    good = _known(_pair_hash(h[which[two[first]]], h[which[two[first] + 1]]), shared.value)
+                    number[two] = np.where(good[pair], pair, -1)
+                    reach, counted = mine & (number[:total] >= 0), []
                     for n in range(3, LONGEST + 1):
-                        reach = reach & (left >= n) & good[n - 2:total + n - 2]
-                        counted.append((n, np.flatnonzero(reach)))
-                for n, begin in counted:
+                        # n - 1 pairs in a row; the first, the last and those between tell the words
+                        reach = reach & (left >= n) & (number[n - 2:total + n - 2] >= 0)
+                        begin = np.flatnonzero(reach)
+                        key = number[begin]
+                        for k in range(2, n - 2, 2):
+                            key = _coded(key * (len(first) + 1) + number[begin + k])[0]
+                        counted.append((n, begin, _coded(key)[0] * (len(first) + 1) + number[begin + n - 2]))
+                for n, begin, key in counted:
                     if not len(begin):
                         continue
-                    place, f = _grouped([of[begin], *(w.code[begin + k] for k in range(n))], weight[w.text[begin]])
+                    place, f = _grouped(key, weight[w.text[begin]])
                     begin = begin[place]
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(of[begin])), w.spelled(begin, begin + n).cast(pa.string()), pa.array(f)], names=["lang", "phrase", "f"])
 
