@@ -13,8 +13,8 @@ Training uses at most ``SAMPLE_ROWS`` labelled rows, half of either class where
 there are so many, those with the smallest hashes of their ids; the two classes'
 shares among all labelled rows are then put back into the bias. Only
 n-grams that toxic texts hold clearly more often have a vector, at most
-``FEATURES``; an n-gram adds it once to a window, and all others count in the
-mean as zero. Tasks count and cut; what
+``FEATURES``, and all others count in the mean as zero. A word that a window
+repeats adds its vectors once, so that one word said often is one word. Tasks count and cut; what
 reaches the driver is bounded by these parameters, and by ``SAMPLE_HITS``
 n-grams at most in all sampled windows. Scoring is one pass without a shuffle.
 
@@ -51,7 +51,7 @@ WINDOW = 48
 #: Bounds of the training sample: rows, n-grams with a vector, and their places in all sampled windows.
 SAMPLE_ROWS, FEATURES, SAMPLE_HITS = 6144, 4096, 8_000_000
 #: An n-gram has a vector if so many sampled texts hold it, and toxic ones more often than clean ones by so many standard errors.
-LEAST_TEXTS, LEAST_DEVIATE = 5, 6.0
+LEAST_TEXTS, LEAST_DEVIATE = 5, 5.0
 DIMENSIONS, STEPS, RATE, DECAY = 8, 120, 0.1, 1e-5
 #: What the mean is multiplied by, so that vectors of common size can tell windows apart, and the zero vectors that every mean includes, so that a last window of a word or two weighs little.
 GAIN, PADDING = 50.0, 300
@@ -69,10 +69,11 @@ def _parting(points: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Bags:
-    """N-grams of windows: a bucket and a window for each, a text for each window."""
+    """N-grams of windows: a bucket, a window and a hash of the word for each, a text for each window."""
 
     bucket: np.ndarray
     window: np.ndarray
+    word: np.ndarray
     text: np.ndarray
 
 
@@ -87,16 +88,21 @@ def bags(texts: list[str], width: int = WINDOW) -> Bags:
     starts = np.flatnonzero((s[:-1] == 0) & (s[1:] != 0))
     none = np.zeros(0, dtype=np.int64)
     if not len(starts):
-        return Bags(none, none, none)
-    of_word = np.searchsorted(np.cumsum(sizes), kept[starts], side="right")
+        return Bags(none, none, none, none)
+    of_word = np.searchsorted(np.cumsum(sizes), kept[starts + 1], side="left")
     first = np.searchsorted(of_word, of_word, side="left")
     opens = (np.arange(len(starts)) - first) % width == 0
     window_of_word = np.cumsum(opens) - 1
     at = np.zeros(len(s), dtype=np.int32)
     at[starts] = 1
     word = np.cumsum(at, dtype=np.int32) - 1
-    inner, bucket, window = s != 0, [], []
+    inner, bucket, window, word_hash = s != 0, [], [], []
     with np.errstate(over="ignore"):
+        # a word's characters, each mixed with its place
+        place = np.arange(len(s), dtype=np.uint32) - starts.astype(np.uint32)[np.maximum(word, 0)]
+        hashed = (s * np.uint32(0x9E3779B1) ^ place * np.uint32(0x85EBCA6B)).astype(np.uint64)
+        hashed = (hashed ^ (hashed >> np.uint64(15))) * np.uint64(0xBF58476D1CE4E5B9)
+        signature = np.add.reduceat(np.where(inner, hashed, np.uint64(0)), starts).view(np.int64)
         for n in ORDERS:
             if len(s) < n:
                 continue
@@ -112,14 +118,18 @@ def bags(texts: list[str], width: int = WINDOW) -> Bags:
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)
             bucket.append((h >> np.uint32(32 - BUCKET_BITS)).astype(np.int64))
             window.append(window_of_word[word[here]])
-    return Bags(np.concatenate(bucket), np.concatenate(window), of_word[opens])
+            word_hash.append(signature[word[here]])
+    return Bags(np.concatenate(bucket), np.concatenate(window), np.concatenate(word_hash), of_word[opens])
 
 
 def distinct_hits(known: np.ndarray, b: Bags) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that ``known`` marks, once in each window, and their windows in order."""
-    here = known[b.bucket]
-    pair = np.unique(b.window[here] * BUCKETS + b.bucket[here])
-    return pair % BUCKETS, pair // BUCKETS
+    """Buckets that ``known`` marks and their windows in order, those of a word that a window repeats once."""
+    here = np.flatnonzero(known[b.bucket])
+    order = here[np.lexsort((b.bucket[here], b.word[here], b.window[here]))]
+    bucket, word, window = b.bucket[order], b.word[order], b.window[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1]) | (window[1:] != window[:-1])
+    return bucket[new], window[new]
 
 
 def _parts(text: str) -> list[str]:
