@@ -41,3 +41,16 @@ def tail_spread(rows: DataFrame, signal: str, result: str, by: list[str], key: s
     tail = F.floor(F.col("_n") / parts)
     low, high = F.when(F.col("_r") <= tail, F.col(result)), F.when(F.col("_r") > F.col("_n") - tail, F.col(result))
     return placed.groupBy(*by).agg(F.max(tail).alias("tail_n"), (F.avg(high) - F.avg(low)).alias("spread"))
+
+
+def weighted_quantiles(rows: DataFrame, value: str, weight: str, by: list[str], hundredths: dict[str, int]) -> DataFrame:
+    """``by`` and a column for each of ``hundredths``: the least value up to which that share of the weight lies, 0 to 100.
+
+    Weights of equal values are added before anything is sorted; with decimal
+    weights the comparison is exact. Null values and weights are left out; a
+    share of 0 gives the least value.
+    """
+    sums = rows.filter(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
+    group = Window.partitionBy(*by)
+    run = sums.withColumns({"_c": F.sum("_w").over(group.orderBy("_v")), "_t": F.sum("_w").over(group)})
+    return run.groupBy(*by).agg(*(F.min(F.when(F.col("_c") * 100 >= F.col("_t") * share, F.col("_v"))).alias(name) for name, share in hundredths.items()))
