@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import portfolio as P
 from tidemark.plans.views import prices, securities, signals
+from tidemark.sources.scratch import materialize
 
 END_AT = "2001-06-30"
 #: Small enough a capital that most trades fit a day's amount, and more names than trade on any one day.
@@ -35,13 +36,14 @@ def capacity(spark, sf_dir: str) -> DataFrame:
 def marks(spark, sf_dir: str) -> DataFrame:
     """Value and drawdown of each portfolio on every day that one of its names has a price."""
     wanted, panel = _inputs(spark, sf_dir)
-    curve = P.equity(P.backtest(wanted, panel, END_AT, RULES), panel)
+    # read three times, so the simulation is written once
+    curve = P.equity(materialize(P.backtest(wanted, panel, END_AT, RULES), "steps"), panel)
     return curve.select("portfolio", "at", F.round("value", 4).alias("value"), F.round("drawdown", 6).alias("drawdown"))
 
 
 def full_performance(spark, sf_dir: str) -> DataFrame:
     wanted, panel = _inputs(spark, sf_dir)
-    steps = P.backtest(wanted, panel, END_AT, RULES)
+    steps = materialize(P.backtest(wanted, panel, END_AT, RULES), "steps")
     out = P.performance(P.equity(steps, panel), steps, RULES.capital)
     return out.select("portfolio", *(F.round(c, 6).alias(c) for c in out.columns if c != "portfolio"))
 

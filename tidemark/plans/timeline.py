@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.plans import market
 from tidemark.plans.companies import CUTOFF
 from tidemark.plans.views import filings, prices, securities, signals, with_views
+from tidemark.sources.stores import active, merge_ledger
 from tidemark.sources.tables import table
 
-LEDGER_AT = "2024-01-15"
+LEDGER_OPENED, LEDGER_AT = "2023-12-31", "2024-01-15"
 #: Days between a first listing and a signal date, the least share of names by amount traded, and the days it is summed over.
 LISTED_DAYS, LEAST_LIQUID, TRADED_DAYS = 365, 0.25, 60
 #: Order priorities that stand for kinds of debt, and those for parts of a purchase.
@@ -134,20 +135,29 @@ def distinct_sizes(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def _noticed(spark, sf_dir: str) -> DataFrame:
+    """Events as evidence: a user is an issuer, a type of event a piece of evidence."""
+    return table(spark, sf_dir, "events").select("user_id", "event_type", F.col("user_id").cast("string").alias("ticker"), F.col("event_type").alias("evidence_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("fact"))
+
+
 def ledger_active(spark, sf_dir: str) -> DataFrame:
-    """Each user's evidence in force at a moment: the last state of every event type that is not a withdrawal."""
-    seen = table(spark, sf_dir, "events").filter(F.col("ts") <= F.lit(LEDGER_AT).cast("timestamp"))
-    last = seen.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("x"), F.count("*").alias("seen"))
-    return last.filter("event_type <> 'error'").select("user_id", "event_type", F.col("x.event_id").alias("event_id"), "seen")
+    """Each user's evidence in force at a moment: the last state of every event type that is not a withdrawal, which ends as it begins."""
+    seen = _noticed(spark, sf_dir).groupBy("user_id", "event_type", "ticker", "evidence_id").agg(
+        F.min("ts").alias("valid_from"), F.max_by("event_id", F.when(F.col("ts") <= F.lit(LEDGER_AT).cast("timestamp"), F.struct("ts", "event_id"))).alias("event_id"), F.count_if(F.col("ts") <= F.lit(LEDGER_AT).cast("timestamp")).alias("seen"),
+    )
+    ledger = seen.withColumn("valid_to", F.when(F.col("event_type") == "error", F.col("valid_from")))
+    return active(ledger, LEDGER_AT).select("user_id", "event_type", "event_id", "seen")
 
 
 def ledger_merged(spark, sf_dir: str) -> DataFrame:
     """A ledger with a later batch merged in: evidence of the batch is new or seen again, all else is carried."""
-    rows = table(spark, sf_dir, "events")
-    later = F.col("ts") > F.lit(LEDGER_AT).cast("timestamp")
-    sums = rows.groupBy("user_id", "event_type").agg(F.count_if(~later).alias("before"), F.count_if(later).alias("batch"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    status = F.when(F.col("before") == 0, "NEW").when(F.col("batch") > 0, "SEEN_AGAIN").otherwise("CARRIED")
-    return sums.select("user_id", "event_type", "first_seen", "last_seen", status.alias("status"))
+    rows = _noticed(spark, sf_dir)
+    later, at = F.col("ts") > F.lit(LEDGER_AT).cast("timestamp"), F.lit(LEDGER_AT).cast("timestamp")
+    empty = rows.limit(0).select("ticker", "evidence_id", *(F.lit(None).cast("timestamp").alias(c) for c in ("valid_from", "valid_to", "last_confirmed_at")), "fact")
+    ledger = merge_ledger(merge_ledger(empty, rows.filter(~later), LEDGER_OPENED), rows.filter(later), LEDGER_AT)
+    status = F.when(F.col("valid_from") == at, "NEW").when(F.col("last_confirmed_at") == at, "SEEN_AGAIN").otherwise("CARRIED")
+    spans = rows.groupBy("user_id", "event_type", "ticker", "evidence_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return spans.join(ledger, ["ticker", "evidence_id"]).select("user_id", "event_type", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")), status.alias("status"))
 
 
 def sealed(spark, sf_dir: str) -> DataFrame:
