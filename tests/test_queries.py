@@ -41,5 +41,5 @@ def test_entry(spark):
 
 def test_every_other_query_has_rows(spark):
     left = set(registry.QUERIES) - set(registry.ORACLE_SQL)
-    assert left == {"backtest_locked", "backtest_capacity", "equity_marks", "backtest_full_performance", "near_dup_changes", "comparison_shingles", "html_blocks", "html_text", "chunk_pack"}
+    assert left == {"backtest_locked", "backtest_capacity", "equity_marks", "backtest_full_performance", "near_dup_changes", "comparison_shingles", "html_blocks", "html_text", "chunk_pack", "evidence_relations", "ledger_relations", "semantic_chunks", "document_chunks"}
     assert all(registry.QUERIES[name](spark, SF).count() for name in left - {"near_dup_changes"})

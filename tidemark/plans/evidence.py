@@ -27,8 +27,12 @@ ROLES = (
     ("SUPPLIERS", r"공급|supplier"), ("PRODUCTS", r"제품|서비스|products?|services?"), ("GUIDANCE", r"가이던스|전망|guidance|outlook"), ("BUSINESS", r"사업의[ ]*내용|사업[ ]*개요|business( overview)?"),
     ("COMPANY_OVERVIEW", r"회사의[ ]*개요|company overview"), ("NOTES", r"주석|notes? to"), ("GOVERNANCE", r"지배구조|governance"),
 )
-#: English terms of economic evidence.
-TERMS = ("pricing", "switch", "retention", "renewal", "churn", "barrier", "competition", "risk")
+#: Terms of economic evidence, and of what has come about.
+TERMS = (
+    "가격", "판가", "인상", "인하", "마진", "수익성", "원가", "비용", "점유율", "경쟁", "진입", "특허", "허가", "인증", "독점", "네트워크", "플랫폼", "규모", "전환", "교체", "재구매", "갱신", "해지", "고객", "공급", "계약", "반복", "유지",
+    "집중", "의존", "규제", "소송", "위험", "감소", "하락", "악화", "회복", "증가", "pricing", "switch", "retention", "renewal", "churn", "barrier", "competition", "risk",
+)
+REALISED = ("실적", "기록", "달성", "감소", "증가", "하락")
 #: Caps of reliability by type of statement.
 CAPS = {"DISCLOSED_FACT": 0.95, "DERIVED_METRIC": 0.90, "MANAGEMENT_CLAIM": 0.60, "ANALYST_INTERPRETATION": 0.65, "INDUSTRY_INTERPRETATION": 0.65, "FORECAST": 0.50}
 #: How far an axis must move to have a direction; the second is inverted.
@@ -192,11 +196,11 @@ def quarantined(spark, sf_dir: str) -> DataFrame:
 
 
 def term_scores(spark, sf_dir: str) -> DataFrame:
-    """Three for each term of evidence and two for each percentage, of which eight count."""
+    """Three for each term of evidence, two for each percentage, of which eight count, and one for each term of what has come about."""
     low = F.lower("text")
-    hits = sum((T.occurrences(low, t) for t in TERMS), F.lit(0).cast("long"))
+    hits, came = (sum((T.occurrences(low, t) for t in terms), F.lit(0).cast("long")) for terms in (TERMS, REALISED))
     shares = F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:[.,][0-9]+)?[ ]*%"), F.lit(0)))
-    return _texts(spark, sf_dir).select("doc_id", (3 * hits + 2 * F.least(F.lit(8), shares)).cast("long").alias("score"), F.length("text").cast("long").alias("length"))
+    return _texts(spark, sf_dir).select("doc_id", (3 * hits + 2 * F.least(F.lit(8), shares) + came).cast("long").alias("score"), F.length("text").cast("long").alias("length"))
 
 
 def anonymous(spark, sf_dir: str) -> DataFrame:
@@ -415,7 +419,7 @@ SELECT c_custkey, CASE WHEN n IS NULL THEN trim(regexp_replace(lower(s), '[^0-9a
 l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{{00A0}}]+', ' ', 'g'), ' ')) AS ln FROM d),
 k AS (SELECT doc_id, ln, list_filter(ln, lambda x: NOT regexp_matches(x, '{T.OPINION}')) AS kept FROM l)
 SELECT doc_id, (len(ln) - len(kept))::BIGINT AS removed, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS digest FROM k""",
-    "evidence_terms": _DOCS + "\nSELECT doc_id, (3 * (" + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)}" for t in TERMS) + r") + 2 * least(8, len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?[ ]*%'))))::BIGINT AS score, length(text)::BIGINT AS length FROM d",
+    "evidence_terms": _DOCS + "\nSELECT doc_id, (3 * (" + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)}" for t in TERMS) + r") + 2 * least(8, len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?[ ]*%'))) + " + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)}" for t in REALISED) + ")::BIGINT AS score, length(text)::BIGINT AS length FROM d",
     "anonymise": _DOCS + r""",
 f AS (SELECT doc_id, text, coalesce(source, '') AS source, regexp_extract(text, '^[ \t\n\r]*([A-Za-z]{3,})', 1) AS word FROM d),
 o AS (SELECT doc_id, text, CASE WHEN length(word) > length(source) THEN word ELSE source END AS a, CASE WHEN length(word) > length(source) THEN source ELSE word END AS b FROM f),

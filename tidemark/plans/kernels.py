@@ -23,6 +23,8 @@ GROWTH_GRID = (-0.10, -0.05, 0.0, 0.05, 0.10, 0.15, 0.20)
 #: Tolerance and count of nearest points of an implied surface, and the width of its kernel.
 TOLERANCE, NEAREST, BANDWIDTH = 0.03, 12, 0.05
 SURFACE = {"growth": (-0.05, 0.0, 0.05, 0.10, 0.15), "margin": (0.03, 0.06, 0.09, 0.12, 0.15), "roiic": (0.08, 0.12, 0.16), "cap": (0, 3, 5, 8)}
+#: The states of a surface on which expectations are read from prices.
+LEVELS = {"growth": (-0.20, 0.00, 0.10, 0.25, 0.60), "margin": (-0.20, 0.05, 0.15, 0.30, 0.60), "roiic": (0.03, 0.10, 0.25, 0.75, 2.00), "cap": (1, 5, 10, 20, 40)}
 #: Screening thresholds and weights.
 MIN_SCORE, MIN_MARGIN, MIN_CONFIDENCE, MIN_COVERAGE, SCORE_WEIGHT = 5, 0.20, 0.50, 0.50, 0.50
 
@@ -189,15 +191,32 @@ def implied_ranges(spark, sf_dir: str) -> DataFrame:
 
 
 def surface_kernel(spark, sf_dir: str) -> DataFrame:
-    """Mean growth and margin over all points, weighted by how near their value is to the price; eligible if near and broad enough."""
-    weigh = lambda x: F.exp(-0.5 * F.pow(F.ln(x["v"] / F.col("target")) / BANDWIDTH, F.lit(2)))
-    rows = _surface(spark, sf_dir).withColumn("w", F.transform("p", weigh))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    summed = rows.withColumnRenamed("w", "ws").withColumns({"W": total("ws"), "W2": total(F.transform("ws", lambda w: w * w)), "best": F.array_min(F.transform("p", lambda x: x["error"]))})
-    mean = lambda c: F.try_divide(total(F.zip_with("p", "ws", lambda x, w: x[c] * w)), F.when(F.col("W") > 1e-12, F.col("W")))
-    points = F.when(F.col("W") > 1e-12, F.col("W") * F.col("W") / F.col("W2"))
-    ok = (F.col("best") <= 0.10) & (F.coalesce(points, F.lit(0.0)) >= 5)
-    return summed.select("issuer", "fiscal_year", F.round(points, 4).alias("effective_points"), *(F.round(mean(c), 6).alias(c) for c in ("growth", "margin")), ok.alias("eligible"))
+    """Each driver's mean and tenths over all 5^4 states, weighted by how near their value is to the price; eligible if near and broad enough.
+
+    States without a positive value have no price. A state is a row, so every
+    sum is combined before the shuffle.
+    """
+    points = V.grid(*LEVELS.values(), value=_unit_value)
+    base = fundamentals(spark, sf_dir).filter("revenue > 0 and cash > 0").withColumn("target", F.col("cash") / F.col("revenue"))
+    rows = base.select("issuer", "fiscal_year", "target", F.inline(points)).filter("v > 0")
+    weight = F.exp(-0.5 * F.pow(F.ln(F.col("v") / F.col("target")) / BANDWIDTH, F.lit(2)))
+    weighed = rows.withColumns({"w": weight, "error": F.round(F.abs(F.col("v") / F.col("target") - 1), 9)})
+    drivers = {name: f"p{i}" for i, name in enumerate(LEVELS)}
+    upto = lambda name, level: F.sum(F.when(F.col(drivers[name]) <= level, F.col("w")).otherwise(0.0)).alias(f"{name}_{LEVELS[name].index(level)}")
+    sums = weighed.groupBy("issuer", "fiscal_year").agg(
+        F.sum("w").alias("w1"), F.sum(F.col("w") * F.col("w")).alias("w2"), F.min("error").alias("best"), *(F.sum(F.col("w") * F.col(c)).alias(f"mean_{n}") for n, c in drivers.items()), *(upto(n, level) for n, levels in LEVELS.items() for level in levels),
+    )
+    some = F.col("w1") > 1e-12
+    points_ = F.when(some, F.col("w1") * F.col("w1") / F.col("w2"))
+
+    def share(name: str, q: float) -> Column:
+        out = F.lit(float(LEVELS[name][-1]))
+        for k in reversed(range(len(LEVELS[name]) - 1)):
+            out = F.when(F.round(F.col(f"{name}_{k}") / F.col("w1"), 9) >= q, float(LEVELS[name][k])).otherwise(out)
+        return F.when(some, out)
+
+    told = [c for n in LEVELS for c in (F.when(some, F.round(F.col(f"mean_{n}") / F.col("w1"), 6)).alias(n), share(n, 0.1).alias(f"{n}_p10"), share(n, 0.9).alias(f"{n}_p90"))]
+    return sums.select("issuer", "fiscal_year", F.round(points_, 4).alias("effective_points"), *told, ((F.col("best") <= 0.10) & (F.coalesce(points_, F.lit(0.0)) >= 5)).alias("eligible"))
 
 
 def sensitivities(spark, sf_dir: str) -> DataFrame:
@@ -436,6 +455,8 @@ gs AS (SELECT *, 0 AS t, 1.0::DOUBLE AS rev, 0.0::DOUBLE AS pv FROM gp
   FROM (SELECT *, rev * (1 + CASE WHEN t <= cap THEN growth ELSE 0.02 END) AS rev2 FROM (SELECT * REPLACE (t + 1 AS t) FROM gs WHERE t < 10))),
 gv AS (SELECT growth, margin, roiic, cap, pv + rev * 1.02 * margin * (1 - 0.02::DOUBLE / 0.105) / 0.085 / pow(1.105, 10) AS v FROM gs WHERE t = 10),
 sp AS (SELECT issuer, fiscal_year, growth, margin, roiic, cap, v, cash / revenue AS target, round(abs(v / (cash / revenue) - 1), 9) AS error FROM wide, gv WHERE revenue > 0 AND cash > 0)"""
+_LEVELS = _SURFACE.replace(_SURFACE[_SURFACE.index("gp AS ("):_SURFACE.index("gs AS (")], """gp AS (SELECT g::DOUBLE AS growth, m::DOUBLE AS margin, r::DOUBLE AS roiic, c::INTEGER AS cap FROM unnest([-0.20, 0.00, 0.10, 0.25, 0.60]) AS a(g), unnest([-0.20, 0.05, 0.15, 0.30, 0.60]) AS b(m), unnest([0.03, 0.10, 0.25, 0.75, 2.00]) AS d(r), unnest([1, 5, 10, 20, 40]) AS e(c)),
+""")
 _SCORED = """
 WITH k AS (SELECT c_custkey, c_nationkey, c_custkey AS c, (50 + (c_custkey * 7) % 101)::DOUBLE AS base FROM customer),
 sc AS (SELECT *, (c * 3 % 101)::DOUBLE AS gap, (c * 5 % 101)::DOUBLE AS probable, (c * 11 % 101)::DOUBLE AS plausible, (c * 13 % 101)::DOUBLE AS probable_revision, (c * 17 % 101)::DOUBLE AS plausible_revision, (c * 19 % 101)::DOUBLE AS breadth,
@@ -505,11 +526,14 @@ rk AS (SELECT *, count(*) FILTER (WHERE error <= 0.03) OVER (PARTITION BY issuer
 ch AS (SELECT * FROM rk WHERE CASE WHEN within > 0 THEN error <= 0.03 ELSE r <= 12 END)
 SELECT issuer, fiscal_year, max(within) AS within, count(*) AS solutions, min(growth) AS growth_low, max(growth) AS growth_high, min(margin) AS margin_low, max(margin) AS margin_high, min(roiic) AS roiic_low, max(roiic) AS roiic_high,
   min(cap)::DOUBLE AS cap_low, max(cap)::DOUBLE AS cap_high FROM ch GROUP BY 1, 2""",
-    "expectation_surface_kernel": _SURFACE + """,
-ws AS (SELECT *, exp(-0.5 * pow(ln(v / target) / 0.05, 2)) AS w FROM sp),
-su AS (SELECT issuer, fiscal_year, sum(w) AS w1, sum(w * w) AS w2, sum(w * growth) AS g, sum(w * margin) AS m, min(error) AS best FROM ws GROUP BY 1, 2)
-SELECT issuer, fiscal_year, round(CASE WHEN w1 > 1e-12 THEN w1 * w1 / w2 END, 4) AS effective_points, round(CASE WHEN w1 > 1e-12 THEN g / w1 END, 6) AS growth, round(CASE WHEN w1 > 1e-12 THEN m / w1 END, 6) AS margin,
-  best <= 0.10 AND coalesce(CASE WHEN w1 > 1e-12 THEN w1 * w1 / w2 END, 0) >= 5 AS eligible FROM su""",
+    "expectation_surface_kernel": _LEVELS + """,
+ws AS (SELECT *, exp(-0.5 * pow(ln(v / target) / 0.05, 2)) AS w FROM sp WHERE v > 0),
+su AS (SELECT issuer, fiscal_year, sum(w) AS w1, sum(w * w) AS w2, min(error) AS best, """ + ", ".join(f"sum(w * {n}) AS m_{n}" for n in LEVELS) + """ FROM ws GROUP BY 1, 2),
+""" + ",\n".join(f"""c_{n} AS (SELECT issuer, fiscal_year, {n} AS x, sum(sum(w)) OVER (PARTITION BY issuer, fiscal_year ORDER BY {n}) / sum(sum(w)) OVER (PARTITION BY issuer, fiscal_year) AS c FROM ws GROUP BY 1, 2, 3),
+q_{n} AS (SELECT issuer, fiscal_year, min(x) FILTER (WHERE round(c, 9) >= 0.1) AS lo, min(x) FILTER (WHERE round(c, 9) >= 0.9) AS hi FROM c_{n} GROUP BY 1, 2)""" for n in LEVELS) + """
+SELECT issuer, fiscal_year, round(CASE WHEN w1 > 1e-12 THEN w1 * w1 / w2 END, 4) AS effective_points,
+""" + ",\n".join(f"  CASE WHEN w1 > 1e-12 THEN round(m_{n} / w1, 6) END AS {n}, CASE WHEN w1 > 1e-12 THEN q_{n}.lo::DOUBLE END AS {n}_p10, CASE WHEN w1 > 1e-12 THEN q_{n}.hi::DOUBLE END AS {n}_p90" for n in LEVELS) + """,
+  best <= 0.10 AND coalesce(CASE WHEN w1 > 1e-12 THEN w1 * w1 / w2 END, 0) >= 5 AS eligible FROM su """ + " ".join(f"JOIN q_{n} USING (issuer, fiscal_year)" for n in LEVELS),
     "driver_sensitivities": _economic_sql(_variants({}, {"growth": "growth + 0.01"}, {"target": "margin * 1.2"}, {"roiic": "0.18"}, {"cap": CAP + 2})) + """,
 pw AS (SELECT issuer, fiscal_year, max(pv + terminal) FILTER (WHERE k = 0) AS b, max(pv + terminal) FILTER (WHERE k = 1) AS g, max(pv + terminal) FILTER (WHERE k = 2) AS m, max(pv + terminal) FILTER (WHERE k = 3) AS r, max(pv + terminal) FILTER (WHERE k = 4) AS c FROM ec GROUP BY 1, 2),
 dv AS (SELECT issuer, fiscal_year, round(g / b - 1, 8) AS g, round(m / b - 1, 8) AS m, round(r / b - 1, 8) AS r, round(c / b - 1, 8) AS c FROM pw)
