@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
@@ -105,3 +105,43 @@ def grid(*axes: tuple[float, ...], value: Callable[..., float]) -> Column:
     for axis in axes:
         points = [(*p, x) for p in points for x in axis]
     return F.array(*(F.struct(*(F.lit(float(x)).alias(f"p{i}") for i, x in enumerate(p)), F.lit(float(value(*p))).alias("v")) for p in points))
+
+
+def curve_roots(points: Column, price: Column) -> Column:
+    """``array<struct<x, low, high>>``: where a curve of ``struct<x, y>``, in order of x, has ``price``, straight between points.
+
+    A point on the price is a root of its own; a null price has none.
+    """
+    at = lambda k: F.get(points, k)
+    root = lambda x, low, high: F.struct(x.alias("x"), low.alias("low"), high.alias("high"))
+
+    def between(k: Column) -> Column:
+        left, right = at(k), at(k + 1)
+        cut = left["x"] + F.coalesce(F.try_divide((price - left["y"]) * (right["x"] - left["x"]), F.when(right["y"] != left["y"], right["y"] - left["y"])), F.lit(0.0))
+        last = (k == F.size(points) - 1) & (left["y"] == price)
+        return F.when((left["y"] == price) | last, root(left["x"], left["x"], left["x"])).when((left["y"] - price) * (right["y"] - price) <= 0, root(cut, left["x"], right["x"]))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.size(points) - 1), between), lambda r: r.isNotNull())
+
+
+def nearest_root(roots: Column, value: Column) -> Column:
+    """The root nearest to ``value``, the first of several; null without any."""
+    far = F.transform(roots, lambda r, k: F.struct(F.round(F.abs(r["x"] - value), 9).alias("far"), k.alias("k"), r.alias("root")))
+    return F.array_min(far)["root"]
+
+
+def frozen_revision(rows: DataFrame, points: str, supported: str, entry: str, target: str) -> DataFrame:
+    """Adds ``status``, ``entry_root``, ``target_root`` and ``revision``: what two prices imply on one and the same curve.
+
+    At the entry the root nearest to the supported value counts, at the target
+    the one nearest to that. ``status`` is ``NO_ELIGIBLE_CURVE`` below two
+    points, and tells which price lies outside the curve.
+    """
+    first = rows.withColumn("entry_root", nearest_root(curve_roots(F.col(points), F.col(entry)), F.col(supported)))
+    second = first.withColumn("target_root", nearest_root(curve_roots(F.col(points), F.col(target)), F.col("entry_root.x")))
+    short = F.coalesce(F.size(points) < 2, F.lit(True))
+    status = F.when(short, "NO_ELIGIBLE_CURVE").when(F.col("entry_root").isNull(), "ENTRY_PRICE_OUTSIDE_CURVE").when(F.col("target_root").isNull(), "TARGET_PRICE_OUTSIDE_CURVE").otherwise("SOLVED")
+    told = second.withColumn("status", status)
+    solved = F.col("status") == "SOLVED"
+    kept = {"entry_root": F.when(~short, F.col("entry_root")), "target_root": F.when(solved, F.col("target_root")), "revision": F.when(solved, F.col("target_root.x") - F.col("entry_root.x"))}
+    return told.withColumns(kept)
