@@ -138,3 +138,28 @@ def test_regression_without_enough(spark):
     row = panel_regression(flat, "y", "x", [], "u", "p").first()
     assert row["n"] == 5 and row["coefficient"] is None
     assert panel_regression(flat.limit(0), "y", "x", [], "u", "p").first()["n"] == 0
+
+
+def _written(spark):
+    """Rows written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_no_draw_becomes_a_row(spark):
+    """Over 5,000 names and 1,000 samples a row a draw would be five million rows in a shuffle."""
+    df = spark.range(5000).selectExpr("'g' g", "id k", "pmod(xxhash64(id), 997) / 7.0D a", "pmod(xxhash64(id, 1), 4999) * 1.0D b", "pmod(xxhash64(id, 2), 301) * 1.0D y")
+    before = _written(spark)
+    assert permutation_p_values(df, ["a", "b"], "y", ["g"], "k", 1000, "s").count() == 2
+    assert {r["valid"] for r in bootstrap_correlations(df, "a", "b", "y", ["g"], "k", 1000, "s").collect()} == {1000}
+    assert _written(spark) - before < 200_000
+
+
+def test_large_groups_agree(spark, scored, monkeypatch):
+    """Groups too large for one task go through shuffles, with the same results."""
+    df, _ = scored
+    both = lambda: [sorted(map(tuple, x.collect()), key=str) for x in (permutation_p_values(df, ["a", "b"], "y", ["g"], "k", 70, "s"), bootstrap_correlations(df, "a", "b", "y", ["g"], "k", 70, "s"))]
+    near = both()
+    monkeypatch.setattr("tidemark.operators.resampling.WIDE", 6)
+    assert both() == near
