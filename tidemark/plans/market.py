@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ranks import average_rank, rank_correlation, winsorize
-from tidemark.plans.views import changes, near_signal_dates, prices, securities, signals, with_views
+from tidemark.plans.views import changes, held_signals, near_signal_dates, prices, securities, signals, with_views
+from tidemark.sources.scratch import materialize
 
 HOLD_DAYS, STALE_DAYS = 77, 10
 
@@ -23,17 +24,24 @@ def entry_prices_forward(spark, sf_dir: str) -> DataFrame:
 
 def forward_returns(spark, sf_dir: str) -> DataFrame:
     """Return from the entry price to the last price ``HOLD_DAYS`` later; null without either."""
-    entry = entry_prices(spark, sf_dir).withColumn("exit_at", F.date_add("signal_date", HOLD_DAYS))
-    entry = entry.withColumnsRenamed({"price_date": "entry_date", "close": "entry_close"})
-    out = asof_join(entry, prices(spark, sf_dir), ["ticker"], "exit_at", "price_date", ["close"], within_days=STALE_DAYS)
-    return out.select("signal_date", "ticker", "signal", F.round(F.col("close") / F.col("entry_close") - 1, 6).alias("forward_return"))
+    return _entered(spark, sf_dir).drop("entry_close")
 
 
-def panel(spark, sf_dir: str) -> DataFrame:
-    rows = forward_returns(spark, sf_dir).filter("forward_return is not null")
+def _entered(spark, sf_dir: str) -> DataFrame:
+    held = held_signals(spark, sf_dir, HOLD_DAYS, STALE_DAYS)
+    return held.select("signal_date", "ticker", "signal", F.round(F.col("exit_close") / F.col("entry_close") - 1, 6).alias("forward_return"), "entry_close")
+
+
+def entered_panel(spark, sf_dir: str) -> DataFrame:
+    """``panel`` with the entry price. Read for the cuts and again to be cut, so the returns are written once."""
+    rows = materialize(_entered(spark, sf_dir).filter("forward_return is not null"), "entered")
     return winsorize(rows, "forward_return", ["signal_date"]).join(securities(spark, sf_dir).select("ticker", "sector"), "ticker")
 
 
+def panel(spark, sf_dir: str) -> DataFrame:
+    return entered_panel(spark, sf_dir).drop("entry_close")
+
+
 def winsorized_returns(spark, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).select("signal_date", "ticker", F.round("forward_return", 6).alias("forward_return"))
 

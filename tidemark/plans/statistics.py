@@ -48,9 +48,9 @@ def neutral_without_singletons(spark, sf_dir: str) -> DataFrame:
 
 def _controlled(spark, sf_dir: str) -> DataFrame:
     """The panel with two controls: the logarithm of the entry price and of the name's shares."""
-    entry = market.entry_prices(spark, sf_dir).select("signal_date", "ticker", F.ln("close").alias("log_price"))
+    rows = market.entered_panel(spark, sf_dir).withColumn("log_price", F.ln("entry_close")).drop("entry_close")
     size = securities(spark, sf_dir).select("ticker", F.ln("shares").alias("log_shares"))
-    return market.panel(spark, sf_dir).join(entry, ["signal_date", "ticker"]).join(size, "ticker")
+    return rows.join(size, "ticker")
 
 
 def two_controls(spark, sf_dir: str) -> DataFrame:
