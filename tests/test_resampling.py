@@ -163,3 +163,15 @@ def test_large_groups_agree(spark, scored, monkeypatch):
     near = both()
     monkeypatch.setattr("tidemark.operators.resampling.WIDE", 6)
     assert both() == near
+
+
+def test_drawn_ties_make_no_rows(spark, monkeypatch):
+    """2,000 names with two signals, over 500 simulations: a row a draw would be a million; large ties go through shuffles, with the same result."""
+    df = spark.range(2000).selectExpr("'g' g", "cast(id as string) k", "cast(id % 2 as double) s", "if(id = 7, null, pmod(xxhash64(id), 101) / 8.0D) y")
+    spread = lambda n: tie_averaged_spread(df, "s", "y", ["g"], "k", n, "t").first()
+    before = _written(spark)
+    assert spread(500)["tail_n"] == 400
+    assert _written(spark) - before < 50_000
+    near = spread(30)["spread"]
+    monkeypatch.setattr("tidemark.operators.inference.WIDE", 10)
+    assert spread(30)["spread"] == pytest.approx(near, abs=1e-12)

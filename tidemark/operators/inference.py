@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.arrays import let
+from tidemark.shipping import ship_package
+
+#: The most rows of equal signals that one task orders at once, and the tasks they go to; larger ones are ordered by shuffles.
+WIDE, PARTS = 2**20, 32
 
 
 def newey_west(rows: DataFrame, value: str, order: str, by: list[str], lags: int) -> DataFrame:
@@ -173,11 +182,55 @@ def block_bootstrap(rows: DataFrame, value: str, order: str, by: list[str], bloc
     return means.groupBy(*by, "n", "mean").agg(q.alias("_q")).select(*by, "n", "mean", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"))
 
 
+def _order(digests: list[bytes]) -> np.ndarray:
+    """Places in the order of the digests: by their first eight bytes, by all of them where two agree in those."""
+    head = np.frombuffer(b"".join(d[:8] for d in digests), dtype=">u8").astype(np.uint64)
+    order = np.argsort(head)
+    if len(order) > 1 and (head[order[1:]] == head[order[:-1]]).any():
+        return np.array(sorted(range(len(digests)), key=digests.__getitem__))
+    return order
+
+
+def _drawn_in_tasks(tied: DataFrame, signal: str, result: str, by: list[str], key: str, simulations: int, seed: str) -> DataFrame:
+    """``by``, ``_dl`` and ``_dh``: what the drawn rows of equal signals add to either tail, over the simulations of a task.
+
+    Rows of equal signals travel as one row to ``PARTS`` tasks; a task counts how often each is drawn.
+    """
+    ship_package(tied.sparkSession)
+    at = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for first, low, high, keys, results in zip(*(c.to_pylist() for c in b.columns[at : at + 4]), b.column(at + 4), strict=True):
+                ends = [k.encode() for k in keys]
+                times = np.zeros((2, len(ends)))
+                for s in range(first, simulations, PARTS):
+                    start = f"{seed}|{s}".encode()
+                    order = _order([sha256(start + end).digest() for end in ends])
+                    times[0, order[:low]] += 1
+                    times[1, order[len(ends) - high :]] += 1
+                value = results.values.to_numpy(zero_copy_only=False)
+                sums.append([float(np.dot(t[t > 0], value[t > 0])) for t in times])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *map(pa.array, np.array(sums).reshape(-1, 2).T)], names=[*by, "_dl", "_dh"])
+
+    # the seed and the simulation come before it; a null key adds nothing
+    end = F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit(""))
+    listed = tied.groupBy(*by, signal).agg(F.first("_low").alias("_low"), F.first("_high").alias("_high"), F.first("_same").alias("_same"), F.collect_list(F.struct(end.alias("k"), F.coalesce(F.col(result).cast("double"), F.lit(0.0)).alias("v"))).alias("_l"))
+    # a tail that holds all of the value's rows, or none, draws none
+    part = lambda c: F.when(F.col(c) < F.col("_same"), F.col(c)).otherwise(0).cast("int").alias(c)
+    tasks = listed.select(*by, signal, part("_low"), part("_high"), F.col("_l.k").alias("_k"), F.col("_l.v").alias("_v")).withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(min(PARTS, simulations) - 1))))
+    dealt = tasks.repartition(4 * PARTS, *by, signal, "_first").select(*by, "_first", "_low", "_high", "_k", "_v")
+    return dealt.mapInArrow(run, T.StructType([*(tied.schema[c] for c in by), T.StructField("_dl", T.DoubleType()), T.StructField("_dh", T.DoubleType())]))
+
+
 def tie_averaged_spread(rows: DataFrame, signal: str, result: str, by: list[str], key: str, simulations: int, seed: str, parts: int = 5) -> DataFrame:
     """``by``, ``tail_n`` and ``spread`` of equal tails, ties ordered by hashes and averaged over ``simulations`` of them; null below ``parts`` rows.
 
     Only the values of the signal at the two boundaries are drawn from; all
     other rows of a tail are in it whatever the draw, and are counted once.
+    A value's rows are drawn from inside tasks, and no draw becomes a row
+    unless more than ``WIDE`` rows share the value.
     """
     group = Window.partitionBy(*by)
     below, same = F.rank().over(group.orderBy(signal)) - 1, F.count("*").over(Window.partitionBy(*by, signal))
@@ -190,11 +243,14 @@ def tie_averaged_spread(rows: DataFrame, signal: str, result: str, by: list[str]
     whole = lambda c: F.sum(F.when(F.col(c) == F.col("_same"), F.col(result)))
     fixed = told.groupBy(*by).agg(F.max("_t").alias("_t"), whole("_low").alias("_fl"), whole("_high").alias("_fh"))
     part = lambda c: (F.col(c) > 0) & (F.col(c) < F.col("_same"))
-    drawn = told.filter(part("_low") | part("_high")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    tied = told.filter(part("_low") | part("_high"))
+    drawn = tied.filter(F.col("_same") > WIDE).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
     order = Window.partitionBy(*by, signal, "_s").orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "_s", key), 256))
     placed = drawn.withColumn("_r", F.row_number().over(order))
-    taken = lambda c, inside: F.sum(F.when(part(c) & inside, F.col(result)))
-    means = placed.groupBy(*by).agg(taken("_low", F.col("_r") <= F.col("_low")).alias("_dl"), taken("_high", F.col("_r") > F.col("_same") - F.col("_high")).alias("_dh"))
+    taken = lambda c, inside: F.when(part(c) & inside, F.col(result))
+    apart = placed.select(*by, taken("_low", F.col("_r") <= F.col("_low")).alias("_dl"), taken("_high", F.col("_r") > F.col("_same") - F.col("_high")).alias("_dh"))
+    near = _drawn_in_tasks(tied.filter(F.col("_same") <= WIDE), signal, result, by, key, simulations, seed)
+    means = apart.unionByName(near).groupBy(*by).agg(F.sum("_dl").alias("_dl"), F.sum("_dh").alias("_dh"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     tail = lambda f, d: (zero(f) + zero(F.col(d) / simulations)) / F.col("_t")
     out = fixed.join(means, by, "left")
