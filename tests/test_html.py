@@ -1,5 +1,8 @@
 """Blocks, grids and notes of small pages."""
 
+import pyarrow as pa
+
+from tidemark.sources import html
 from tidemark.sources.html import blocks, cells, column_paths, with_notes
 
 PAGE = """<html><head><title>no</title></head><body><h1>One</h1><p>First <b>bold</b> text<p>Second</p><script>x<y</script><div style="display:none">hidden</div>
@@ -32,3 +35,18 @@ def test_grids_fill_spans(spark):
 def test_notes_find_their_table(spark):
     got = {r["text"][:6]: (r["table"], r["unit"], r["year"]) for r in with_notes(blocks(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))).collect()}
     assert got["* a no"] == (6, "KRW_MILLION", 2024) and got["* late"][0] is None and got["plain"] == (None, None, None)
+
+
+def test_rows_leave_a_task_in_small_batches(spark, monkeypatch):
+    """One batch of many pages, some empty and some null, leaves in batches of bounded text; the last one too."""
+    monkeypatch.setattr(html, "HELD", 500)
+    pages = [(k, "".join(f"<p>{k} {i} {'x' * 90}</p>" for i in range(k % 7)) or None) for k in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    want = [(k, i, f"{k} {i} {'x' * 90}") for k in range(40) for i in range(k % 7)]
+    assert sorted((r["page_id"], r["seq"], r["text"]) for r in blocks(df).collect()) == want
+    taken = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: taken.append(run))
+    blocks(df)
+    out = list(taken[0](iter([pa.RecordBatch.from_pydict({"page_id": [k for k, _ in pages], "html": [t for _, t in pages]})])))
+    assert [(r["page_id"], r["seq"], r["text"]) for b in out for r in b.to_pylist()] == want
+    assert max(b.num_rows for b in out) <= 4 and len(out) > 25
