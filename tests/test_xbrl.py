@@ -66,3 +66,15 @@ def test_metrics_take_the_best_context(spark):
     want = {"revenue": -150, "ebit": 7, "capex": 14, "depreciation": None, "cash": 3, "debt": 11, "nwc": -7}
     assert {k: None if got[1][k] is None else float(got[1][k]) for k in want} == want and got[1]["facts"] == len(values) and got[1]["covered"] == 6
     assert got[2]["facts"] == 1 and got[2]["covered"] == 0
+
+
+def test_a_document_is_read_once(spark):
+    """Facts take their contexts without a join, the last one of an id; metrics need one shuffle."""
+    context = '<context id="c"><entity><identifier scheme="s">{}</identifier></entity><period><instant>2020-12-31</instant></period></context>'
+    xml = "<r>" + context.format("A") + '<i:Inventories contextRef="c">1</i:Inventories><i:Other contextRef="c">2</i:Other>' + context.format("B") + "</r>"
+    found = facts(spark.createDataFrame([(1, xml), (2, "<r/>")], "id int, x string"), "id", "x")
+    assert [(r["concept"], r["entity"]) for r in found.orderBy("seq").collect()] == [("Inventories", "B"), ("Other", "B")]
+    made = annual_metrics(found, "id", F.lit(dt.date(2020, 12, 31)))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert [(r["id"], r["facts"], float(r["nwc"]), r["covered"]) for r in made.collect()] == [(1, 2, 1.0, 1)]

@@ -55,41 +55,65 @@ def _plain(text: Column) -> Column:
 
 def _attribute(tag: Column, name: str) -> Column:
     found = F.regexp_extract(tag, rf"(?i)(?:^|\s){name}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    return F.when(found != "", _plain(found))
+    return let(found, lambda x: F.when(x != "", _plain(x)))
+
+
+_NO_MEMBERS = "array<struct<axis:string,member:string>>"
+
+
+def _blocks(xml: Column) -> Column:
+    """The contexts of a document without comments, as texts without prefixes, whose declarations stand elsewhere."""
+    return F.transform(F.regexp_extract_all(xml, F.lit(CONTEXT), F.lit(0)), lambda b: F.regexp_replace(b, r"<(/?)[A-Za-z_][\w.-]*:", "<$1"))
+
+
+def _told(c: Column) -> Column:
+    """A context as it is returned, of one that was read."""
+    none = F.array().cast(_NO_MEMBERS)
+    of = lambda part: F.coalesce(F.transform(part["explicitMember"], lambda m: F.struct(m["_dimension"].alias("axis"), _plain(m["_VALUE"]).alias("member"))), none)
+    typed = lambda part: F.coalesce(F.transform(part["typedMember"], lambda m: F.struct(m["_dimension"].alias("axis"), F.lit("typed").alias("member"))), none)
+    day = lambda name: F.try_to_date(F.substring(F.btrim(c["period"][name]), 1, 10), "yyyy-MM-dd").alias(name if name == "instant" else name.removesuffix("Date"))
+    segment, scenario = c["entity"]["segment"], c["scenario"]
+    members = F.concat(of(segment), of(scenario), typed(segment), typed(scenario))
+    return F.struct(c["_id"].alias("context_id"), c["entity"]["identifier"]["_VALUE"].alias("entity"), day("startDate"), day("endDate"), day("instant"), members.alias("members"))
+
+
+def _contexts(xml: Column) -> Column:
+    """The contexts of a document without comments, in order; what has no id is none."""
+    read = F.transform(_blocks(xml), lambda b: F.from_xml(b, _CONTEXT, {"mode": "PERMISSIVE"}))
+    return F.transform(F.filter(read, lambda c: c["_id"].isNotNull()), _told)
 
 
 def contexts(docs: DataFrame, key: str, xml: str) -> DataFrame:
     """``key``, ``context_id``, ``entity``, ``start``, ``end``, ``instant`` and ``members`` (``axis``, ``member``) of each context."""
-    blocks = F.regexp_extract_all(F.regexp_replace(xml, COMMENT, ""), F.lit(CONTEXT), F.lit(0))
-    # without prefixes, whose declarations stand elsewhere
-    bare = F.regexp_replace("block", r"<(/?)[A-Za-z_][\w.-]*:", "<$1")
-    read = F.from_xml(bare, _CONTEXT, {"mode": "PERMISSIVE"})
-    rows = docs.select(key, F.posexplode(blocks).alias("at", "block")).select(key, "at", read.alias("c")).filter("c._id is not null")
-    none = F.array().cast("array<struct<axis:string,member:string>>")
-    of = lambda part: F.coalesce(F.transform(f"c.{part}.explicitMember", lambda m: F.struct(m["_dimension"].alias("axis"), _plain(m["_VALUE"]).alias("member"))), none)
-    typed = lambda part: F.coalesce(F.transform(f"c.{part}.typedMember", lambda m: F.struct(m["_dimension"].alias("axis"), F.lit("typed").alias("member"))), none)
-    day = lambda c: F.try_to_date(F.substring(F.btrim(F.col(f"c.period.{c}")), 1, 10), "yyyy-MM-dd")
-    told = F.struct("at", F.col("c.entity.identifier._VALUE").alias("entity"), day("startDate").alias("start"), day("endDate").alias("end"), day("instant").alias("instant"), F.concat(of("entity.segment"), of("scenario"), typed("entity.segment"), typed("scenario")).alias("members"))
-    last = rows.groupBy(key, F.col("c._id").alias("context_id")).agg(F.max(told).alias("t"))
-    return last.select(key, "context_id", *(f"t.{c}" for c in ("entity", "start", "end", "instant", "members")))
+    rows = docs.select(key, F.posexplode(_contexts(F.regexp_replace(xml, COMMENT, ""))).alias("at", "c"))
+    last = rows.groupBy(key, F.col("c.context_id").alias("context_id")).agg(F.max_by("c", "at").alias("c"))
+    return last.select(key, "context_id", *(f"c.{c}" for c in ("entity", "start", "end", "instant", "members")))
 
 
 def facts(docs: DataFrame, key: str, xml: str) -> DataFrame:
-    """``key``, ``seq``, ``concept``, ``context_id``, ``unit``, ``decimals``, ``raw``, ``value`` and the context's columns of each fact."""
-    flat = F.regexp_replace(xml, COMMENT, "")
-    group = lambda text, k: F.regexp_extract_all(text, F.lit(FACT), F.lit(k))
-    found = docs.select(key, flat.alias("x")).select(key, F.posexplode(F.arrays_zip(group(F.col("x"), 1).alias("tag"), group(F.col("x"), 2).alias("told"), group(F.col("x"), 3).alias("text"))).alias("seq", "f"))
+    """``key``, ``seq``, ``concept``, ``context_id``, ``unit``, ``decimals``, ``raw``, ``value`` and the context's columns of each fact.
+
+    A document is read once: its contexts are put beside its facts before these become rows, so nothing is joined.
+    """
+    part = lambda m, k: F.regexp_extract(m, FACT, k)
+
+    def fact(m: Column, known: Column) -> Column:
+        told = lambda tag: let(_attribute(tag, "context[Rr]ef"), lambda ref: F.struct(tag.alias("told"), ref.alias("context_id"), F.try_element_at(F.filter(known, lambda c: c["context_id"] == ref), F.lit(-1)).alias("c")))
+        return F.struct(part(m, 1).alias("tag"), let(part(m, 2), told).alias("at"), part(m, 3).alias("text"))
+
+    met = let(F.regexp_replace(xml, COMMENT, ""), lambda x: let(_contexts(x), lambda known: F.transform(F.regexp_extract_all(x, F.lit(FACT), F.lit(0)), lambda m: fact(m, known))))
+    found = docs.select(key, F.posexplode(met).alias("seq", "f"))
     inline = F.lower("f.tag").isin("nonfraction", "nonnumeric")
-    named = F.when(inline, _attribute(F.col("f.told"), "name")).otherwise(F.col("f.tag"))
+    attribute = lambda name: _attribute(F.col("f.at.told"), name)
+    named = F.when(inline, attribute("name")).otherwise(F.col("f.tag"))
     raw = _plain(F.col("f.text"))
     scale = F.coalesce(F.expr("try_cast(scale as int)"), F.lit(0))
     printed = F.when(F.col("inline"), number(F.col("raw")).cast(VALUE) * F.pow(F.lit(10.0), scale).cast("decimal(30,10)")).otherwise(F.expr(f"try_cast(replace(raw, ',', '') as {VALUE})"))
     rows = found.select(
-        key, "seq", F.regexp_replace(named, r"^.*:", "").alias("concept"), _attribute(F.col("f.told"), "context[Rr]ef").alias("context_id"), _attribute(F.col("f.told"), "unitRef").alias("unit"),
-        _attribute(F.col("f.told"), "decimals").alias("decimals"), raw.alias("raw"), inline.alias("inline"), _attribute(F.col("f.told"), "scale").alias("scale"),
+        key, "seq", F.regexp_replace(named, r"^.*:", "").alias("concept"), F.col("f.at.context_id").alias("context_id"), attribute("unitRef").alias("unit"), attribute("decimals").alias("decimals"),
+        raw.alias("raw"), inline.alias("inline"), F.when(inline, attribute("scale")).alias("scale"), *(f"f.at.c.{c}" for c in ("entity", "start", "end", "instant", "members")),
     ).filter("concept is not null")
-    valued = rows.withColumn("value", printed.cast(VALUE)).drop("scale", "inline")
-    return valued.join(contexts(docs, key, xml), [key, "context_id"], "left").select(key, "seq", "concept", "context_id", "unit", "decimals", "raw", "value", "entity", "start", "end", "instant", "members")
+    return rows.withColumn("value", printed.cast(VALUE)).select(key, "seq", "concept", "context_id", "unit", "decimals", "raw", "value", "entity", "start", "end", "instant", "members")
 
 
 def _score(flow: bool, period_end: Column) -> Column:
@@ -111,16 +135,16 @@ def annual_metrics(found: DataFrame, key: str, period_end: Column) -> DataFrame:
     working capital is receivables and inventory less payables, if any is known.
     """
     known = found.filter("value is not null and members is not null")
-    counted = known.groupBy(key).agg(F.count("*").alias("facts"))
     matches = F.array(*(F.when(F.col("concept").rlike(pattern), F.struct(F.lit(name).alias("metric"), F.lit(adds).alias("adds"), _score(flow, period_end).alias("score"))) for name, pattern, flow, adds in METRICS))
-    each = known.select(key, "seq", "value", F.explode(F.filter(matches, lambda m: m.isNotNull())).alias("m")).select(key, "seq", "value", "m.*").filter("score is not null")
-    sizes = each.groupBy(key, "metric", "adds", "score", F.abs("value").alias("size")).agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
-    by_score = sizes.groupBy(key, "metric", "adds", "score").agg(F.max_by("value", F.struct("size", -F.col("seq"))).alias("largest"), F.sum(F.when(F.col("size") != 0, F.col("size"))).cast(VALUE).alias("total"))
-    best = by_score.groupBy(key, "metric").agg(F.max_by(F.when(F.col("adds"), F.col("total")).otherwise(F.col("largest")), "score").alias("value"))
-    wide = best.groupBy(key).agg(*(F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name, *_ in METRICS))
+    fits = F.filter(matches, lambda m: m.isNotNull() & m["score"].isNotNull())
+    # a fact of no metric stays as one row, and of one with several the first row counts it; all groups are of one document, so one shuffle serves them
+    rows = known.select(key, "seq", "value", F.posexplode_outer(fits).alias("at", "m")).select(key, "seq", "value", (F.coalesce("at", F.lit(0)) == 0).cast("long").alias("facts"), "m.*").repartition(key)
+    sizes = rows.groupBy(key, "metric", "adds", "score", F.abs("value").alias("size")).agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"), F.sum("facts").alias("facts"))
+    by_score = sizes.groupBy(key, "metric", "adds", "score").agg(F.max_by("value", F.struct("size", -F.col("seq"))).alias("largest"), F.sum(F.when(F.col("size") != 0, F.col("size"))).cast(VALUE).alias("total"), F.sum("facts").alias("facts"))
+    best = by_score.groupBy(key, "metric").agg(F.max_by(F.when(F.col("adds"), F.col("total")).otherwise(F.col("largest")), "score").alias("value"), F.sum("facts").alias("facts"))
+    joined = best.groupBy(key).agg(F.sum("facts").alias("facts"), *(F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name, *_ in METRICS))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(VALUE))
     some = F.col("receivables").isNotNull() | F.col("inventory").isNotNull() | F.col("payables").isNotNull()
-    joined = counted.join(wide, key, "left")
     named = joined.select(key, "facts", "revenue", "ebit", "capex", "depreciation", "cash", F.coalesce("debt_total", "debt_parts").alias("debt"), F.when(some, zero("receivables") + zero("inventory") - zero("payables")).alias("nwc"))
     metrics = ("revenue", "ebit", "capex", "depreciation", "cash", "debt", "nwc")
     return named.withColumn("covered", let(F.array(*metrics), lambda a: F.size(F.filter(a, lambda x: x.isNotNull()))))
