@@ -63,3 +63,14 @@ def test_turnover_of_a_step(requested):
     rows = [("p", 1, dt.date(2025, 1, 1), False, t, float(i) if t in requested else None, 10.0, 10.0, 1e6) for i, t in enumerate("AB", 1)]
     out = P.simulate(pd.DataFrame(rows, columns=["portfolio", "step", "execution_at", "terminal", "ticker", "rank", "exact", "mark", "volume"]), P.Rules(capital=100.0))
     assert out["turnover"].iloc[0] == (1.0 if requested else 0.0) and len(out) == max(1, len(requested))
+
+
+def test_only_prices_of_named_securities_are_followed(spark):
+    """Other names give execution days, but none of their prices reaches the steps or the marks."""
+    others = [("ZZZ", "2025-01-02", 1), ("YYY", "2025-02-02", 1), ("ZZZ", "2025-02-10", 9)]
+    signals = [("2025-01-01", "AAA", 1), ("2025-02-01", "BBB", 1)]
+    steps, prices = run(spark, signals, PRICES + others, P.Rules(top_n=1, **FREE))
+    curve = P.equity(steps, prices)
+    assert "LeftSemi" in steps._jdf.queryExecution().optimizedPlan().toString() and "LeftSemi" in curve._jdf.queryExecution().optimizedPlan().toString()
+    alone, own = run(spark, signals, PRICES, P.Rules(top_n=1, **FREE))
+    assert sorted(map(tuple, curve.collect())) == sorted(map(tuple, P.equity(alone, own).collect()))

@@ -80,6 +80,11 @@ def simulate(asked: pd.DataFrame, rules: Rules) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[part.split()[0] for part in STEPS.split(", ")])
 
 
+def _of_names(prices: DataFrame, rows: DataFrame) -> DataFrame:
+    """The prices of the names in ``rows``: no other is looked at, and portfolios hold few of all names."""
+    return prices.join(rows.select("ticker").distinct(), "ticker", "left_semi")
+
+
 def backtest(signals: DataFrame, prices: DataFrame, end_at: str, rules: Rules = Rules()) -> DataFrame:
     """``STEPS`` of every portfolio of ``signals(portfolio, signal_at, ticker, rank)`` over ``prices(ticker, at, close, volume)``.
 
@@ -95,7 +100,7 @@ def backtest(signals: DataFrame, prices: DataFrame, end_at: str, rules: Rules =
     names = wanted.select("portfolio", "ticker").distinct()
     ranks = wanted.select("portfolio", "ticker", F.date_add("signal_at", rules.lag_days).alias("due"), "rank", F.lit(False).alias("terminal"))
     asked = stepped.select("portfolio", "step", "due", "terminal", "execution_at").join(names, "portfolio").join(ranks, ["portfolio", "ticker", "due", "terminal"], "left")
-    seen = asof_join(asked, prices.withColumn("seen_at", F.col("at")), ["ticker"], "execution_at", "at", ["close", "volume", "seen_at"])
+    seen = asof_join(asked, _of_names(prices, names).withColumn("seen_at", F.col("at")), ["ticker"], "execution_at", "at", ["close", "volume", "seen_at"])
     today = F.col("seen_at") == F.col("execution_at")
     shaped = seen.select(
         "portfolio", "step", "execution_at", "terminal", "ticker", F.col("rank").cast("double").alias("rank"), F.when(today, F.col("close")).alias("exact"), F.col("close").alias("mark"), F.when(today, F.col("volume")).alias("volume"),
@@ -115,8 +120,9 @@ def equity(steps: DataFrame, prices: DataFrame) -> DataFrame:
     points = rebalances(steps).withColumn("until", F.lead("execution_at").over(order))
     held = steps.filter("ticker is not null").join(points.select("portfolio", "step", "until"), ["portfolio", "step"]).filter("until is not null")
     holding = held.select("portfolio", "step", "ticker", "units", "cash", "execution_at", "until")
-    marks = prices.select("ticker", F.col("at").alias("day")).join(holding, "ticker").filter((F.col("day") > F.col("execution_at")) & (F.col("day") < F.col("until"))).select("portfolio", "step", "day").distinct()
-    priced = asof_join(marks.join(holding.drop("execution_at", "until"), ["portfolio", "step"]), prices, ["ticker"], "day", "at", ["close"])
+    own = _of_names(prices, holding)
+    marks = own.select("ticker", F.col("at").alias("day")).join(holding, "ticker").filter((F.col("day") > F.col("execution_at")) & (F.col("day") < F.col("until"))).select("portfolio", "step", "day").distinct()
+    priced = asof_join(marks.join(holding.drop("execution_at", "until"), ["portfolio", "step"]), own, ["ticker"], "day", "at", ["close"])
     valued = priced.groupBy("portfolio", "step", "day").agg((F.max("cash") + F.sum(F.col("units") * F.col("close"))).alias("value"))
     every = valued.select("portfolio", F.col("day").alias("at"), "value").unionByName(points.select("portfolio", F.col("execution_at").alias("at"), F.col("post_value").alias("value")))
     so_far = Window.partitionBy("portfolio").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
