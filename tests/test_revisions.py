@@ -1,9 +1,10 @@
 """Roots of curves by hand: several, at points, flat stretches, and prices outside."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.valuation import curve_roots, frozen_revision
+from tidemark.operators.valuation import curve_roots, economic_core, economic_values, frozen_revision
 
 POINT = "array<struct<x:double,y:double>>"
 
@@ -28,3 +29,15 @@ def test_revision_follows_the_branch(spark):
     assert (got["down"]["entry_root"]["x"], got["down"]["revision"]) == (1.5, -0.25)
     assert [got[k]["status"] for k in ("up", "out", "later", "short", "none")] == ["SOLVED", "ENTRY_PRICE_OUTSIDE_CURVE", "TARGET_PRICE_OUTSIDE_CURVE", "NO_ELIGIBLE_CURVE", "NO_ELIGIBLE_CURVE"]
     assert got["later"]["entry_root"]["x"] == 0.5 and got["later"]["revision"] is None and got["none"]["entry_root"] is None
+
+
+def test_values_on_arrays_are_those_of_expressions(spark):
+    draw = np.random.default_rng(3)
+    names = ("revenue", "nopat", "margin", "stable_margin", "growth", "target", "roiic")
+    columns = {c: draw.uniform(0.01, 0.4, 40) * (1000 if c in ("revenue", "nopat") else 1) for c in names}
+    rates = {"wacc": 0.09, "stable_growth": 0.02, "stable_roic": 0.09}
+    df = spark.createDataFrame([(k, *(float(columns[c][k]) for c in names)) for k in range(40)], "k int, " + ", ".join(f"{c} double" for c in names))
+    for cap, fade in ((0, 0), (5, 3), (10, 0), (8, 3)):
+        core = economic_core({c: F.col(c) for c in names} | {c: F.lit(x) for c, x in rates.items()}, 10, F.lit(cap), F.lit(fade), 3)
+        want = [r["v"] for r in df.withColumn("c", core).select("k", (F.col("c.pv") + F.col("c.terminal")).alias("v")).orderBy("k").collect()]
+        assert economic_values(columns | rates, 10, cap, fade, 3).tolist() == pytest.approx(want, rel=1e-12)

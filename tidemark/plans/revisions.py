@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import valuation as V
 from tidemark.plans import kernels
+from tidemark.shipping import ship_package
 
 #: The states of each driver at which an issuer is valued; an advantage lasts no longer than the forecast.
 GRIDS = {
@@ -19,22 +22,36 @@ GRIDS = {
 MULTIPLE = 3.0
 
 
+def _values(revenue: pd.Series, margin: pd.Series, growth: pd.Series) -> pd.Series:
+    """Values at all states of the drivers, in the order of ``GRIDS``, for each row."""
+    r, m, g = (c.to_numpy() for c in (revenue, margin, growth))
+    usual = {"revenue": r, "nopat": r * m, "margin": m, "stable_margin": m, "growth": g, "target": m * 1.1, "roiic": 0.15, "wacc": kernels.WACC, "stable_growth": kernels.STABLE_GROWTH, "stable_roic": kernels.WACC}
+    named, out = {"GROWTH": "growth", "MARGIN": "target", "ROIIC": "roiic"}, []
+    for driver, grid in GRIDS.items():
+        for x in grid:
+            assumed = usual | {named[driver]: x} if driver in named else usual
+            out.append(V.economic_values(assumed, kernels.YEARS, int(x) if driver == "CAP" else kernels.CAP, kernels.FADE, kernels.CONVERGE))
+    return pd.Series(list(np.stack(out, axis=1)))
+
+
 def _curves(spark, sf_dir: str) -> DataFrame:
     """``(issuer, fiscal_year, driver, points, supported, entry, target)``: values over revenue along each driver, and prices of this year and the next."""
+    ship_package(spark)
     later = Window.partitionBy("issuer").orderBy("fiscal_year")
     base = kernels._base(spark, sf_dir).withColumns({"next_cash": F.lead("cash").over(later), "next_year": F.lead("fiscal_year").over(later)})
     priced = base.filter("next_year = fiscal_year + 1").withColumns({"entry": F.round(MULTIPLE * F.col("cash") / F.col("revenue"), 9), "target": F.round(MULTIPLE * F.col("next_cash") / F.col("revenue"), 9)})
-    states = F.array(*(F.struct(F.lit(d).alias("driver"), F.lit(x).alias("x")) for d, grid in GRIDS.items() for x in grid))
-    # a state is a row: one valuation, not one for each state
-    each = priced.withColumn("s", F.explode(states)).select("*", "s.driver", "s.x").drop("s")
-    own = lambda driver, other: F.when(F.col("driver") == driver, F.col("x")).otherwise(other)
-    usual = kernels._assumptions()
-    assumed: dict[str, Column] = usual | {"growth": own("GROWTH", usual["growth"]), "target": own("MARGIN", usual["target"]), "roiic": own("ROIIC", usual["roiic"])}
-    core = V.economic_core(assumed, kernels.YEARS, own("CAP", F.lit(float(kernels.CAP))).cast("int"), F.lit(kernels.FADE), kernels.CONVERGE)
-    valued = each.withColumn("core", core).withColumn("y", F.round((F.col("core.pv") + F.col("core.terminal")) / F.col("revenue"), 9))
-    supported = F.when(F.col("driver") == "GROWTH", F.col("growth")).when(F.col("driver") == "MARGIN", F.col("margin") * 1.1).when(F.col("driver") == "ROIIC", F.lit(0.15)).otherwise(F.lit(float(kernels.CAP)))
-    keys = ["issuer", "fiscal_year", "driver"]
-    return valued.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"), F.max(supported).alias("supported"), F.max("entry").alias("entry"), F.max("target").alias("target"))
+    # few bytes to an issuer's year, but some 60 valuations: as many tasks as shuffles have
+    dealt = priced.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "issuer", "fiscal_year")
+    values = F.pandas_udf(_values, "array<double>")("revenue", "margin", "growth").alias("v")
+    own = {"GROWTH": F.col("growth"), "MARGIN": F.col("margin") * 1.1, "ROIIC": F.lit(0.15), "CAP": F.lit(float(kernels.CAP))}
+    curves, at = [], 0
+    for driver, grid in GRIDS.items():
+        xs = F.array(*map(F.lit, grid))
+        points = F.zip_with(xs, F.slice("v", at + 1, len(grid)), lambda x, v: F.struct(x.alias("x"), F.round(v / F.col("revenue"), 9).alias("y")))
+        curves.append(F.struct(F.lit(driver).alias("driver"), points.alias("points"), own[driver].alias("supported")))
+        at += len(grid)
+    valued = dealt.select("issuer", "fiscal_year", "revenue", "margin", "growth", "entry", "target", values)
+    return valued.select("issuer", "fiscal_year", F.inline(F.array(*curves)), "entry", "target")
 
 
 def revisions(spark, sf_dir: str) -> DataFrame:
