@@ -102,3 +102,32 @@ def test_queries_against_a_loop(spark):
     assert {k for k, r in closed.items() if r["closed_by"]} == set(by_target)
     assert all(closed[k]["closed_by"] == min(v)[1] for k, v in by_target.items())
     assert len(closed) == len(cards)
+
+
+def test_matched_is_that_of_the_matcher():
+    draw = random.Random(5)
+    for length in (0, 1, 7, 60, 260):
+        for _ in range(30):
+            a, b = ("".join(draw.choice("aabcde fg") for _ in range(draw.randint(0, length))) for _ in range(2))
+            m = SequenceMatcher(None, a, b)
+            want = sum(x.size for x in m.get_matching_blocks())
+            assert relations.matched(a, b, m.b2j, 0) == want
+            assert relations.matched(a, b, m.b2j, want) == want
+            assert relations.matched(a, b, m.b2j, want + 1) in (None, want)
+
+
+@pytest.mark.parametrize("whole", [0, 3, 256])
+def test_groups_of_any_size_have_the_same_relations(spark, monkeypatch, whole):
+    draw = random.Random(9)
+    words = "the margin grew by 12% in most of all years while costs fell to 30 and sales rose".split()
+    rows = [(draw.choice(["a", "b", None]), f"{k:03d}", "n", draw.choice(["UP", "DOWN", "NEUTRAL"]), " ".join(draw.choice(words) for _ in range(8))) for k in range(60)]
+    monkeypatch.setattr(relations, "WHOLE", whole)
+    df = spark.createDataFrame(rows, "company string, id string, kind string, direction string, fact string")
+    got = {(r["from_id"], r["to_id"], r["relation"]) for r in evidence_relations(df, "company", "id", "kind", "direction", "fact").collect()}
+    want = set()
+    for k, (company, id_, _, direction, fact) in enumerate(rows):
+        earlier = [relations._Earlier(r[1], r[3], relations.folded(r[4])) for r in rows[:k] if r[0] == company]
+        to, relation = relations._first(earlier, len(earlier), direction, relations.folded(fact), Ladder())
+        if relation:
+            want.add((id_, to, relation))
+    assert got == want and want

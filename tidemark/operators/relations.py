@@ -14,7 +14,8 @@ SUPPORTS        the same                        ``support``
 ==============  ==============================  =============  ==========
 
 Only the first earlier piece that any rule ties it to counts, so a piece needs
-no more comparisons than lead to it. Pieces are numbered within group and kind;
+no more comparisons than lead to it. Pieces are numbered within group and kind.
+A group of at most ``WHOLE`` pieces is compared in one pass; of larger ones,
 in rounds, those without a relation yet meet the next stretch of earlier ones,
 twice as long each time, up to ``STRETCH``. A stretch is one bounded row for a
 group, joined with salt where a group is large: no pairs are formed. What is
@@ -42,11 +43,13 @@ from tidemark.functions.text import NUMBER
 from tidemark.operators.positions import numbered
 from tidemark.operators.skew import join_per_key
 from tidemark.shipping import ship_package
-from tidemark.sources.scratch import materialize, release
+from tidemark.sources.scratch import materialize, release, sized
 
 NEUTRAL = "NEUTRAL"
 #: Earlier pieces to a stretch: of the first round, and at most.
 FIRST, STRETCH = 16, 256
+#: A group of no more pieces is compared within one task.
+WHOLE = 256
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,42 @@ def folded(fact: str | None) -> str:
     return re.sub(r"\s+", " ", fact or "").strip().casefold()
 
 
+def matched(a: str, b: str, places: dict[str, list[int]], least: float) -> int | None:
+    """The characters in ``SequenceMatcher``'s matching blocks, ``places`` being its ``b2j``; nothing as soon as they must stay well below ``least``."""
+    total, most, asked = 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    while asked:
+        alo, ahi, blo, bhi = asked.pop()
+        i, j, size, ends = alo, blo, 0, {}
+        for x in range(alo, ahi):
+            now = {}
+            for y in places.get(a[x], ()):
+                if y < blo:
+                    continue
+                if y >= bhi:
+                    break
+                now[y] = k = ends.get(y - 1, 0) + 1
+                if k > size:
+                    i, j, size = x - k + 1, y - k + 1, k
+            ends = now
+        # characters that are too frequent to have places only lengthen a match
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        before = after = 0
+        if size:
+            total += size
+            before, after = min(i - alo, j - blo), min(ahi - i - size, bhi - j - size)
+            if before:
+                asked.append((alo, i, blo, j))
+            if after:
+                asked.append((i + size, ahi, j + size, bhi))
+        most += size + before + after - min(ahi - alo, bhi - blo)
+        if most < least - 1e-6:
+            return None
+    return total
+
+
 class _Earlier:
     """One earlier piece, ready to be compared with many later ones."""
 
@@ -99,8 +138,8 @@ class _Earlier:
         bounds = (lambda: min(len(flat), len(self.flat)), lambda: sum(min(n, self.counts[c]) for c, n in counts.items()))
         if any(2.0 * most() / total < least for most in bounds):
             return None
-        self.matcher.set_seq1(flat)
-        return self.matcher.ratio()
+        most = matched(flat, self.flat, self.matcher.b2j, least * total / 2)
+        return None if most is None else 2.0 * most / total
 
 
 def _first(stretch: list[_Earlier], before: int, direction: str | None, flat: str, ladder: Ladder) -> tuple[str | None, str | None]:
@@ -141,6 +180,31 @@ def _compared(rows: DataFrame, ladder: Ladder) -> DataFrame:
     return rows.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "to_id string", "relation string"]))
 
 
+def _whole(pieces: DataFrame, ladder: Ladder) -> DataFrame:
+    """``(by, id, to_id, relation)`` of the pieces that have one, of groups small enough to be held at once.
+
+    The pieces take few bytes and their comparisons long, so tasks are as many
+    as shuffles have, whatever the bytes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, earlier = None, []
+        for b in batches:
+            out = []
+            for by, id_, direction, flat, g in zip(b["by"], b["id"], b["direction"], b["flat"], b["g"], strict=True):
+                if g != group:
+                    group, earlier = g, []
+                to, relation = _first(earlier, len(earlier), direction, flat, ladder)
+                if relation:
+                    out.append((by, id_, to, relation))
+                earlier.append(_Earlier(id_, direction, flat))
+            yield pd.DataFrame(out, columns=["by", "id", "to_id", "relation"]).astype({"by": b["by"].dtype})
+
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.select("by", "id", "direction", "flat", "g", "place").repartition(parts, "g").sortWithinPartitions("g", "place").drop("place")
+    return dealt.mapInPandas(run, f"`by` {dict(pieces.dtypes)['by']}, id string, to_id string, relation string")
+
+
 def _stretches(pieces: DataFrame, width: int, low: int, high: int | None = None) -> DataFrame:
     """``(g, start, stretch)``: the pieces of each group from ``low`` to below ``high`` in stretches of ``width``."""
     inside = pieces.filter(F.col("place") >= low) if high is None else pieces.filter((F.col("place") >= low) & (F.col("place") < high))
@@ -161,7 +225,10 @@ def evidence_relations(cards: DataFrame, by: str, key: str, kind: str, direction
     pieces = numbered(told, ["by", "kind"], ["id"], "place")
     group = F.sha2(F.to_json(F.struct("by", "kind"), {"ignoreNullFields": "false"}), 256)
     pieces = pieces.withColumn("g", group)
-    state, low, width, found = materialize(pieces.filter("place > 0"), "waiting"), 0, FIRST, []
+    sizes = materialize(pieces.groupBy("g").agg(F.count("*").alias("rows")).filter(F.col("rows") > WHOLE).select("g"), "large")
+    found = [materialize(_whole(pieces.join(sized(sizes), "g", "left_anti"), ladder), "related")]
+    pieces = pieces.join(sized(sizes), "g", "left_semi")
+    state, low, width = materialize(pieces.filter("place > 0"), "waiting"), 0, FIRST
     while width <= STRETCH:
         total = state.count()
         if not total:
@@ -180,7 +247,7 @@ def evidence_relations(cards: DataFrame, by: str, key: str, kind: str, direction
         # stretches lie in order: the least start has the first
         first = far.groupBy("g", "id").agg(F.min(F.struct("start", "by", "to_id", "relation")).alias("x"))
         found.append(materialize(first.select("id", "x.by", "x.to_id", "x.relation"), "far"))
-    release(state)
+    release(state, sizes)
     rows = [x.select(F.col("by").alias(by), F.col("id").alias("from_id"), "to_id", "relation") for x in found]
     none = cards.limit(0).select(F.col(by), F.lit("").alias("from_id"), F.lit("").alias("to_id"), F.lit("").alias("relation"))
     return reduce(DataFrame.unionByName, rows, none)
