@@ -1,4 +1,4 @@
-"""The panel's step over prices against plain loops."""
+"""The panel's step over prices against plain loops, and regressions that share their passes."""
 
 import bisect
 from collections import defaultdict
@@ -7,6 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import regression
 from tidemark.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,18 @@ def test_hundredths_are_those_of_decimals(spark):
     values = [0.0, 1.005, 2.675, -1.005, 0.1 + 0.2, 98765432.1, -0.004, 50.0, None]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(views._hundredths("v").alias("h"), (F.col("v").cast("decimal(18,2)") * 100).cast("long").alias("d")).collect()
     assert [r["h"] for r in rows] == [r["d"] for r in rows]
+
+
+def test_specifications_that_leave_out_the_same_rows_share_a_pass(spark, monkeypatch):
+    rows = [(f"u{i % 7}", date(2000, 1, 1 + i % 5), float(i * i % 11), float(i % 9), float(i * 5 % 13), None if i % 6 == 0 else float(i * 3 % 8)) for i in range(60)]
+    df = spark.createDataFrame(rows, "unit string, period date, y double, x double, a double, b double")
+    specs = {"none": [], "a": ["a"], "b": ["b"], "both": ["a", "b"]}
+    written = []
+    keep = regression.materialize
+    monkeypatch.setattr(regression, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    got = {r["specification"]: r for r in regression.panel_regressions(df, "y", "x", specs, "unit", "period").collect()}
+    assert sorted(written) == ["cells", "cells", "panel", "periods", "periods"]
+    for name, controls in specs.items():
+        alone = regression.panel_regression(df, "y", "x", controls, "unit", "period").first()
+        assert [got[name][c] for c in alone.asDict()] == pytest.approx(list(alone), rel=1e-9)
+    assert got["b"]["n"] == 50 and got["a"]["n"] == 60

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import average_rank, rank_correlation
-from tidemark.operators.regression import panel_regression
+from tidemark.operators.regression import panel_regressions
 from tidemark.operators.resampling import bootstrap_correlations, date_bootstrap, permutation_p_values
 from tidemark.plans import market, statistics
 from tidemark.plans.views import securities
@@ -52,10 +50,9 @@ def specifications(spark, sf_dir: str) -> DataFrame:
     ranked = rows.withColumn("known", F.lit(True)).withColumns({c: share(c) for c in CONTROLS[:2]})
     ranked = materialize(ranked.withColumn("known", F.col("prior").isNotNull()).withColumn("prior", share("prior")).drop("known"), "ranked")
     specs = {"NONE": [], **{c: [c] for c in CONTROLS}, "ALL": list(CONTROLS)}
-    found = {name: panel_regression(ranked, "forward_return", "signal", controls, "ticker", "signal_date") for name, controls in specs.items()}
+    out = panel_regressions(ranked, "forward_return", "signal", specs, "ticker", "signal_date").withColumnRenamed("specification", "controls")
     release(ranked)
-    base = found["NONE"].first()["coefficient"]
-    out = reduce(DataFrame.unionByName, (x.withColumn("controls", F.lit(name)) for name, x in found.items()))
+    base = out.filter(F.col("controls") == "NONE").first()["coefficient"]
     kept = F.try_divide(F.col("coefficient"), F.lit(base))
     return out.select("controls", "n", "units", "periods", *(F.round(c, 7).alias(a) for a, c in (("coefficient", "coefficient"), ("se", "se"), ("t", "t"), ("retention", kept), ("r_squared", "r_squared"))))
 
