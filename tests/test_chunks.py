@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.chunks import packed, quarters, semantic_chunks, spans, table_pieces, text_pieces
+from tidemark.operators.chunks import counted, cut_at, packed, quarters, semantic_chunks, spans, table_pieces, text_pieces
 from tidemark.plans import reading
+from tidemark.sources import html
 
 PIECE = re.compile(r"[가-힣]|[一-龥]|[A-Za-z0-9_]+|[^\s]")
 NODE = "doc long, order long, section string, kind string, text string, header int, grid array<array<string>>"
@@ -133,3 +134,25 @@ def test_queries_lose_nothing(spark):
                     used = q = 0
                 used, q, want[-1][1:] = used + t, q + w, [at, max(1, math.ceil((q + w) / 4))]
         assert sorted(got.get(doc, [])) == [(k, t, a, b) for k, (a, b, t) in enumerate(want)], doc
+
+
+def test_texts_are_cut_in_tasks_as_the_expression_cuts_them(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "bc ", "word ", "\n", " ", "한", "中", ".", "x" * 30, "\t", "😀", " ", "é "]) for _ in range(rng.randint(1, 120))) for _ in range(150)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for budget, word in ((40, 10), (64, 16), (400, 100)):
+        want = {r["i"]: ([(s["start"], s["end"]) for s in r["s"]], r["q"]) for r in rows.select("i", spans(F.col("t"), F.lit(budget), word).alias("s"), quarters(F.col("t")).alias("q")).collect()}
+        for i, t in enumerate(texts):
+            assert (cut_at(t, budget, word), counted(t)) == want[i]
+
+
+def test_pages_are_parsed_once(spark):
+    page = "<h1>T</h1><p>one</p><table><tr><th>a</th><th>b</th></tr><tr><td rowspan=2>1</td><td>2</td></tr><tr><td>3</td></tr></table><table></table>"
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    made = html.nodes(pages)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = [tuple(r)[1:] for r in made.collect()]
+    assert got == [
+        (0, "heading", 1, "T", "T", None, None), (1, "paragraph", 0, "T", "one", None, None),
+        (2, "table", 0, "T", "a b 1 2 3", 1, [["a", "b"], ["1", "2"], ["1", "3"]]), (3, "table", 0, "T", "", None, None),
+    ]

@@ -1,6 +1,6 @@
 """Chunks of documents for a reader with a budget of tokens: packed within sections, tables cut by row, column and cell.
 
-Everything is array expressions. Tokens are counted in quarters: a sign or an
+Tables are array expressions, texts are cut in Arrow batches. Tokens are counted in quarters: a sign or an
 ideograph has four, a word one for each letter and four at least; a text's
 tokens are its quarters over four, rounded up. Quarters of texts parted by white
 space or signs add up, so a table's slices are sized without being written.
@@ -23,12 +23,20 @@ short rows are filled up with empty cells.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.arrays import let
 from tidemark.functions.text import PIECE
 from tidemark.operators.budget import batches
+from tidemark.shipping import ship_package
+from tidemark.sources.scratch import materialize
 
 #: The least share of the limit that repeated headers and keys leave to a slice.
 ROOM = 0.25
@@ -113,17 +121,82 @@ def _written(head: Column, lines: Column) -> Column:
     return F.array_join(F.concat(F.transform(head, _line), below, lines), "\n")
 
 
+_COUNTED, _BLANKS = re.compile(PIECE, re.ASCII), frozenset(" \n\t\r\f\x0b")
+#: Characters of pieces that a task holds before it passes them on.
+HELD = 4 << 20
+
+
+def counted(text: str) -> int:
+    """``quarters`` of a text in a task."""
+    return sum(max(4, len(p)) for p in _COUNTED.findall(text))
+
+
+def cut_at(text: str, budget: int, word: int) -> list[tuple[int, int]]:
+    """``spans`` of a text in a task, by the same steps."""
+    cuts: list[int] = []
+    start = at = used = since = 0
+    mark = -1
+    for part in re.findall(rf"[A-Za-z0-9_]{{1,{word}}}|[^A-Za-z0-9_]", text):
+        left, blank = len(part), part in _BLANKS
+        w = 0 if blank else max(4, left)
+        # a word can end a piece by its mark, and the next one within itself
+        for _ in range(2):
+            if used + w <= budget:
+                break
+            take = min(budget - used, left - 1) if left > 1 and budget - used >= 4 else 0
+            best = at + take
+            if mark > start + (best - start) // 2:
+                start, used = mark + 1, since
+            else:
+                start = at = best
+                used, left = 0, left - take
+                w = 0 if blank else max(4, left)
+            mark, since = -1, 0
+            cuts.append(start)
+        if (part == " " or part == "\n") and at > start:
+            mark, since = at, 0
+        else:
+            since += w
+        at, used = at + left, used + w
+    edges = list(dict.fromkeys([0, *cuts, len(text)]))
+    return list(zip(edges, edges[1:], strict=False))
+
+
 def text_pieces(nodes: DataFrame, most: int) -> DataFrame:
-    """Pieces of the texts of ``nodes(doc, order, section, kind, text)``: with ``sub``, ``start`` and ``end``, as text and quarters."""
-    known = nodes.filter(F.btrim("text") != "").withColumn("q", quarters(F.col("text")))
-    cut = F.when(tokens(F.col("q")) <= most, F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))).otherwise(spans(F.col("text"), F.lit(4 * most), most))
-    each = known.select("doc", "order", "section", "kind", "text", "q", F.size(cut).alias("n"), F.posexplode(cut).alias("sub", "s"))
-    piece = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    whole = F.col("n") == 1
-    return each.select(
-        "doc", "order", F.col("sub").cast("long").alias("sub"), "section", F.when(whole, F.col("kind")).otherwise(F.concat("kind", F.lit("_fragment"))).alias("kind"), piece.alias("text"),
-        F.when(whole, F.col("q")).otherwise(quarters(piece)).alias("q"), F.col("s.start").alias("start"), F.col("s.end").alias("end"),
-    )
+    """Pieces of the texts of ``nodes(doc, order, section, kind, text)``: with ``sub``, ``start`` and ``end``, as text and quarters.
+
+    A text is cut in the task that reads it: as an expression, a step for each
+    word makes a new state of all its fields, which takes many times as long.
+    """
+    ship_package(nodes.sparkSession)
+    kinds = dict(nodes.dtypes)
+    told = f"doc {kinds['doc']}, order {kinds['order']}, sub long, section {kinds['section']}, kind string, text string, q long, start int, end int"
+    made = to_arrow_schema(T.StructType.fromDDL(told))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[at] for r in rows], field.type) for at, field in enumerate(made)], schema=made)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for b in batches:
+            for at in range(b.num_rows):
+                doc, order, section, kind, text = (c[at].as_py() for c in b.columns)
+                q = counted(text)
+                pieces = [(0, len(text))] if max(1, -(-q // 4)) <= most else cut_at(text, 4 * most, most)
+                if len(pieces) == 1:
+                    rows.append((doc, order, 0, section, kind, text, q, 0, len(text)))
+                else:
+                    named = None if kind is None else f"{kind}_fragment"
+                    rows += [(doc, order, sub, section, named, text[s:e], counted(text[s:e]), s, e) for sub, (s, e) in enumerate(pieces)]
+                size += len(text) + 64 * len(pieces)
+                if size > HELD:
+                    yield batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return nodes.filter(F.btrim("text") != "").select("doc", "order", "section", "kind", "text").mapInArrow(cut, told)
 
 
 def table_pieces(tables: DataFrame, most: int) -> DataFrame:
@@ -159,6 +232,8 @@ def table_pieces(tables: DataFrame, most: int) -> DataFrame:
     sliced = numbered.select("doc", "order", "section", "width", "lead", "lead_q", "body", F.posexplode(F.when(F.size("body") > 0, runs).otherwise(alone)).alias("run", "r"), F.size(runs).alias("n"))
     sliced = sliced.withColumn("rows", F.slice("body", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")))
     sliced = sliced.withColumn("q", F.col("lead_q") + F.aggregate(F.transform("rows", row_q), F.lit(0).cast("long"), lambda a, x: a + x))
+    # three kinds of slices are made of these
+    sliced = materialize(sliced, "slices")
     fits = F.col("q") <= limit
     kind = F.when(F.col("n") == 1, "table").otherwise("table_slice")
     place = lambda run, sub: (F.col(run).cast("long") * F.lit(1 << 40) + sub).cast("long").alias("sub")
@@ -233,5 +308,7 @@ def semantic_chunks(nodes: DataFrame, target: int = 1500, most: int = 2500) -> D
     if not 0 < target <= most:
         raise ValueError("the target must be above zero and within the limit")
     columns = ["doc", "order", "sub", "section", "kind", "text", "q"]
+    # read for texts and for tables, so they are made once
+    nodes = materialize(nodes, "nodes")
     texts = text_pieces(nodes.filter("grid is null"), most).select(*columns)
     return packed(texts.unionByName(table_pieces(nodes.filter("grid is not null"), most).select(*columns)), target, most)

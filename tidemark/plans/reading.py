@@ -16,10 +16,7 @@ TEXT_TARGET, TEXT_LIMIT = 1500, 2500
 
 def page_nodes(spark, sf_dir: str) -> DataFrame:
     """Blocks of pages in order, tables with their full grids."""
-    pages = table(spark, sf_dir, "pages")
-    lines = html.cells(pages).groupBy("page_id", "seq", "row").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))).alias("c"), F.bool_and("header").alias("heads"))
-    grids = lines.groupBy("page_id", "seq").agg(F.array_sort(F.collect_list(F.struct("row", F.col("c.text").alias("cells")))).alias("g"), F.count_if("heads").cast("int").alias("header"))
-    nodes = html.blocks(pages).join(grids.select("page_id", "seq", "header", F.col("g.cells").alias("grid")), ["page_id", "seq"], "left")
+    nodes = html.nodes(table(spark, sf_dir, "pages"))
     return nodes.select(F.col("page_id").alias("doc"), F.col("seq").cast("long").alias("order"), "section", "kind", "text", "header", "grid")
 
 
